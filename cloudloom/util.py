@@ -32,6 +32,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
 
     ``how`` may be inner or left. Null keys match nothing, as in any equi-join.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salt)).cast("int"))
+    plain = [F.col(c) for c, kind in big.dtypes if "map<" not in kind and "array<" not in kind]
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salt)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
