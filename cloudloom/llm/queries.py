@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..util import table
+from . import bpe
 from . import consensus as C
 
 
@@ -35,5 +36,11 @@ def p5_alpha(spark, d):
     return C.krippendorff(_votes(spark, d))
 
 
-QUERIES = {"p5_found": p5_found, "p5_consensus": p5_consensus, "p5_reliability": p5_reliability, "p5_alpha": p5_alpha}
+def p6_ids(spark, d):
+    return bpe.encode(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p6_ids": p6_ids,
+    "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_reliability": p5_reliability, "p5_alpha": p5_alpha}
 ORACLES = {}
