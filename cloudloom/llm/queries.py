@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..util import table
-from . import bpe
+from . import bpe, neighbours
 from . import consensus as C
 
 
@@ -40,7 +40,21 @@ def p6_ids(spark, d):
     return bpe.encode(table(spark, d, "documents"))
 
 
+def _neighbours(spark, d):
+    return neighbours.neighbours(table(spark, d, "basic_cloud"), "bp_id", "points", 3, 5)
+
+
+def p4_found(spark, d):
+    return neighbours.unordered_pairs(_neighbours(spark, d)).select(F.col("a").alias("bp_id_a"), F.col("b").alias("bp_id_b"))
+
+
+def p4_neighbours(spark, d):
+    return _neighbours(spark, d).select(F.col("id").alias("bp_id"), F.col("other").alias("other_bp_id"), "dist", "rank")
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
     "p6_ids": p6_ids,
     "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_reliability": p5_reliability, "p5_alpha": p5_alpha}
 ORACLES = {}
