@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..util import table
-from . import bpe, neighbours
+from . import bpe, clusters, neighbours
 from . import consensus as C
 
 
@@ -52,7 +52,25 @@ def p4_neighbours(spark, d):
     return _neighbours(spark, d).select(F.col("id").alias("bp_id"), F.col("other").alias("other_bp_id"), "dist", "rank")
 
 
+#: Members of one cluster of ins_feat vectors lie at most this far apart.
+SAME_INSTANCE = 0.12
+
+
+def _clusters(spark, d):
+    return clusters.cluster(table(spark, d, "points"), "point_id", "ins_feat", 6, SAME_INSTANCE)
+
+
+def p2_found(spark, d):
+    return clusters.chain(_clusters(spark, d)).select(F.col("a").alias("point_id_a"), F.col("b").alias("point_id_b"))
+
+
+def p2_clusters(spark, d):
+    return clusters.describe(_clusters(spark, d), 6)
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p6_ids": p6_ids,
