@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a session without one (tests) gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="cloudloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+    """Cut the lineage: write the rows as a table in the shared folder and read it again.
 
-    The folder of the cluster is used as it is; only a session without one (tests) gets a temporary folder.
+    The table survives the loss of executors, is compressed, and its true size is known to the planner, which then broadcasts it
+    only below its threshold. ``drop`` removes it once nothing reads it any more.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cloudloom-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cloudloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables written by ``cut``."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salt: int = SALT) -> DataFrame:
