@@ -12,15 +12,12 @@ vectors are in one cluster; ties of typical members go to the lower id; without
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import cut, salted_join
+from ..util import cut, drop, salted_join
 
 #: A node of at most so many rows is finished in one task (six doubles and a key a row: about 10 MB).
 LOCAL_ROWS = 100_000
@@ -31,49 +28,61 @@ CELL = 8.0
 
 
 def usable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """One row per key: id, f0..fN (doubles). Of repeated rows of a key the greatest vector counts."""
+    """One row per key: id, f0..fN in the vector's own type. Of repeated rows of a key the greatest vector counts."""
     v = F.col(vector)
     good = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     one = df.where(F.col(key).isNotNull() & good).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.max(v).alias("v"))
-    return one.select("id", *[F.col("v")[j].cast("double").alias(f"f{j}") for j in range(dims)])
+    return one.select("id", *[F.col("v")[j].alias(f"f{j}") for j in range(dims)])
 
 
 def _sq(dims: int, a: str, b: str):
-    return sum((F.col(f"{a}{j}") - F.col(f"{b}{j}")) ** 2 for j in range(dims))
+    return sum((F.col(f"{a}{j}").cast("double") - F.col(f"{b}{j}").cast("double")) ** 2 for j in range(dims))
 
 
-def split_round(rows: DataFrame, dims: int, limit: float, local_rows: int) -> tuple[DataFrame, int]:
+def split_round(rows: DataFrame, dims: int, limit: float, local_rows: int) -> tuple[DataFrame, bool]:
     """One round over rows (id, node, open, f*): every open node is measured and, if too large and not compact, split in two.
 
-    ``open`` is 2 for a node to be split again by a round, 1 for a node left to one task, 0 for a leaf. Gives the rows with new
-    nodes, and the number of nodes still to be split.
+    ``open`` is 2 for a node to be measured, 1 for a node left to one task, 0 for a leaf. Gives the rows with new nodes, and
+    whether any is still to be measured. Per node only sums, squares and extremes are kept, so a pass is one hash aggregation with
+    one row per node as result; the 2-means start one deviation beside the mean on the widest axis. A node's number is a hash of
+    its path; should two collide, they are measured as one node and split again.
     """
     todo = rows.where("open = 2")
     f = [f"f{j}" for j in range(dims)]
-    stats = todo.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("id", *f)).alias("a"))
-    anchor = stats.select("node", "n", *[F.col("a")[x].alias(f"a{j}") for j, x in enumerate(f)])
-    from_a = F.sqrt(_sq(dims, "f", "a"))
-    far = salted_join(todo, anchor, ["node"]).groupBy("node").agg(F.max(F.struct(from_a.alias("d"), "id", *f)).alias("b"), F.first("n").alias("n"))
-    seed_b = far.select("node", "n", F.col("b.d").alias("reach"), *[F.col("b")[x].alias(f"b{j}") for j, x in enumerate(f)])
-    wide = seed_b.where((F.col("reach") > limit) & (F.col("n") > local_rows))
-    from_b = F.sqrt(_sq(dims, "f", "b"))
-    far_b = salted_join(todo, wide, ["node"]).groupBy("node").agg(F.max(F.struct(from_b.alias("d"), "id", *f)).alias("c"))
-    centres = cut(wide.join(far_b.select("node", *[F.col("c")[x].alias(f"c{j}") for j, x in enumerate(f)]), "node"))
+    x = {c: F.col(c).cast("double") for c in f}
+    stats = todo.groupBy("node").agg(
+        F.count("*").alias("n"),
+        *[F.avg(x[c]).alias(f"m{j}") for j, c in enumerate(f)],
+        *[F.stddev_pop(x[c]).alias(f"s{j}") for j, c in enumerate(f)],
+        *[(F.max(x[c]) - F.min(x[c])).alias(f"w{j}") for j, c in enumerate(f)],
+    )
+    diagonal = F.sqrt(sum(F.col(f"w{j}") ** 2 for j in range(dims)))
+    widest = F.greatest(*[F.col(f"s{j}") for j in range(dims)])
+    step = [F.when(F.col(f"s{j}") == widest, widest).otherwise(0.0) for j in range(dims)]
+    state = F.when(diagonal <= limit, 0).when(F.col("n") <= local_rows, 1).otherwise(2)
+    centres = cut(
+        stats.select(
+            "node",
+            state.alias("state"),
+            *[(F.col(f"m{j}") - step[j]).alias(f"b{j}") for j in range(dims)],
+            *[(F.col(f"m{j}") + step[j]).alias(f"c{j}") for j in range(dims)],
+        )
+    )
     side = (_sq(dims, "f", "c") < _sq(dims, "f", "b")).cast("int")
-    for _ in range(STEPS - 1):
-        sums = salted_join(todo, centres.drop("n", "reach"), ["node"]).withColumn("side", side).groupBy("node").agg(
-            *[F.avg(F.when(F.col("side") == s, F.col(x))).alias(f"{'bc'[s]}{j}") for s in (0, 1) for j, x in enumerate(f)]
+    again = not centres.where("state = 2").isEmpty()
+    for _ in range(STEPS - 1 if again else 0):
+        wide = centres.where("state = 2").drop("state")
+        sums = salted_join(todo, wide, ["node"]).withColumn("side", side).groupBy("node").agg(
+            *[F.avg(F.when(F.col("side") == s, x[c])).alias(f"n{'bc'[s]}{j}") for s in (0, 1) for j, c in enumerate(f)]
         )
-        keep = [F.coalesce(F.col(f"new.{c}{j}"), F.col(f"old.{c}{j}")).alias(f"{c}{j}") for c in "bc" for j in range(dims)]
-        centres = cut(centres.alias("old").join(sums.alias("new"), F.col("old.node") == F.col("new.node"), "left").select("old.node", "old.n", "old.reach", *keep))
-    plan = seed_b.select("node", "n", "reach").join(centres.drop("n", "reach"), "node", "left")
-    done = rows.where("open < 2")
-    moved = salted_join(todo, plan, ["node"])
-    child = F.when(F.col("b0").isNull(), F.col("node")).otherwise(F.col("node") * 2 + side)
-    state = F.when(F.col("reach") <= limit, 0).when(F.col("n") <= local_rows, 1).otherwise(2)
-    new = moved.select("id", child.alias("node"), state.alias("open"), *f)
-    out = cut(done.select("id", "node", "open", *f).unionByName(new))
-    return out, centres.count()
+        better = [F.coalesce(f"n{c}{j}", f"{c}{j}").alias(f"{c}{j}") for c in "bc" for j in range(dims)]
+        centres, old = cut(centres.join(sums, "node", "left").select("node", "state", *better)), centres
+        drop(old)
+    moved = salted_join(todo, centres, ["node"])
+    child = F.when(F.col("state") < 2, F.col("node")).otherwise(F.xxhash64("node", side))
+    out = cut(rows.where("open < 2").select("id", "node", "open", *f).unionByName(moved.select("id", child.alias("node"), F.col("state").alias("open"), *f)))
+    drop(centres)
+    return out, again
 
 
 def _bisect(x: np.ndarray, limit: float) -> np.ndarray:
@@ -126,21 +135,26 @@ def _bisect(x: np.ndarray, limit: float) -> np.ndarray:
 
 
 def leaves(rows: DataFrame, dims: int, limit: float, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Leaf of each row: id, f*, leaf STRING."""
+    """Leaf of each row: id, f*, leaf BIGINT (the leaf's lowest id)."""
     f = [f"f{j}" for j in range(dims)]
-    rows = rows.withColumn("node", F.lit(1).cast("decimal(38,0)")).withColumn("open", F.lit(2)).select("id", "node", "open", *f)
-    rows, left = cut(rows), 1
-    while left:
-        rows, left = split_round(rows, dims, limit, local_rows)
+    kinds = dict(rows.dtypes)
+    rows, more = cut(rows.select("id", F.lit(1).cast("bigint").alias("node"), F.lit(2).alias("open"), *f)), True
+    while more:
+        (rows, more), old = split_round(rows, dims, limit, local_rows), rows
+        drop(old)
 
     def finish(key, table):
-        x = np.column_stack([table.column(c).to_numpy() for c in f]) if table.num_rows else np.zeros((0, dims))
-        leaf = [f"{key[0].as_py()}.{k}" for k in _bisect(x, limit).tolist()]
-        return pa.table({"id": table.column("id"), "leaf": pa.array(leaf, pa.string()), **{c: table.column(c) for c in f}})
+        x = np.column_stack([table.column(c).to_numpy().astype(float) for c in f])
+        ids, number = table.column("id").to_numpy(), _bisect(x, limit)
+        lowest = np.full(number.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, number, ids)
+        return pa.table({"id": ids, "leaf": lowest[number], **{c: table.column(c) for c in f}})
 
-    schema = "id bigint, leaf string, " + ", ".join(f"{c} double" for c in f)
+    schema = "id bigint, leaf bigint, " + ", ".join(f"{c} {kinds[c]}" for c in f)
     small = rows.where("open = 1").select("node", "id", *f).groupBy("node").applyInArrow(finish, schema)
-    return rows.where("open = 0").select("id", F.col("node").cast("string").alias("leaf"), *f).unionByName(small)
+    whole = rows.where("open = 0")
+    name = whole.groupBy("node").agg(F.min("id").alias("leaf"))
+    return salted_join(whole, name, ["node"]).select("id", "leaf", *f).unionByName(small)
 
 
 def join_leaves(anchors: DataFrame, dims: int, limit: float) -> DataFrame:
@@ -149,8 +163,7 @@ def join_leaves(anchors: DataFrame, dims: int, limit: float) -> DataFrame:
     Each anchor stands in the one cell of a grid where it lies and asks in all cells that its box of the limit's size touches.
     """
     side = CELL * limit
-    cells = lambda shift: [F.floor((F.col(f"f{j}") + shift) / side) for j in range(dims)]
-    home = anchors.withColumn("cell", F.xxhash64(*cells(0.0)))
+    home = anchors.withColumn("cell", F.xxhash64(*[F.floor(F.col(f"f{j}") / side) for j in range(dims)]))
     ask = anchors
     for j in range(dims):
         low, high = F.floor((F.col(f"f{j}") - limit) / side), F.floor((F.col(f"f{j}") + limit) / side)
@@ -161,23 +174,24 @@ def join_leaves(anchors: DataFrame, dims: int, limit: float) -> DataFrame:
     label = anchors.select("leaf", F.col("leaf").alias("cluster"))
     if links.isEmpty():
         return label
-    linked = cut(links.select("leaf").distinct().withColumn("cluster", F.col("leaf")))
+    linked = cut(links.select("leaf").distinct().withColumn("cluster", F.col("leaf")).withColumn("moved", F.lit(True)))
     while True:
         # clusters are cliques by the limit, so this ends after one round; chains of other data take more
         low = links.join(linked.select(F.col("leaf").alias("other"), "cluster"), "other").groupBy("leaf").agg(F.min("cluster").alias("low"))
-        new = cut(linked.join(low, "leaf", "left").select("leaf", F.least("cluster", "low").alias("cluster"), (F.col("low") < F.col("cluster")).alias("moved")))
-        linked = new.select("leaf", "cluster")
+        new, old = cut(linked.join(low, "leaf", "left").select("leaf", F.least("cluster", "low").alias("cluster"), (F.col("low") < F.col("cluster")).alias("moved"))), linked
+        drop(old)
+        linked = new
         if new.where("moved").isEmpty():
             break
-    return label.join(linked.withColumnRenamed("cluster", "low"), "leaf", "left").select("leaf", F.coalesce("low", "cluster").alias("cluster"))
+    return label.join(linked.select("leaf", F.col("cluster").alias("low")), "leaf", "left").select("leaf", F.coalesce("low", "cluster").alias("cluster"))
 
 
 def cluster(df: DataFrame, key: str, vector: str, dims: int, limit: float, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Members: id, f*, cluster STRING."""
+    """Members: id, f*, cluster BIGINT (its lowest id)."""
     f = [f"f{j}" for j in range(dims)]
     members = cut(leaves(usable(df, key, vector, dims), dims, limit, local_rows))
-    first = members.groupBy("leaf").agg(F.min(F.struct("id", *f)).alias("a")).select("leaf", *[F.col("a")[x].alias(x) for x in f])
-    merged = join_leaves(cut(first), dims, limit)
+    anchors = cut(members.where(F.col("id") == F.col("leaf")).select("leaf", *f))
+    merged = cut(join_leaves(anchors, dims, limit))
     return salted_join(members, merged, ["leaf"]).select("id", "cluster", *f)
 
 
@@ -194,22 +208,20 @@ def chain(members: DataFrame, group: str = "cluster", key: str = "id", width: in
 
 
 def describe(members: DataFrame, dims: int, typical: int = 5) -> DataFrame:
-    """Per cluster: cluster (its lowest id), size, dispersion (mean squared distance to the centre), radius and the ids of the most typical members."""
+    """Per cluster: first_id (its lowest id), size, dispersion (mean squared distance to the centre), radius and the ids of the most typical members."""
     f = [f"f{j}" for j in range(dims)]
-    centre = members.groupBy("cluster").agg(F.min("id").alias("first_id"), F.count("*").alias("size"), *[F.avg(x).alias(f"m{j}") for j, x in enumerate(f)])
+    centre = members.groupBy("cluster").agg(F.count("*").alias("size"), *[F.avg(x).alias(f"m{j}") for j, x in enumerate(f)])
     d = salted_join(members, centre, ["cluster"]).withColumn("d2", _sq(dims, "f", "m"))
     # the nearest of each shard first, so that no group meets in one task whole
     shard = d.groupBy("cluster", F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).agg(
-        F.first("first_id").alias("first_id"),
         F.first("size").alias("size"),
         F.sum("d2").alias("d2"),
         F.max("d2").alias("far"),
         F.slice(F.sort_array(F.collect_list(F.struct("d2", "id"))), 1, typical).alias("near"),
     )
     return shard.groupBy("cluster").agg(
-        F.first("first_id").alias("first_id"),
         F.first("size").alias("size"),
         (F.sum("d2") / F.first("size")).alias("dispersion"),
         F.sqrt(F.max("far")).alias("radius"),
         F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, typical)["id"].alias("typical_ids"),
-    ).drop("cluster")
+    ).withColumnRenamed("cluster", "first_id")
