@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..util import cut, salted_join
+from ..util import cut, drop, salted_join
 
 #: Rounds at most, and the share of links that must change for another round.
 MAX_ROUNDS, MIN_CHANGE = 8, 0.0005
@@ -73,10 +73,10 @@ def _curve(low: np.ndarray, span: float, shift: float):
     return code
 
 
-LINK = "node bigint, v array<double>, other bigint, w array<double>, dist double"
+LINK = "node bigint, other bigint, w array<double>, dist double"
 
 
-def first_graph(nodes: DataFrame, dims: int, k: int, curves: int = 3, window: int = 4) -> DataFrame:
+def first_graph(nodes: DataFrame, dims: int, curves: int = 3, window: int = 4) -> DataFrame:
     """Links of each node to those up to ``window`` places off on each of some shifted Z-order curves.
 
     The curve is range-partitioned; a task sorts its own range, so links across the borders of ranges are left to the rounds.
@@ -99,8 +99,8 @@ def first_graph(nodes: DataFrame, dims: int, k: int, curves: int = 3, window: in
                 for s in range(1, window + 1):
                     i = np.arange(max(0, new - s), len(ids) - s)
                     d = np.sqrt(((vs[i] - vs[i + s]) ** 2).sum(1))
-                    yield _links(ids[i], vs[i], ids[i + s], vs[i + s], d)
-                    yield _links(ids[i + s], vs[i + s], ids[i], vs[i], d)
+                    yield _links(ids[i], ids[i + s], vs[i + s], d)
+                    yield _links(ids[i + s], ids[i], vs[i], d)
                 ids, vs = ids[-window:], vs[-window:]
 
         curve = nodes.select("node", "v", _curve(low, span, shift)("v").alias("z")).repartitionByRange("z", "node").sortWithinPartitions("z", "node")
@@ -109,14 +109,15 @@ def first_graph(nodes: DataFrame, dims: int, k: int, curves: int = 3, window: in
     return links
 
 
-def _nearest(links: DataFrame, k: int) -> DataFrame:
+def _nearest(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
     """The k nearest others of each node as one row: node, v, near ARRAY<STRUCT<dist, other, fresh, w>> in order.
 
     A node's proposals are bounded: they are nearer than its worst neighbour and come from its neighbours' lists. A link that is
     already known stands before a proposal of the same link, and keeps fresh = false.
     """
-    all_of = F.sort_array(F.collect_set(F.struct("dist", "other", "fresh", "w")))
-    sorted_ = links.groupBy("node").agg(F.first("v").alias("v"), all_of.alias("a"))
+    link = F.when(F.col("other").isNotNull(), F.struct("dist", "other", "fresh", "w"))
+    rows = nodes.select("node", "v").unionByName(links, allowMissingColumns=True)
+    sorted_ = rows.groupBy("node").agg(F.first("v", ignorenulls=True).alias("v"), F.sort_array(F.collect_set(link)).alias("a"))
     first = F.filter("a", lambda x, i: (i == 0) | (F.get(F.col("a"), i - 1)["other"] != x["other"]))
     return sorted_.select("node", "v", F.slice(first, 1, k).alias("near"))
 
@@ -125,9 +126,9 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def _links(node, v, other, w, dist) -> pa.RecordBatch:
-    vectors = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), np.ascontiguousarray(x).ravel()) for x in (v, w)]
-    return pa.RecordBatch.from_arrays([pa.array(node), vectors[0], pa.array(other), vectors[1], pa.array(dist)], ["node", "v", "other", "w", "dist"])
+def _links(node, other, w, dist) -> pa.RecordBatch:
+    vectors = pa.ListArray.from_arrays(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32), np.ascontiguousarray(w).ravel())
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), vectors, pa.array(dist)], ["node", "other", "w", "dist"])
 
 
 def _proposals(dims: int):
@@ -150,14 +151,14 @@ def _proposals(dims: int):
                     d = np.sqrt(((x[:, :, None, :] - x[:, None, :, :]) ** 2).sum(-1))
                     g, p, q = np.nonzero((d <= t[:, :, None]) & (f[:, :, None] | f[:, None, :]) & (i[:, :, None] != i[:, None, :]))
                     if len(g):
-                        yield _links(i[g, p], x[g, p], i[g, q], x[g, q], d[g, p, q])
+                        yield _links(i[g, p], i[g, q], x[g, q], d[g, p, q])
 
     return run
 
 
 def nn_descent(nodes: DataFrame, dims: int, k: int, max_rounds: int = MAX_ROUNDS, min_change: float = MIN_CHANGE) -> DataFrame:
     """The neighbour graph: node, v, near (see _nearest). ``nodes`` has node and v, one row per distinct vector."""
-    graph = cut(_nearest(first_graph(nodes, dims, k).withColumn("fresh", F.lit(True)), k))
+    graph = cut(_nearest(nodes, first_graph(nodes, dims).withColumn("fresh", F.lit(True)), k))
     for _ in range(max_rounds):
         worst = graph.select("node", "v", F.when(F.size("near") < k, float("inf")).otherwise(F.element_at("near", -1)["dist"]).alias("worst"), "near")
         out = worst.select("node", "v", "worst", F.explode("near").alias("n"))
@@ -168,9 +169,10 @@ def nn_descent(nodes: DataFrame, dims: int, k: int, max_rounds: int = MAX_ROUNDS
         hood = names.unionByName(named_by).groupBy("node").agg(F.collect_set(F.struct("other", "worst", "fresh", "w")).alias("h"))
         busy = hood.where(F.exists("h", lambda x: x["fresh"]))
         new = busy.select("h.other", "h.worst", "h.fresh", F.flatten("h.w").alias("w")).mapInArrow(_proposals(dims), LINK).withColumn("fresh", F.lit(True))
-        old = out.select("node", "v", "n.other", "n.w", "n.dist", F.lit(False).alias("fresh"))
-        better = cut(_nearest(old.unionByName(new), k))
+        old = out.select("node", "n.other", "n.w", "n.dist", F.lit(False).alias("fresh"))
+        better = cut(_nearest(nodes, old.unionByName(new), k))
         changed, total = better.agg(F.sum(F.size(F.filter("near", lambda x: x["fresh"]))), F.sum(F.size("near"))).first()
+        drop(graph)
         graph = better
         if not total or changed <= min_change * total:
             break

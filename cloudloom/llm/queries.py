@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..util import table
-from . import bpe, clusters, neighbours
+from . import bpe, clusters, leaks, neighbours, sentences
 from . import consensus as C
 
 
@@ -68,7 +68,29 @@ def p2_clusters(spark, d):
     return clusters.describe(_clusters(spark, d), 6)
 
 
+def p7_found(spark, d):
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_report(spark, d):
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    return leaks.leak_report(leaks.leaked(docs, items), items, docs)
+
+
+def p8_found(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+def p8_units(spark, d):
+    docs = table(spark, d, "documents")
+    return sentences.unit_table(docs, sentences.sentence_units(docs))
+
+
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_units": p8_units,
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
     "p4_found": p4_found,
