@@ -37,6 +37,11 @@ CLOSERS = "”»)]」』）》"
 END_MARKS = ".!?…。！？।؟॥．"
 EVENT = re.compile(r"[.!?…。！？।؟॥．“”„«»()\[\]「」『』（）《》]")
 WORD_BACK = re.compile(r"[^\s“”„«»()\[\]¡¿—]*$")
+CYRILLIC = re.compile(r"[а-яё]")
+# Words that tell German from the other Latin languages.
+GERMAN = re.compile(r"\b(?:[Dd]er|[Dd]ie|und|von|[Dd]as|am|zum)\b")
+OTHER = re.compile(r"\b(?:[Tt]he|of|[Ll]a|[Ee]l|de|[Aa]t|was)\b")
+SPACING = re.compile(r"[\s\d.,]")
 HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 THAI = re.compile(r"[฀-๿]")
 DEVANAGARI = re.compile(r"[ऀ-ॣ]")
@@ -69,9 +74,9 @@ def _is_abbreviation(word: str, trie: dict) -> bool:
 
 def script(text: str) -> str:
     """han, thai, hindi, arabic or cased, by the most frequent letters."""
-    n = max(1, sum(ch.isalpha() for ch in text[:4000]) + len(re.findall(r"[ऀ-ःऺ-ॏัิ-๎]", text[:4000])))
+    n = max(1, len(text) - len(SPACING.findall(text)))
     for name, kind in (("han", HAN), ("thai", THAI), ("hindi", DEVANAGARI), ("arabic", ARABIC)):
-        if len(kind.findall(text[:4000])) > 0.4 * n:
+        if kind.search(text) and len(kind.findall(text)) > 0.4 * n:
             return name
     return "cased"
 
@@ -202,8 +207,8 @@ def unit_ends(text: str | None, boxes=None, lang: str | None = None) -> list[int
     kind = script(text)
     lang = (lang or "").lower()
     if kind == "cased":
-        cyrillic = len(re.findall(r"[а-яё]", text[:2000])) > len(re.findall(r"[a-z]", text[:2000]))
-        german = not cyrillic and (lang == "de" or len(re.findall(r"\b(?:der|die|und|von|das|wie)\b", text)) > 2 + len(re.findall(r"\b(?:the|of|la|el|de)\b", text)))
+        cyrillic = bool(CYRILLIC.search(text)) and len(CYRILLIC.findall(text)) > 0.3 * len(text)
+        german = not cyrillic and len(GERMAN.findall(text)) > len(OTHER.findall(text))
         trie = TRIES["ru"] if cyrillic else TRIES["de"] if german else TRIES.get(lang if lang in ("en", "fr", "es") else "", LATIN)
     else:
         german, trie = False, {"arabic": TRIES["ar"], "hindi": TRIES["hi"]}.get(kind, ALL)
