@@ -75,7 +75,7 @@ def test_quarters_partition_and_ties(spark):
 
 
 def test_zbuffer_and_votes(spark):
-    ident = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
+    ident = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
     pts = spark.createDataFrame([(1, "s", 0.0, 0.0, 2.0), (2, "s", 0.0, 0.0, 2.0), (3, "s", 0.0, 0.0, 1.0), (4, "s", 0.0, 0.0, -1.0), (5, "s", None, 0.0, 1.0)], "point_id bigint, scene string, x double, y double, z double")
     cols = "view_idx int, scene string, w2c array<double>, fx double, fy double, cx double, cy double, width int, height int, projection_mode string, ortho_x_min double, ortho_x_max double, ortho_y_min double, ortho_y_max double, ortho_v_mode string"
     vw = spark.createDataFrame([(0, "s", ident, None, None, None, None, 10, 10, None, 0.0, 0.0, 0.0, 0.0, "auto"), (1, "s", ident, 1.0, 1.0, 5.0, 5.0, 10, 10, "orthographic", -1.0, 1.0, -1.0, 1.0, "auto")], cols)
