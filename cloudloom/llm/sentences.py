@@ -34,13 +34,14 @@ ABBREVIATIONS = {
 MONTHS = "januar februar märz april mai juni juli august september oktober november dezember".split()
 OPEN = {"“": "”", "„": "“", "«": "»", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "《": "》", "‘": "’"}
 CLOSERS = "”»)]」』）》"
-END_MARKS = ".!?…。！？।؟॥．"
-EVENT = re.compile(r"[.!?…。！？।؟॥．“”„«»()\[\]「」『』（）《》]")
+END_MARKS = ".!?…。！？।؟॥．·"
+EVENT = re.compile(r"[.!?…。！？।؟॥．·“”„«»()\[\]「」『』（）《》]")
 WORD_BACK = re.compile(r"[^\s“”„«»()\[\]¡¿—]*$")
 CYRILLIC = re.compile(r"[а-яё]")
 # Words that tell German from the other Latin languages.
 GERMAN = re.compile(r"\b(?:[Dd]er|[Dd]ie|und|von|[Dd]as|am|zum)\b")
 OTHER = re.compile(r"\b(?:[Tt]he|of|[Ll]a|[Ee]l|de|[Aa]t|was)\b")
+OPENER = re.compile(r"(?<=[a-zà-ÿа-я][.!?] )([A-ZÀ-ßА-Я]\w*)")
 SPACING = re.compile(r"[\s\d.,]")
 HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 THAI = re.compile(r"[฀-๿]")
@@ -72,6 +73,14 @@ def _is_abbreviation(word: str, trie: dict) -> bool:
     return "" in node
 
 
+#: Abbreviations long enough to be known with one letter misread.
+LONG = [w for words in ABBREVIATIONS.values() for w in words.split() if len(w) > 3 and w.isalpha()]
+
+
+def _misread(word: str) -> bool:
+    return any(len(w) == len(word) and sum(a != b for a, b in zip(w, word)) == 1 for w in LONG)
+
+
 def script(text: str) -> str:
     """han, thai, hindi, arabic or cased, by the most frequent letters."""
     n = max(1, len(text) - len(SPACING.findall(text)))
@@ -153,7 +162,7 @@ def _ends(s: str, kind: str, trie: dict, german: bool) -> list[int]:
         if depth:
             continue
         if kind == "han":
-            if dots.strip("…") == "" or (ch == "." and dots == "."):
+            if dots.strip("….·") == "":
                 continue
             after = s[e + 1 : e + 2]
             if closed and (s[unit:opened_at].strip() == "" or after in ("と", "，", "、", ",")):
@@ -164,13 +173,15 @@ def _ends(s: str, kind: str, trie: dict, german: bool) -> list[int]:
             nxt = _next_letter(s, e + 1)
             if nxt.islower():
                 continue
-            if kind == "hindi" and ch == ".":
+            if kind == "hindi" and ch in ".·":
                 continue
             if kind in ("hindi", "arabic") and closed and s[unit:opened_at].strip() == "":
                 continue
-            if dots == "." and not closed:
+            if dots in (".", "·") and not closed:
                 word = WORD_BACK.search(s, max(0, i - 24), i).group().strip(",;:'·")
                 core = word.replace("·", "").replace("'", "")
+                if len(core) > 3 and core[:1].isupper() and nxt.isupper() and _misread(core.lower()):
+                    continue
                 if _is_abbreviation(core, trie) and not (core.lower() in ("p", "no", "s", "nr", "pág", "núm", "стр") and not (nxt.isdigit() or nxt == "")):
                     continue
                 if len(core) == 1 and core.isupper() and nxt.isupper():
@@ -187,6 +198,23 @@ def _ends(s: str, kind: str, trie: dict, german: bool) -> list[int]:
     return ends
 
 
+def _lost_marks(s: str) -> list[int]:
+    """Places where a unit must have ended though its mark was misread or lost: before a capital word that opens units elsewhere in
+    the stream and is an ordinary word, as it also stands there without capital; what is left in the mark's place is the end."""
+    openers = {w for w in OPENER.findall(s) if (len(w) == 1 or not w.isupper()) and f" {w.lower()} " in s}
+    if not openers:
+        return []
+    found = []
+    for w in openers:
+        i = s.find(f" {w} ")
+        while i > 0:
+            before = s[i - 1]
+            if (before.isalpha() and not before.isupper()) or before in ",;'":
+                found.append(i - 1)
+            i = s.find(f" {w} ", i + 1)
+    return found
+
+
 def _is_month(word: str) -> bool:
     return any(abs(len(m) - len(word)) <= 1 and sum(a != b for a, b in zip(m, word)) <= (1 if len(m) < 5 else 2) for m in MONTHS)
 
@@ -219,7 +247,10 @@ def unit_ends(text: str | None, boxes=None, lang: str | None = None) -> list[int
         if last < 0:
             continue
         if st.kind != "heading":
-            out.update(places[e] for e in (_thai_ends(s) if kind == "thai" else _ends(s, kind, trie, german)) if e < last)
+            ends = _thai_ends(s) if kind == "thai" else _ends(s, kind, trie, german)
+            if kind == "cased":
+                ends += _lost_marks(s)
+            out.update(places[e] for e in ends if e < last)
         out.add(places[last])
     return sorted(out)
 
@@ -234,7 +265,8 @@ def sentence_units(docs: DataFrame) -> DataFrame:
             for doc_id, text, lang, x0, x1, y0 in zip(b["doc_id"], b["text"], b["lang"], b["x0"], b["x1"], b["y0"]):
                 boxes = None
                 if x0 is not None:
-                    boxes = [None if pd.isna(p) or pd.isna(q) or pd.isna(r) else {"x0": p, "x1": q, "y0": r} for p, q, r in zip(x0, x1, y0)]
+                    places = zip(x0.tolist(), x1.tolist(), y0.tolist())  # a missing number is None or unequal to itself
+                    boxes = [{"x0": p, "x1": q, "y0": r} if p is not None and q is not None and r is not None and p == p and q == q and r == r else None for p, q, r in places]
                 found = unit_ends(text if isinstance(text, str) else None, boxes, lang if isinstance(lang, str) else None)
                 ids += [doc_id] * len(found)
                 ends += found
