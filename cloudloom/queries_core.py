@@ -32,8 +32,11 @@ def _r(c, n=4):
 
 #: Points once per key, with coordinates as doubles; and the same in SQL.
 def _points(spark, d):
-    p = table(spark, d, "points").drop("loaded_at")
-    return p.where(C("point_id").isNotNull()).groupBy("point_id").agg(*[F.first(c).alias(c) for c in p.columns if c != "point_id"]).withColumns({a: C(a).cast("double") for a in "xyz"})
+    """Of repeated rows of a key the one loaded first; coordinates as doubles."""
+    p = table(spark, d, "points").where(C("point_id").isNotNull())
+    rest = [c for c in p.columns if c not in ("point_id", "loaded_at")]
+    one = p.groupBy("point_id").agg(F.min_by(F.struct(*rest), F.coalesce("loaded_at", F.lit("9999-01-01").cast("timestamp"))).alias("r"))
+    return one.select("point_id", "r.*").withColumns({a: C(a).cast("double") for a in "xyz"})
 
 
 PTS = """WITH pts AS (SELECT * REPLACE (x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z) FROM points WHERE point_id IS NOT NULL
