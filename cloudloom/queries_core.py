@@ -32,15 +32,16 @@ def _r(c, n=4):
 
 #: Points once per key, with coordinates as doubles; and the same in SQL.
 def _points(spark, d):
-    """Of repeated rows of a key the one loaded first; coordinates as doubles."""
+    """Of repeated rows of a key the one loaded first (ties: the smaller f_rest); coordinates as doubles."""
+    order = F.struct(F.coalesce("loaded_at", F.lit("9999-01-01").cast("timestamp")), F.coalesce("f_rest", F.array().cast("array<float>")))
     p = table(spark, d, "points").where(C("point_id").isNotNull())
     rest = [c for c in p.columns if c not in ("point_id", "loaded_at")]
-    one = p.groupBy("point_id").agg(F.min_by(F.struct(*rest), F.coalesce("loaded_at", F.lit("9999-01-01").cast("timestamp"))).alias("r"))
+    one = p.groupBy("point_id").agg(F.min_by(F.struct(*rest), order).alias("r"))
     return one.select("point_id", "r.*").withColumns({a: C(a).cast("double") for a in "xyz"})
 
 
 PTS = """WITH pts AS (SELECT * REPLACE (x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z) FROM points WHERE point_id IS NOT NULL
- QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY loaded_at) = 1)"""
+ QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY loaded_at, coalesce(f_rest,[])) = 1)"""
 
 
 @query(PTS + """ SELECT point_id, round(1/(1+exp(-opacity::DOUBLE)),4) AS alpha, round(exp(greatest(scale_0,scale_1,scale_2)::DOUBLE),4) AS size,
