@@ -151,3 +151,41 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream_and_batch_votes_agree(spark, tmp_path):
+    from cloudloom.streaming.votes import running_votes
+
+    data = spark.createDataFrame([(1, 7, 3), (1, 7, 2), (2, 5, 1), (None, 5, 1)], "cluster int, mask_id int, view_idx int")
+    for k in range(2):
+        data.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = running_votes(spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("votes_so_far").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    assert rows(spark.table("votes_so_far")) == rows(running_votes(spark.read.parquet(str(tmp_path / "in")))) == [(1, 7, 4, 2), (2, 5, 2, 1)]
+
+
+def test_fusion_depends_on_order_and_graph_does_not(spark):
+    from cloudloom.operators import instances
+
+    a, b, c = range(0, 10), range(5, 15), range(10, 20)
+    masks = [("s", v, 1, p) for v, m in enumerate((a, b, c)) for p in m]
+    df = spark.createDataFrame(masks, "scene string, view_idx int, mask_id int, point_id bigint")
+    got = instances.fuse(df, "scene", 3, 0.3)
+    assert got.select("instance").distinct().count() == 2  # the third mask no longer overlaps the grown set enough
+    assert instances.fuse_by_graph(df, "scene", 3, 0.3).select("instance").distinct().count() == 1
+    best = dict((r.point_id, r.instance) for r in instances.best_instance(got, ["scene"], 2).collect())
+    assert best[0] == 0 and best[7] == 1
+    assert instances.fuse(df.limit(0), "scene", 3, 0.3).count() == 0
+    assert rows(instances.unpack(instances.pack(spark.range(3), "id", 4)).select("digits", "code")) == [("0000", 0), ("0001", 1), ("0010", 2)]
+
+
+def test_scene_functions(spark):
+    from cloudloom.operators import scene
+
+    k = spark.createDataFrame([("PINHOLE", [1.0, 2.0, 3.0, 4.0]), ("SIMPLE_RADIAL", [1.0, 3.0, 4.0, 0.1]), ("ODD", [1.0]), ("PINHOLE", None)], "model string, params array<double>")
+    assert [tuple(r) for r in k.select(*scene.intrinsics(F.col("model"), F.col("params"))).collect()] == [(1, 2, 3, 4), (1, 1, 3, 4), (None,) * 4, (None,) * 4]
+    p = spark.createDataFrame([(0, 0, 3, 0.5), (0, 0, 2, 0.5), (0, 1, 9, 0.1)], "u int, v int, label int, score double")
+    assert rows(scene.paint(p, ["u", "v"], "label", "score")) == [(0, 0, 2), (0, 1, 9)]
+    r = spark.range(1).select(scene.learning_rate(F.lit(5), 1.0, 0.01, 10).alias("m"), scene.learning_rate(F.lit(99), 1.0, 0.01, 10).alias("e")).first()
+    assert r.m == pytest.approx(0.1) and r.e == pytest.approx(0.01)
