@@ -113,3 +113,23 @@ def safe_name(name: Column) -> Column:
 def stem(path: Column) -> Column:
     """Base name without its last suffix."""
     return F.regexp_replace(F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1), r"\.[^.]*$", "")
+
+
+def phrase_id(text: Column, rules: list[tuple[str, int]], other: int = 0) -> Column:
+    """Id of the first rule whose pattern is found in the trimmed lower-case text; ``other`` if none is, or for null."""
+    t = F.lower(F.trim(text))
+    out = F.lit(other)
+    for pattern, i in reversed(rules):
+        out = F.when(t.rlike(pattern), F.lit(i)).otherwise(out)
+    return out
+
+
+def drive_path(path: Column) -> Column:
+    """A path with forward slashes; a drive letter becomes a mount point."""
+    p = F.translate(path, "\\", "/")
+    return F.when(p.rlike("^[A-Za-z]:/"), F.concat(F.lit("/mnt/"), F.lower(F.substring(p, 1, 1)), F.substr(p, F.lit(3)))).otherwise(p)
+
+
+def fill(template: str, label: Column) -> Column:
+    """The template with each {label} replaced."""
+    return F.replace(F.lit(template), F.lit("{label}"), label)

@@ -92,3 +92,13 @@ def p_steady_masks(spark, d):
     v = _points(spark, d).select("point_id", C("f_dc_0").cast("double").alias("c"))
     s = _seen(spark, d).select("view_idx", mask, "point_id").join(v, "point_id").groupBy("view_idx", "mask_id").agg(F.count("*").alias("n"), F.var_pop("c").alias("var"))
     return Z.steady_masks(s, ["view_idx"]).drop("var")
+
+
+@query(r"""SELECT annotation_id, CASE WHEN regexp_matches(p,'^[A-Za-z]:/') THEN '/mnt/'||lower(p[1])||substr(p,3) ELSE p END AS path, 'a photo of '||w||'.' AS prompt,
+ (CASE WHEN regexp_matches(w,'facade|roof') THEN 1 WHEN regexp_matches(w,'scaffold|pave') THEN 2 WHEN regexp_matches(w,'o') THEN 3 ELSE 0 END)::INT AS rule FROM (SELECT DISTINCT annotation_id, replace(mask_path,'\','/') AS p, lower(trim(label)) AS w FROM mask_labels)""")
+def f_paths_phrases(spark, d):
+    from .functions import exprs as X
+
+    m = table(spark, d, "mask_labels").select("annotation_id", F.translate("mask_path", "\\", "/").alias("p"), F.lower(F.trim("label")).alias("w")).distinct()
+    rules = [("facade|roof", 1), ("scaffold|pave", 2), ("o", 3)]
+    return m.select("annotation_id", X.drive_path(C("p")).alias("path"), X.fill("a photo of {label}.", C("w")).alias("prompt"), X.phrase_id(C("w"), rules).alias("rule"))
