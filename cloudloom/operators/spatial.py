@@ -95,3 +95,18 @@ def column_owner(df: DataFrame, by: list[str], label: str, side: float) -> DataF
     size = df.where(F.col(label) > 0).groupBy(*by, label).agg(F.count("*").alias("size"))
     cells = df.where(F.col(label) > 0).select(*by, label, F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")).distinct()
     return cells.join(size, [*by, label]).groupBy(*by, "cx", "cy").agg(F.min(F.struct((-F.col("size")).alias("s"), F.col(label).alias("owner")))["owner"].alias("owner"))
+
+
+def nearest_k(df: DataFrame, key: str, by: list[str], radius: float, k: int) -> DataFrame:
+    """The k nearest others of each point within a radius: a, b, dist, rank; ties to the lower id. Exact wherever k points lie within it."""
+    pairs = within(df, key, by, radius).select("a", "b", "dist")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where(F.col("rank") <= k)
+
+
+def sparse_outliers(neighbours: DataFrame, times: float = 1.0) -> DataFrame:
+    """Points whose mean squared neighbour distance reaches mean + times * deviation over all neighbours: a, mean_d2."""
+    d2 = neighbours.withColumn("d2", F.col("dist") * F.col("dist"))
+    limit = d2.agg((F.avg("d2") + times * F.stddev_samp("d2")).alias("t")).first()["t"]  # one number
+    mean = d2.groupBy("a").agg(F.avg("d2").alias("mean_d2"))
+    return mean.where(F.col("mean_d2") >= F.lit(limit)) if limit is not None else mean.limit(0)

@@ -115,3 +115,27 @@ def f_similarity_transform(spark, d):
 def w_top_views(spark, d):
     v = table(spark, d, "camera_views").select("scene", "view_idx", (C("width") * C("height")).alias("area")).distinct()
     return I.top_per_group(v, ["scene"], [F.desc("area"), "view_idx"], 3).drop("rank")
+
+
+NEAR = SP + """, p AS (SELECT point3d_id a, scene, x, y, z FROM sp WHERE x IS NOT NULL), n AS (SELECT p.a, q.a AS b, sqrt((p.x-q.x)**2+(p.y-q.y)**2+(p.z-q.z)**2) AS dist FROM p JOIN p q ON p.scene=q.scene AND p.a<>q.a),
+ k AS (SELECT * FROM n WHERE dist <= 4.0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) <= 3)"""
+
+
+@query(NEAR + " SELECT a, count(*)::BIGINT AS n, round(avg(dist*dist),4) AS mean_d2 FROM k GROUP BY a")
+def j_mean_3nn(spark, d):
+    n = S.nearest_k(_sparse(spark, d), "point3d_id", ["scene"], 4.0, 3)
+    return n.groupBy("a").agg(F.count("*").alias("n"), F.round(F.avg(C("dist") * C("dist")), 4).alias("mean_d2"))
+
+
+@query(NEAR + ", t AS (SELECT avg(dist*dist)+stddev_samp(dist*dist) AS t FROM k) SELECT a, round(avg(dist*dist),4) AS mean_d2 FROM k, t GROUP BY a HAVING avg(dist*dist) >= any_value(t)")
+def j_sparse_outliers(spark, d):
+    n = S.nearest_k(_sparse(spark, d), "point3d_id", ["scene"], 4.0, 3)
+    return S.sparse_outliers(n).select("a", F.round("mean_d2", 4).alias("mean_d2"))
+
+
+@query(NEAR + " SELECT scene, round(greatest(quantile_cont(dist,0.75), 1.3*quantile_cont(dist,0.5), 0.001),4) AS voxel FROM k JOIN p USING (a) GROUP BY scene")
+def a_voxel_size(spark, d):
+    s = _sparse(spark, d)
+    n = S.nearest_k(s, "point3d_id", ["scene"], 4.0, 3).join(s.select(C("point3d_id").alias("a"), "scene"), "a")
+    q = n.groupBy("scene").agg(F.percentile("dist", F.lit(0.75)).alias("q"), F.percentile("dist", F.lit(0.5)).alias("m"))
+    return q.select("scene", F.round(F.greatest("q", 1.3 * C("m"), F.lit(0.001)), 4).alias("voxel"))
