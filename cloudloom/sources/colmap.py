@@ -110,3 +110,22 @@ def keep_list(spark: SparkSession, path: str) -> DataFrame:
     """Names of a keep-list; comments and blank lines are passed over."""
     line = F.trim(F.regexp_replace("value", r"#.*$", ""))
     return spark.read.text(path).select(line.alias("name")).where(F.length("name") > 0).distinct()
+
+
+def read_images_text(spark: SparkSession, path: str) -> DataFrame:
+    """Two lines a record: pose and name, then 2-D points; the second may be blank. A record that doesn't parse is passed over."""
+
+    def parse(m):
+        lines = [x for x in bytes(m).decode("utf-8", "replace").split("\n") if not x.startswith("#")]
+        at = 0
+        while at < len(lines):
+            w = lines[at].split()
+            if len(w) < 10:
+                at += 1
+                continue
+            p = lines[at + 1].split() if at + 1 < len(lines) else []
+            points = [{"x": float(a), "y": float(b), "point3d_id": int(c)} for a, b, c in zip(p[::3], p[1::3], p[2::3])]
+            yield {"image_id": int(w[0]), "qvec": [float(x) for x in w[1:5]], "tvec": [float(x) for x in w[5:8]], "camera_id": int(w[8]), "name": " ".join(w[9:]), "points2d": points}
+            at += 2
+
+    return _scan(spark, path, parse, "image_id int, qvec array<double>, tvec array<double>, camera_id int, name string, points2d array<struct<x:double,y:double,point3d_id:bigint>>")

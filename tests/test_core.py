@@ -189,3 +189,19 @@ def test_scene_functions(spark):
     assert rows(scene.paint(p, ["u", "v"], "label", "score")) == [(0, 0, 2), (0, 1, 9)]
     r = spark.range(1).select(scene.learning_rate(F.lit(5), 1.0, 0.01, 10).alias("m"), scene.learning_rate(F.lit(99), 1.0, 0.01, 10).alias("e")).first()
     assert r.m == pytest.approx(0.1) and r.e == pytest.approx(0.01)
+
+
+def test_text_images_and_transforms(spark, tmp_path):
+    import json
+
+    from cloudloom.sources.transforms import read_transforms
+
+    (tmp_path / "images.txt").write_text("# c\n1 1 0 0 0 1 2 3 7 a b.jpg\n1.5 2.5 -1 3 4 9\n2 1 0 0 0 1 2 3 7 c.jpg\n\n3 1 0 0 0 1 2 3 7 d.jpg\n")
+    got = {r.image_id: r for r in colmap.read_images_text(spark, str(tmp_path / "images.txt")).collect()}
+    assert got[1].name == "a b.jpg" and [p.point3d_id for p in got[1].points2d] == [-1, 9] and got[2].points2d == [] and got[3].name == "d.jpg"
+    c2w = [[0, -1, 0, 1], [1, 0, 0, 2], [0, 0, 1, 3], [0, 0, 0, 1]]
+    (tmp_path / "t.json").write_text(json.dumps({"w": 100, "h": 50, "camera_angle_x": 1.0, "frames": [{"file_path": "a", "transform_matrix": c2w, "fl_x": 9}, {"file_path": "b", "transform_matrix": c2w}, {"file_path": "c"}]}))
+    v = {r.name: r for r in read_transforms(spark, str(tmp_path / "t.json")).collect()}
+    flip = np.array(c2w, float) @ np.diag([1, -1, -1, 1])
+    assert np.allclose(np.array(v["a"].w2c).reshape(4, 4), np.linalg.inv(flip)) and set(v) == {"a", "b"}
+    assert v["a"].fx == 9 and v["b"].fx == pytest.approx(50 / np.tan(0.5)) and v["b"].cx == 50
