@@ -68,3 +68,9 @@ def learning_rate(step: Column, first: float, last: float, steps: int) -> Column
     """Log-linear schedule from ``first`` to ``last`` over ``steps``; held beyond."""
     t = F.least(F.greatest(step / float(steps), F.lit(0.0)), F.lit(1.0))
     return F.exp(math.log(first) * (1 - t) + math.log(last) * t)
+
+
+def leaf_scores(rows: DataFrame, leaf: str, score: str, matched: str) -> DataFrame:
+    """Mean score of the matched rows of each leaf (the count is raised by 1e-6, so a leaf without a match scores 0), and their number."""
+    n = F.count_if(F.col(matched))
+    return rows.groupBy(leaf).agg(F.round(F.sum(F.when(F.col(matched), F.col(score)).otherwise(0.0)) / (n + 1e-6), 5).alias("score"), n.alias("n"))

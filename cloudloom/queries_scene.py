@@ -102,3 +102,20 @@ def f_paths_phrases(spark, d):
     m = table(spark, d, "mask_labels").select("annotation_id", F.translate("mask_path", "\\", "/").alias("p"), F.lower(F.trim("label")).alias("w")).distinct()
     rules = [("facade|roof", 1), ("scaffold|pave", 2), ("o", 3)]
     return m.select("annotation_id", X.drive_path(C("p")).alias("path"), X.fill("a photo of {label}.", C("w")).alias("prompt"), X.phrase_id(C("w"), rules).alias("rule"))
+
+
+@query(PTS + """, l AS (SELECT point_id%50 AS leaf, 1/(1+exp(-coalesce(opacity,0)::DOUBLE)) AS w, (f_dc_0 > 0) AS hit FROM pts)
+ SELECT leaf, round(sum(CASE WHEN hit THEN w ELSE 0 END)/(sum(hit::INT)+1e-6),5) AS score, sum(hit::INT)::BIGINT AS n FROM l GROUP BY leaf""")
+def a_leaf_score(spark, d):
+    from .functions.exprs import sigmoid
+
+    l = _points(spark, d).select((C("point_id") % 50).alias("leaf"), sigmoid(F.coalesce("opacity", F.lit(0)).cast("double")).alias("w"), (C("f_dc_0") > 0).alias("hit"))
+    return Z.leaf_scores(l, "leaf", "w", "hit")
+
+
+@query("""WITH l AS (SELECT DISTINCT annotation_id, view_name, lower(trim(label)) AS prompt FROM mask_labels WHERE view_name IS NOT NULL AND label IS NOT NULL AND trim(label)<>''), s AS (SELECT view_name, prompt, count(*) AS n FROM l GROUP BY ALL) SELECT view_name, prompt, n::BIGINT AS score FROM s QUALIFY row_number() OVER (PARTITION BY view_name ORDER BY n DESC, prompt)=1""")
+def a_best_prompt(spark, d):
+    l = table(spark, d, "mask_labels").where(C("view_name").isNotNull() & (F.length(F.trim("label")) > 0)).select("annotation_id", "view_name", F.lower(F.trim("label")).alias("prompt")).distinct()
+    s = l.groupBy("view_name", "prompt").agg(F.count("*").alias("n"))
+    best = s.groupBy("view_name").agg(F.min(F.struct((-C("n")).alias("k"), "prompt")).alias("b"))
+    return best.select("view_name", C("b.prompt").alias("prompt"), (-C("b.k")).alias("score"))
