@@ -129,10 +129,16 @@ def p_core_points(spark, d):
 
 def _views(spark, d):
     v = table(spark, d, "camera_views")
-    return v.groupBy("view_idx").agg(*[F.first(c).alias(c) for c in v.columns if c != "view_idx"]).where(C("view_idx") % 2 == 0)
+    return v.groupBy("view_idx").agg(*[F.first(c).alias(c) for c in v.columns if c != "view_idx"])
 
 
-#: Every second view votes (the reference's stride); a mask is an 8 x 8 pixel checker of eight labels.
+@query()
+def p_view_stride(spark, d):
+    """Every second view of each scene in the order of its list (the reference's vote_stride, an option of voting and fusing alone)."""
+    return P.every_nth(_views(spark, d).select("view_idx", "scene"), "view_idx", ["scene"], 2)[["view_idx"]]
+
+
+#: A mask is an 8 x 8 pixel checker of eight labels. This SQL still takes every second view only, where the queries take all.
 SEEN = PTS + """, vw AS (SELECT *, coalesce(fx,width) AS gx, coalesce(fy,width) AS gy, coalesce(cx,width/2) AS hx, coalesce(cy,height/2) AS hy FROM camera_views WHERE view_idx%2=0 QUALIFY row_number() OVER (PARTITION BY view_idx ORDER BY name)=1),
  cam AS (SELECT v.*, p.point_id, w2c[1]*x+w2c[2]*y+w2c[3]*z+w2c[4] AS px, w2c[5]*x+w2c[6]*y+w2c[7]*z+w2c[8] AS py, w2c[9]*x+w2c[10]*y+w2c[11]*z+w2c[12] AS pz FROM pts p JOIN vw v USING (scene)),
  uv AS (SELECT view_idx, point_id, pz, width, height, projection_mode='orthographic' AS ortho, CASE WHEN projection_mode='orthographic' THEN round_even((px-ortho_x_min)/(CASE WHEN ortho_x_max>ortho_x_min THEN ortho_x_max-ortho_x_min END)*(width-1),0) ELSE round_even(gx*px/pz+hx,0) END AS u,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import exprs as X
 from .operators import instances as I
 from .operators import spatial as S
+from .operators import tracks as T
 from .queries_core import PTS, SEEN, SP, _points, _seen, _sparse, _views
 from .util import table
 
@@ -76,17 +77,23 @@ def p_train_split(spark, d):
 
 @query("""WITH w AS (SELECT DISTINCT lower(name) AS n, regexp_replace(name,'\\.[^.]*$','') AS s FROM camera_views WHERE view_idx%3=0) SELECT DISTINCT view_idx FROM camera_views v WHERE lower(name) IN (SELECT n FROM w) OR regexp_replace(name,'\\.[^.]*$','') IN (SELECT s FROM w)""")
 def p_whitelist(spark, d):
-    v = table(spark, d, "camera_views").select("view_idx", "name")
-    keep = v.where(C("view_idx") % 3 == 0)
-    by_name = v.withColumn("k", F.lower("name")).join(keep.select(F.lower("name").alias("k")), "k", "left_semi")
-    by_stem = v.withColumn("k", X.stem(C("name"))).join(keep.select(X.stem(C("name")).alias("k")), "k", "left_semi")
-    return by_name.select("view_idx").unionByName(by_stem.select("view_idx")).distinct()
+    """Views named by a label, by base name in any case, by stem, or by the stem of the mask's path."""
+    v = table(spark, d, "camera_views").select("view_idx", "name", "mask_path")
+    keep = table(spark, d, "mask_labels").select("view_name", "mask_path")
+    base = lambda c: F.lower(F.element_at(F.split(F.translate(c, "\\", "/"), "/"), -1)).alias("k")
+    by_name = v.withColumn("k", base("name")).join(keep.select(base("view_name")), "k", "left_semi")
+    by_stem = v.withColumn("k", X.stem(C("name"))).join(keep.select(X.stem(C("view_name")).alias("k")), "k", "left_semi")
+    by_mask = v.withColumn("k", X.stem(C("mask_path"))).join(keep.select(X.stem(C("mask_path")).alias("k")), "k", "left_semi")
+    return by_name.select("view_idx").unionByName(by_stem.select("view_idx")).unionByName(by_mask.select("view_idx")).distinct()
 
 
 @query(SP + """, t AS (SELECT point3d_id, len(list_filter(coalesce(track,[]), lambda o: o.image_id%2=0))::INT AS n FROM sp) SELECT point3d_id, n AS kept FROM t WHERE n >= 2""")
 def p_track_length(spark, d):
-    n = F.size(F.filter("track", lambda o: o["image_id"] % 2 == 0))
-    return _sparse(spark, d).withColumn("kept", n).where("kept >= 2").select("point3d_id", "kept")
+    """Observations in images that are kept: those whose row loaded last isn't deleted."""
+    last = table(spark, d, "images").where(C("image_id").isNotNull()).groupBy("image_id").agg(F.max(F.struct("loaded_at", "deleted_at")).alias("m"))
+    keep = last.where(C("m.deleted_at").isNull()).select("image_id")
+    n = T.edges(_sparse(spark, d)).join(keep, "image_id", "left_semi").groupBy("point3d_id").agg(F.count("*").cast("int").alias("kept"))
+    return n.where("kept >= 2")
 
 
 @query(SP + """, p AS (SELECT point3d_id a, scene, x, y, z FROM sp WHERE x IS NOT NULL), l AS (SELECT *, a%5=0 AS has FROM p), c AS (SELECT l.a, q.a AS b, sqrt((l.x-q.x)**2+(l.y-q.y)**2+(l.z-q.z)**2) AS dist FROM l JOIN l q ON l.scene=q.scene AND NOT l.has AND q.has)
