@@ -98,10 +98,36 @@ def column_owner(df: DataFrame, by: list[str], label: str, side: float) -> DataF
 
 
 def nearest_k(df: DataFrame, key: str, by: list[str], radius: float, k: int) -> DataFrame:
-    """The k nearest others of each point within a radius: a, b, dist, rank; ties to the lower id. Exact wherever k points lie within it."""
-    pairs = within(df, key, by, radius).select("a", "b", "dist")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where(F.col("rank") <= k)
+    """The k nearest others of each point of its group: a, b, dist, rank; ties to the lower id. Fewer only where the group has fewer.
+
+    ``radius`` is where the search starts. Points with fewer than k others within it ask again with a doubled radius until none is
+    left; distances are finite, so it ends.
+    """
+    p = df.where(F.col(key).isNotNull())
+    for x in "xyz":
+        p = p.where(F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(F.col(x).cast("double")) < float("inf")))
+    p = cut(p.select(*by, F.col(key).alias("a"), *[F.col(x).cast("double").alias(x) for x in "xyz"]))
+    # a point of a group of n points has n - 1 others, so it waits for no more
+    want = p.groupBy(*by).agg(F.least(F.count("*") - 1, F.lit(k)).alias("want"))
+    left = cut(p.join(want, by).where("want > 0"))
+    other = p.select(*by, F.col("a").alias("b"), *[F.col(x).alias(f"o{x}") for x in "xyz"])
+    dist = F.sqrt(sum((F.col(x) - F.col(f"o{x}")) ** 2 for x in "xyz"))
+    out = None
+    while not left.isEmpty():
+        cells = other.select("*", *[F.floor(F.col(f"o{x}") / radius).alias(f"c{x}") for x in "xyz"])
+        ask = left
+        for x in "xyz":
+            ask = ask.withColumn(f"c{x}", F.explode(F.array(*[F.floor(F.col(x) / radius) + i for i in (-1, 0, 1)])))
+        near = ask.join(cells, [*by, *[f"c{x}" for x in "xyz"]]).where("a <> b").withColumn("dist", dist).where(F.col("dist") <= radius)
+        rank = F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))
+        found = near.select("a", "b", "dist", "want").withColumn("rank", rank).where(F.col("rank") <= k)
+        full = F.count("*").over(Window.partitionBy("a")) >= F.col("want")
+        found = cut(found.withColumn("full", full).where("full").select("a", "b", "dist", "rank"))
+        out = found if out is None else out.unionByName(found)
+        last, left = left, cut(left.join(found.select("a").distinct(), "a", "left_anti"))
+        drop(last)
+        radius *= 2
+    return out if out is not None else left.select("a", F.col("a").alias("b"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
 
 
 def sparse_outliers(neighbours: DataFrame, times: float = 1.0) -> DataFrame:
