@@ -3,8 +3,9 @@
 Texts are brought to a stream of letters (case, accents, marks and spaces go), cut at line ends and column gaps, since lines of
 one passage may stand in any order among columns and adverts. By the q-gram lemma a line that holds w letters of a passage with at
 most e edits shares at least w - q + 1 - q * e of its q-grams, all within one band of diagonals; bands overlap by half, so none is
-cut. Pages whose bands meet the bound are verified: the lines are aligned to the passage within the band, and aligned parts that
-follow each other (over a line end) are chained. An item leaks if a chain holds ``min_words`` consecutive words.
+cut. All q-grams count, however many
+passages share them. Lines whose bands meet the bound are aligned to the passage, and aligned parts that follow each other (over a
+line end, where the neighbouring line's edge is aligned too) are chained. An item leaks if a chain holds ``min_words`` consecutive words.
 
 The search is a stated query set (the items) against all pages: the items go out in blocks of at most BLOCK_CHARS characters, the
 pages stay where they are, and nothing is shuffled but the found pairs.
@@ -25,15 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of a q-gram, diagonals of a band, share of edits, and the passages that may share a q-gram for it to seed a search.
-Q, BAND, EDITS, SEED_PASSAGES = 5, 6, 0.12, 3
-#: Distinct seeds that a page needs within a stretch of so many letters of a passage before it is verified. Ten words have some
-#: fifty letters and two names or more, whose q-grams are all rare; edits may still cost Q seeds each.
-MIN_SEEDS, WINDOW = 12, 80
+#: Letters of a q-gram, diagonals of a band, share of edits.
+Q, BAND, EDITS = 5, 6, 0.12
+#: Letters of the shortest lines that a stretch of words may run over, and q-grams of a line in one band from which it is aligned.
+#: Shorter pieces at a line's edge are found from their neighbour: up to EDGE letters have fewer q-grams than that at one edit.
+LINE, HITS, EDGE = 12, 3, 16
 #: An alignment ends where it falls so far below its best.
 DROP = 11
-#: Characters of items that go out at once.
-BLOCK_CHARS = 20_000_000
+#: Characters of items that go out at once, and pairs of q-grams of pages and passages that are looked at together.
+BLOCK_CHARS, HIT_PAIRS = 20_000_000, 1_000_000
 BASE = np.uint64(1_000_003)
 
 
@@ -66,7 +67,7 @@ def _grams(letters: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Passages:
-    """Distinct passages: letters, word of each letter, and a sorted index of their rarer q-grams."""
+    """Distinct passages: letters, word of each letter, a sorted index of all their q-grams, and the q-grams that a leak leaves."""
 
     def __init__(self, texts: list[str], min_words: int):
         table = _letters()
@@ -89,128 +90,193 @@ class Passages:
         order = np.argsort(gram, kind="stable")
         gram, who, where = gram[order], who[order], where[order]
         self.key, start, count = np.unique(gram, return_index=True, return_counts=True)
-        rare = count <= SEED_PASSAGES
-        self.key, self.start, self.count = self.key[rare], start[rare], count[rare]
+        self.start, self.count = start, count
         self.who, self.where = who, where
         self.key = np.append(self.key, np.iinfo(np.uint64).max)
+        self.count = np.append(self.count, 0)
+        # ten words of n letters keep n - (Q - 1) q-grams less Q - 1 at each line end and Q at each edit
+        self.need = np.ones(len(texts), dtype=int)
+        # and words that are there to 0.7 have so many letters
+        self.least = np.full(len(texts), min_words)
+        for p, size in enumerate(self.size):
+            if len(size) >= min_words:
+                n = np.convolve(size, np.ones(min_words, dtype=int), "valid")
+                self.least[p] = int(0.7 * n.min())
+                self.need[p] = max(1, int((n - (Q - 1) * (1 + n // LINE) - Q * np.floor(EDITS * n)).min()))
+        most = max([min_words, *map(len, self.size)])
+        self.word_size = np.zeros((len(texts), most), dtype=np.int64)
+        for p, size in enumerate(self.size):
+            self.word_size[p, : len(size)] = size
+        self.word_end = np.cumsum(self.word_size, axis=1)
+        self.length = np.array([len(x) for x in self.letters], dtype=np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.flat = np.concatenate([*self.letters, np.zeros(1, dtype=np.uint32)])
 
 
-def _candidates(px: Passages, letters: np.ndarray, seg: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (doc, passage) that share enough q-grams in bands of diagonals."""
-    none = np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+def _regions(px: Passages, letters: np.ndarray, seg: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(line, passage, diagonal) of each band with enough q-grams, for pages that share enough q-grams with the passage."""
     g = _grams(letters)
     if not len(g):
-        return none
+        return
     at = np.searchsorted(px.key, g)
     hit = np.flatnonzero((px.key[at] == g) & (seg[: len(g)] == seg[Q - 1 :]))
-    if not len(hit):
-        return none
-    k = at[hit]
-    n = px.count[k]
-    place = np.repeat(hit, n)
-    inner = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-    entry = np.repeat(px.start[k], n) + inner
-    who, diagonal = px.who[entry], place - px.where[entry]
-    # each hit stands in two bands, so a region of BAND / 2 diagonals lies whole in one of them
-    half = BAND // 2
-    band = np.concatenate([diagonal // half, diagonal // half + 1])
-    band -= band.min()
-    region = (np.tile(seg[place].astype(np.int64), 2) * len(px.letters) + np.tile(who, 2)) * (int(band.max()) + 1) + band
-    _, back, count = np.unique(region, return_inverse=True, return_counts=True)
-    good = (count >= 2)[back.ravel()]
-    good = good[: len(place)] | good[len(place) :]
-    # distinct places of the passage that stand in a good band, the most in any stretch of WINDOW letters
-    group = doc[place[good]].astype(np.int64) * len(px.letters) + who[good]
-    span = max(len(x) for x in px.letters) + WINDOW
-    spot = np.unique(group * span + px.where[entry[good]])
-    low = np.maximum(spot - WINDOW, spot // span * span)
-    in_window = np.arange(len(spot)) - np.searchsorted(spot, low) + 1
-    enough = np.unique(spot[in_window >= MIN_SEEDS] // span)
-    return enough // len(px.letters), enough % len(px.letters)
-
-
-def _align(line: list[int], passage: list[int], diagonal: int, width: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment in the band: score, line start and end, passage start and end (ends are one past the last)."""
-    best = (0, 0, 0, 0, 0)
-    before: dict[int, tuple[int, int, int, int]] = {}  # score, line start, passage start, highest score on the way
-    n = len(passage)
-    for i, ch in enumerate(line):
-        now: dict[int, tuple[int, int, int, int]] = {}
-        for j in range(max(0, i - diagonal - width), min(n, i - diagonal + width + 1)):
-            s = before.get(j - 1)
-            if passage[j] == ch:
-                top = (s[0] + 2, s[1], s[2], max(s[3], s[0] + 2)) if s else (2, i, j, 2)
-            else:
-                top = (s[0] - 3, s[1], s[2], s[3]) if s else (0, i, j, 0)
-            up = before.get(j)
-            if up and up[0] - 3 > top[0]:
-                top = (up[0] - 3, up[1], up[2], up[3])
-            left = now.get(j - 1)
-            if left and left[0] - 3 > top[0]:
-                top = (left[0] - 3, left[1], left[2], left[3])
-            # other words in a row end the alignment: three edits may follow each other, not more
-            if top[0] > 0 and top[0] > top[3] - DROP:
-                now[j] = top
-                if top[0] > best[0]:
-                    best = (top[0], top[1], i + 1, top[2], j + 1)
-        before = now
-    return best
-
-
-def _verify(line_letters: list[np.ndarray], letters: np.ndarray, word: np.ndarray, size: np.ndarray, min_words: int) -> bool:
-    """Whether the lines hold ``min_words`` consecutive words of the passage."""
-    q = 4
-    index: dict[int, list[int]] = {}
-    for j, h in enumerate(_grams(letters, q).tolist()):
-        index.setdefault(h, []).append(j)
-    passage = letters.tolist()
-    parts = []  # (passage start, passage end, touches line start, touches line end)
-    for x in line_letters:
-        bands: dict[int, int] = {}
-        for i, h in enumerate(_grams(x, q).tolist()):
-            for j in index.get(h, ()):
-                b = (i - j) // 3
-                bands[b] = bands.get(b, 0) + 1
-                bands[b + 1] = bands.get(b + 1, 0) + 1
-        line = x.tolist()
-        if len(line) < q + 2:  # too short for q-grams under misreads: the whole line against each place
-            text = tuple(line)
-            for j in range(len(passage) - len(line) + 1) if len(line) >= 2 else ():
-                if tuple(passage[j : j + len(line)]) == text:
-                    parts.append((j, j + len(line), True, True))
+    # whole pages at a time
+    pairs = np.cumsum(px.count[at[hit]])
+    last = np.flatnonzero(np.diff(doc[hit], append=-1))
+    begin = 0
+    while begin < len(hit):
+        done = pairs[begin - 1] if begin else 0
+        k = np.searchsorted(pairs[last], done + HIT_PAIRS)
+        end = last[max(np.searchsorted(last, begin), min(k, len(last) - 1))] + 1
+        part, key = hit[begin:end], at[hit[begin:end]]
+        begin = end
+        n = px.count[key]
+        place = np.repeat(part, n)
+        inner = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+        entry = np.repeat(px.start[key], n) + inner
+        who, where = px.who[entry], px.where[entry]
+        pair = doc[place].astype(np.int64) * len(px.letters) + who
+        _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
+        keep = (count >= px.need[_who_of(pair, back, who)])[back.ravel()]
+        place, who, where = place[keep], who[keep], where[keep]
+        if not len(place):
             continue
-        seen = set()
-        tried: list[int] = []
-        for b, n in sorted(bands.items(), key=lambda kv: -kv[1]):
-            if len(tried) == 2 or n < min(4, len(line) // 6):
-                break
-            if any(abs(b - t) <= 2 for t in tried):
-                continue
-            tried.append(b)
-            score, i0, i1, j0, j1 = _align(line, passage, b * 3, 3 + int(EDITS / 2 * len(line)))
-            if score >= max(8, (2 - 5 * EDITS) * (j1 - j0)) and (j0, j1) not in seen:
-                seen.add((j0, j1))
-                parts.append((j0, j1, i0 <= 2, i1 >= len(line) - 2))
-    parts.sort()
-    reach: list[tuple[int, int]] = []  # chain so far of each part: first and last letter
+        # each hit stands in two bands, so a region of BAND / 2 diagonals lies whole in one of them
+        half = BAND // 2
+        band = (place - where) // half
+        low = int(band.min())
+        span = int(band.max()) - low + 3
+        base = (seg[place].astype(np.int64) * len(px.letters) + who) * span - low
+        region, count = np.unique(np.concatenate([base + band, base + band + 1]), return_counts=True)
+        region, count = region[count >= HITS], count[count >= HITS]
+        # a band beside a fuller one that is aligned lies whole in that alignment's width
+        left, right = np.diff(region, prepend=-9) == 1, np.diff(region, append=np.iinfo(np.int64).max) == 1
+        before, after = np.append(0, count[:-1]), np.append(count[1:], 0)
+        top = ~(left & (before >= count)) & ~(right & (after > count))
+        region = region[top | ~((left & np.append(False, top[:-1])) | (right & np.append(top[1:], False)))]
+        line_who = region // span
+        yield line_who // len(px.letters), line_who % len(px.letters), (region % span + low) * half
+
+
+def _who_of(pair: np.ndarray, back: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Passage of each distinct pair."""
+    out = np.zeros(int(back.max()) + 1, dtype=np.int64)
+    out[back.ravel()] = who
+    return out
+
+
+def _align(px: Passages, letters: np.ndarray, start: np.ndarray, size: int, length: np.ndarray, who: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Best local alignment of each line in its band: score, line start and end, passage start and end (ends are one past the last).
+
+    ``start`` and ``length`` give each line's letters, at most ``size``; ``diagonal`` is the line's place less the passage's. A cell holds
+    score, highest score on the way, line start and start in the band, packed in this order, so the greater cell has the better score.
+    """
+    width = 3 + max(BAND // 2, int(EDITS * size))
+    wide, m = 2 * width + 1, len(who)
+    # bits of the start in the band, the line start and a score; short lines fit 32 bits
+    cb, ib, sb = wide.bit_length(), size.bit_length(), (2 * size).bit_length()
+    kind = np.int32 if cb + ib + 2 * sb < 31 else np.int64
+    hs, ss = cb + ib, cb + ib + sb
+    one, low, mask = kind(1 << ss), kind((1 << hs) - 1), kind((1 << sb) - 1)
+    k = np.arange(size)[:, None]
+    line = np.where(k < length, letters[np.minimum(start + k, len(letters) - 1)], 0x7FFFFFFF).astype(np.int32)
+    place = np.arange(size + wide)[:, None] - diagonal - width
+    there = (place >= 0) & (place < px.length[who])
+    text = np.where(there, px.flat[np.where(there, px.first[who] + place, 0)], 0).astype(np.int32)
+    col = np.arange(wide, dtype=kind)[:, None]
+    cell = np.zeros((wide, m), dtype=kind)
+    best = np.zeros(m, dtype=kind)
+    end, end_col = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+    for i in range(size):
+        down = cell - kind(3) * one
+        now = np.where(text[i : i + wide] == line[i], np.maximum(cell, kind(i << cb) + col) + kind(2) * one, down)
+        np.maximum(now[:-1], down[1:], out=now[:-1])
+        # other words in a row end the alignment: three edits may follow each other, not more
+        for _ in range(3):
+            now[1:] = np.maximum(now[1:], now[:-1] - kind(3) * one)
+        score = now >> kind(ss)
+        high = np.maximum((now >> kind(hs)) & mask, score)
+        alive = (score > 0) & (score > high - kind(DROP))
+        cell = ((score << kind(ss)) | (high << kind(hs)) | (now & low)) * alive
+        value = cell.max(axis=0)
+        better = np.flatnonzero((value >> kind(ss)) > (best >> kind(ss)))
+        best[better], end[better], end_col[better] = value[better], i, cell[:, better].argmax(axis=0)
+    i0, col0 = ((best & low) >> kind(cb)).astype(np.int64), (best & kind((1 << cb) - 1)).astype(np.int64)
+    return (best >> kind(ss)).astype(np.int64), i0, end + 1, i0 - diagonal + col0 - width, end + 1 - diagonal + end_col - width
+
+
+def _edge(line: list[int], passage: list[int]) -> int:
+    """Letters at the start of the line that go on as the passage does: three at least, or the whole line."""
+    score, good = 0, 0
+    for k, (a, b) in enumerate(zip(line, passage), 1):
+        score += 2 if a == b else -3
+        if score >= (2 - 5 * EDITS) * k:
+            good = k
+        elif score <= -DROP:
+            break
+    return good if good >= min(3, len(line)) else 0
+
+
+def _verify(parts: list[tuple[int, int, int, bool, bool]], line_of: list[np.ndarray], letters: np.ndarray, word: np.ndarray, size: np.ndarray, min_words: int) -> bool:
+    """Whether the lines hold ``min_words`` consecutive words of the passage. A part is (passage start, passage end, line, touches the
+    line's start, touches its end)."""
+    more = set(parts)
+    text = letters.tolist()
+    for j0, j1, k, head, tail in parts:
+        if tail and k + 1 < len(line_of):
+            n = _edge(line_of[k + 1][:EDGE].tolist(), text[j1 : j1 + EDGE])
+            if n:
+                more.add((j1, j1 + n, k + 1, True, n >= len(line_of[k + 1]) - 2))
+        if head and k > 0:
+            n = _edge(line_of[k - 1][: -EDGE - 1 : -1].tolist(), text[max(0, j0 - EDGE) : j0][::-1])
+            if n:
+                more.add((j0 - n, j0, k - 1, n >= len(line_of[k - 1]) - 2, True))
+    parts = sorted(more)
+    reach: list[int] = []  # first letter of the chain so far of each part
     best = 0
-    for k, (j0, j1, head, tail) in enumerate(parts):
+    for k, (j0, j1, _, head, _) in enumerate(parts):
         start = j0
         if head:
             for m in range(k):
-                a0, a1, _, a_tail = parts[m]
-                if a_tail and -4 <= j0 - a1 <= 5:
-                    start = min(start, reach[m][0])
-        reach.append((start, j1))
+                if parts[m][4] and -4 <= j0 - parts[m][1] <= 5:
+                    start = min(start, reach[m])
+        reach.append(start)
+        if word[j1 - 1] - word[start] + 1 < min_words:
+            continue
         inside = np.bincount(word[start:j1], minlength=len(size))
-        whole = inside >= np.maximum(1, 0.7 * size)
         run = 0
-        for w in whole.tolist():
+        for w in (inside >= np.maximum(1, 0.7 * size)).tolist():
             run = run + 1 if w else 0
             best = max(best, run)
     return best >= min_words
 
 
+def _covered(px: Passages, pair: np.ndarray, who: np.ndarray, low: np.ndarray, high: np.ndarray, min_words: int) -> np.ndarray:
+    """Pairs whose parts together could hold the words in a row: no chain reaches beyond the union of its parts."""
+    keys, first, back = np.unique(pair, return_index=True, return_inverse=True)
+    back, whose = back.ravel(), who[first]
+    good = np.bincount(back, high - low) >= px.least[whose]
+    span = int(px.length.max()) + 1
+    number = np.cumsum(good) - 1
+    rows = np.flatnonzero(good)
+    order = np.flatnonzero(good[back])
+    order = order[np.argsort(number[back[order]], kind="stable")]
+    at = number[back[order]]
+    for a in range(0, len(rows), 2048):
+        r = rows[a : a + 2048]
+        mine = order[np.searchsorted(at, a) : np.searchsorted(at, a + len(r))]
+        k = (number[back[mine]] - a) * span
+        cover = np.bincount(k + low[mine], minlength=len(r) * span) - np.bincount(k + high[mine], minlength=len(r) * span)
+        inside = np.cumsum(np.cumsum(cover.reshape(len(r), span), axis=1) > 0, axis=1)
+        inside = np.concatenate([np.zeros((len(r), 1), dtype=inside.dtype), inside], axis=1)
+        end, size = px.word_end[whose[r]], px.word_size[whose[r]]
+        here = np.take_along_axis(inside, end, axis=1) - np.take_along_axis(inside, np.maximum(end - size, 0), axis=1)
+        run = np.cumsum((size > 0) & (here >= np.maximum(1, 0.7 * size)), axis=1)
+        run = np.concatenate([np.zeros((len(r), 1), dtype=run.dtype), run], axis=1)
+        good[r] = (run[:, min_words:] - run[:, :-min_words] >= min_words).any(axis=1)
+    return good[back]
+
+
 def _search(px: Passages, texts: list[str], min_words: int) -> list[tuple[int, int]]:
     """(number of the text, number of the passage) of each verified pair."""
     table = _letters()
@@ -222,18 +288,43 @@ def _search(px: Passages, texts: list[str], min_words: int) -> list[tuple[int, i
     wide = np.zeros(len(raw), dtype=bool)
     if len(raw) > 2:
         wide[2:] = space[2:] & space[1:-1] & space[:-2]
-    seg_of = np.cumsum((raw == 10) | wide)
     code = table[raw]
     keep = code > 0
-    letters, seg, doc = code[keep], seg_of[keep], doc_of[keep]
-    docs, who = _candidates(px, letters, seg, doc)
+    letters, doc = code[keep], doc_of[keep]
+    if not len(letters):
+        return []
+    # lines by number, those without letters left out
+    seg = np.cumsum(np.diff(np.cumsum((raw == 10) | wide)[keep], prepend=0) > 0)
+    seg -= seg[0]
+    start = np.flatnonzero(np.diff(seg, prepend=-1))
+    length = np.diff(start, append=len(letters))
     found = []
-    for d, p in zip(docs.tolist(), who.tolist()):
-        a, b = np.searchsorted(doc, [d, d + 1])
-        x, s = letters[a:b], seg[a:b]
-        lines = np.split(x, np.flatnonzero(np.diff(s)) + 1)
-        if _verify(lines, px.letters[p], px.word[p], px.size[p], min_words):
-            found.append((d, p))
+    for line, who, diagonal in _regions(px, letters, seg, doc):
+        out = []
+        sizes = -(-length[line] // 8) * 8
+        for size in np.unique(sizes).tolist():
+            every = np.flatnonzero(sizes == size)
+            step = max(64, 60_000 // (7 + size // 4))
+            for a in range(0, len(every), step):
+                r = every[a : a + step]
+                score, i0, i1, j0, j1 = _align(px, letters, start[line[r]], size, length[line[r]], who[r], diagonal[r] - start[line[r]])
+                fit = score >= np.maximum(8, (2 - 5 * EDITS) * (j1 - j0))
+                out.append(np.stack([line[r], who[r], j0, j1, i0 <= 2, i1 >= length[line[r]] - 2])[:, fit])
+        if not out:
+            continue
+        line, who, j0, j1, head, tail = np.concatenate(out, axis=1)
+        pair = doc[start[line]].astype(np.int64) * len(px.letters) + who
+        low = np.where(head > 0, np.maximum(j0 - EDGE, 0), j0)
+        high = np.where(tail > 0, np.minimum(j1 + EDGE, px.length[who]), j1)
+        sel = np.flatnonzero(_covered(px, pair, who, low, high, min_words))
+        sel = sel[np.argsort(pair[sel], kind="stable")]
+        for part in np.split(sel, np.flatnonzero(np.diff(pair[sel])) + 1) if len(sel) else ():
+            d, p = divmod(int(pair[part[0]]), len(px.letters))
+            a, b = np.searchsorted(doc[start], [d, d + 1])
+            lines = [letters[start[k] : start[k] + length[k]] for k in range(a, b)]
+            parts = [(int(j0[r]), int(j1[r]), int(line[r] - a), bool(head[r]), bool(tail[r])) for r in part]
+            if _verify(parts, lines, px.letters[p], px.word[p], px.size[p], min_words):
+                found.append((d, p))
     return found
 
 
@@ -262,7 +353,7 @@ def leaked(docs: DataFrame, items: DataFrame, min_words: int = 10, block_chars:
                 at = 0
                 while at < len(text):
                     end, chars = at, 0
-                    while end < len(text) and (end == at or chars + len(text[end]) < 1_000_000):
+                    while end < len(text) and (end == at or chars + len(text[end]) < 200_000):
                         chars += len(text[end])
                         end += 1
                     pairs = [(key[at + d], i) for d, p in _search(px, text[at:end], min_words) for i in ids[p]]
