@@ -1,11 +1,15 @@
 """Evaluation passages in a training corpus (problem 7).
 
 Texts are brought to a stream of letters (case, accents, marks and spaces go), cut at line ends and column gaps, since lines of
-one passage may stand in any order among columns and adverts. By the q-gram lemma a line that holds w letters of a passage with at
-most e edits shares at least w - q + 1 - q * e of its q-grams, all within one band of diagonals; bands overlap by half, so none is
-cut. All q-grams count, however many
-passages share them. Lines whose bands meet the bound are aligned to the passage, and aligned parts that follow each other (over a
-line end, where the neighbouring line's edge is aligned too) are chained. An item leaks if a chain holds ``min_words`` consecutive words.
+one passage may stand in any order among columns and adverts. By the q-gram lemma a stretch of n letters that is printed with at
+most e edits over k line ends shares at least n - q + 1 - (q - 1) * k - q * e of its q-grams with the page. This bound is computed
+for every stretch of ``min_words`` words of every passage, with e = EDIT_BUDGET * n and k = n / NARROW; a page and a passage of
+which some stretch meets it stay. All q-grams count, however many passages share them. Of the pairs that stay, the shared q-grams
+are counted by line and band of diagonals; bands overlap by half, so none is cut. Lines with a filled band are aligned to the
+passage within the band, and aligned parts that follow each other (over a line end, where the neighbouring line's edge is aligned
+too) are chained. An item leaks if a chain holds ``min_words`` consecutive words.
+
+Words are parted by spaces; in scripts without spaces two letters (Thai: four) count as a word.
 
 The search is a stated query set (the items) against all pages: the items go out in blocks of at most BLOCK_CHARS characters, the
 pages stay where they are, and nothing is shuffled but the found pairs.
@@ -26,11 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of a q-gram, diagonals of a band, share of edits.
+#: Letters of a q-gram, diagonals of a band, share of edits within an aligned line.
 Q, BAND, EDITS = 5, 6, 0.12
-#: Letters of the shortest lines that a stretch of words may run over, and q-grams of a line in one band from which it is aligned.
-#: Shorter pieces at a line's edge are found from their neighbour: up to EDGE letters have fewer q-grams than that at one edit.
-LINE, HITS, EDGE = 12, 3, 16
+#: The edit budget of a stretch of words: edits per letter, and letters of the narrowest column that it may run over.
+EDIT_BUDGET, NARROW = 0.05, 20
+#: Q-grams of a line in one band from which it is aligned. Shorter pieces at a line's edge are found from their neighbour: up to
+#: EDGE letters have fewer q-grams than that at one edit.
+HITS, EDGE = 3, 16
 #: An alignment ends where it falls so far below its best.
 DROP = 11
 #: Characters of items that go out at once, and pairs of q-grams of pages and passages that are looked at together.
@@ -66,43 +72,52 @@ def _grams(letters: np.ndarray, q: int = Q) -> np.ndarray:
     return h
 
 
+#: Scripts without spaces, with the letters that count as a word.
+UNSPACED = re.compile("([぀-ヿ㐀-鿿]{1,2}|[฀-๿]{1,4})")
+
+
+def _words(text: str) -> list[str]:
+    return UNSPACED.sub(r" \1 ", text).split()
+
+
 class Passages:
-    """Distinct passages: letters, word of each letter, a sorted index of all their q-grams, and the q-grams that a leak leaves."""
+    """Distinct passages: letters, word of each letter, a sorted index of all their q-grams, and the bound of each stretch of words."""
 
     def __init__(self, texts: list[str], min_words: int):
         table = _letters()
-        self.letters, self.word, self.n_words, self.size = [], [], [], []
-        gram, who, where = [], [], []
+        self.letters, self.word, self.size = [], [], []
+        gram, who, where, stretch = [], [], [], []
+        at = 0
         for p, text in enumerate(texts):
-            parts = [x for x in (table[_codes(w)] for w in text.split()) for x in [x[x > 0]] if len(x)]
+            parts = [x for x in (table[_codes(w)] for w in _words(text)) for x in [x[x > 0]] if len(x)]
             letters = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+            size = np.array([len(x) for x in parts], dtype=np.int64)
             self.letters.append(letters)
-            self.word.append(np.repeat(np.arange(len(parts)), [len(x) for x in parts]) if parts else np.zeros(0, dtype=int))
-            self.size.append(np.array([len(x) for x in parts]))
+            self.word.append(np.repeat(np.arange(len(parts)), size))
+            self.size.append(size)
             if len(parts) >= min_words:
                 g = _grams(letters)
                 gram.append(g)
                 who.append(np.full(len(g), p))
                 where.append(np.arange(len(g)))
+                end = np.cumsum(size)
+                first, last = end[: len(size) - min_words + 1] - size[: len(size) - min_words + 1], end[min_words - 1 :]
+                n = last - first
+                lost = (Q - 1) * (n // NARROW) + Q * np.floor(EDIT_BUDGET * n).astype(np.int64)
+                most = np.maximum(last - Q + 1, first)
+                stretch.append(np.stack([np.full(len(n), p), at + first, at + most, np.maximum(most - first - lost, 1)]))
+                at += len(g)
         gram = np.concatenate(gram) if gram else np.zeros(0, dtype=np.uint64)
         who = np.concatenate(who) if who else np.zeros(0, dtype=int)
         where = np.concatenate(where) if where else np.zeros(0, dtype=int)
-        order = np.argsort(gram, kind="stable")
-        gram, who, where = gram[order], who[order], where[order]
-        self.key, start, count = np.unique(gram, return_index=True, return_counts=True)
-        self.start, self.count = start, count
-        self.who, self.where = who, where
+        # distinct q-grams, the one at each place, and all places ordered by passage and q-gram
+        self.key, self.at = np.unique(gram, return_inverse=True)
+        order = np.argsort(who * np.int64(len(self.key) or 1) + self.at, kind="stable")
+        self.pair_key, self.where = (who * np.int64(len(self.key) or 1) + self.at)[order], where[order]
         self.key = np.append(self.key, np.iinfo(np.uint64).max)
-        self.count = np.append(self.count, 0)
-        # ten words of n letters keep n - (Q - 1) q-grams less Q - 1 at each line end and Q at each edit
-        self.need = np.ones(len(texts), dtype=int)
-        # and words that are there to 0.7 have so many letters
-        self.least = np.full(len(texts), min_words)
-        for p, size in enumerate(self.size):
-            if len(size) >= min_words:
-                n = np.convolve(size, np.ones(min_words, dtype=int), "valid")
-                self.least[p] = int(0.7 * n.min())
-                self.need[p] = max(1, int((n - (Q - 1) * (1 + n // LINE) - Q * np.floor(EDITS * n)).min()))
+        self.stretch = np.concatenate(stretch, axis=1) if stretch else np.zeros((4, 0), dtype=np.int64)
+        # words that are there to 0.7 have so many letters
+        self.least = np.array([int(0.7 * np.convolve(z, np.ones(min_words, dtype=int), "valid").min()) if len(z) >= min_words else min_words for z in self.size], dtype=np.int64)
         most = max([min_words, *map(len, self.size)])
         self.word_size = np.zeros((len(texts), most), dtype=np.int64)
         for p, size in enumerate(self.size):
@@ -112,57 +127,65 @@ class Passages:
         self.first = np.cumsum(self.length) - self.length
         self.flat = np.concatenate([*self.letters, np.zeros(1, dtype=np.uint32)])
 
+    def shared(self, keys: np.ndarray) -> np.ndarray:
+        """Passages with a stretch of which the q-grams ``keys`` of a page hold as many as the bound demands."""
+        there = np.zeros(len(self.key), dtype=bool)
+        there[keys] = True
+        count = np.zeros(len(self.at) + 1, dtype=np.int32)
+        np.cumsum(there[self.at], out=count[1:])
+        who, first, end, need = self.stretch
+        return np.unique(who[count[end] - count[first] >= need])
+
 
 def _regions(px: Passages, letters: np.ndarray, seg: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(line, passage, diagonal) of each band with enough q-grams, for pages that share enough q-grams with the passage."""
+    """(line, passage, diagonal) of each band with enough q-grams, for pages and passages that meet the lemma's bound."""
     g = _grams(letters)
-    if not len(g):
+    if not len(g) or not px.stretch.shape[1]:
         return
     at = np.searchsorted(px.key, g)
     hit = np.flatnonzero((px.key[at] == g) & (seg[: len(g)] == seg[Q - 1 :]))
-    # whole pages at a time
-    pairs = np.cumsum(px.count[at[hit]])
-    last = np.flatnonzero(np.diff(doc[hit], append=-1))
+    n_keys = np.int64(len(px.key) - 1)
+    places, entries, passages, pairs = [], [], [], 0
+    edges = np.flatnonzero(np.diff(doc[hit], append=-1)) + 1
     begin = 0
-    while begin < len(hit):
-        done = pairs[begin - 1] if begin else 0
-        k = np.searchsorted(pairs[last], done + HIT_PAIRS)
-        end = last[max(np.searchsorted(last, begin), min(k, len(last) - 1))] + 1
-        part, key = hit[begin:end], at[hit[begin:end]]
-        begin = end
-        n = px.count[key]
-        place = np.repeat(part, n)
-        inner = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(px.start[key], n) + inner
-        who, where = px.who[entry], px.where[entry]
-        pair = doc[place].astype(np.int64) * len(px.letters) + who
-        _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
-        keep = (count >= px.need[_who_of(pair, back, who)])[back.ravel()]
-        place, who, where = place[keep], who[keep], where[keep]
-        if not len(place):
-            continue
-        # each hit stands in two bands, so a region of BAND / 2 diagonals lies whole in one of them
-        half = BAND // 2
-        band = (place - where) // half
-        low = int(band.min())
-        span = int(band.max()) - low + 3
-        base = (seg[place].astype(np.int64) * len(px.letters) + who) * span - low
-        region, count = np.unique(np.concatenate([base + band, base + band + 1]), return_counts=True)
-        region, count = region[count >= HITS], count[count >= HITS]
-        # a band beside a fuller one that is aligned lies whole in that alignment's width
-        left, right = np.diff(region, prepend=-9) == 1, np.diff(region, append=np.iinfo(np.int64).max) == 1
-        before, after = np.append(0, count[:-1]), np.append(count[1:], 0)
-        top = ~(left & (before >= count)) & ~(right & (after > count))
-        region = region[top | ~((left & np.append(False, top[:-1])) | (right & np.append(top[1:], False)))]
-        line_who = region // span
-        yield line_who // len(px.letters), line_who % len(px.letters), (region % span + low) * half
-
-
-def _who_of(pair: np.ndarray, back: np.ndarray, who: np.ndarray) -> np.ndarray:
-    """Passage of each distinct pair."""
-    out = np.zeros(int(back.max()) + 1, dtype=np.int64)
-    out[back.ravel()] = who
-    return out
+    for end in edges:
+        part, begin = hit[begin:end], end
+        who = px.shared(at[part])
+        if len(who):
+            wanted = (who[:, None] * n_keys + at[part][None]).ravel()
+            low = np.searchsorted(px.pair_key, wanted)
+            n = np.searchsorted(px.pair_key, wanted, side="right") - low
+            some = np.flatnonzero(n)
+            low, n = low[some], n[some]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            places.append(np.repeat(part[some % len(part)], n))
+            passages.append(np.repeat(who[some // len(part)], n))
+            entries.append(np.repeat(low, n) + inner)
+            pairs += len(inner)
+        if places and (pairs >= HIT_PAIRS or end == edges[-1]):
+            found = _bands(px, np.concatenate(places), px.where[np.concatenate(entries)], np.concatenate(passages), seg)
+            places, entries, passages, pairs = [], [], [], 0
+            if len(found[0]):
+                yield found
+
+
+def _bands(px: Passages, place: np.ndarray, where: np.ndarray, who: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bands of diagonals with HITS shared q-grams of a line and a passage. Each hit stands in two bands, so a region of BAND / 2
+    diagonals lies whole in one of them."""
+    half = BAND // 2
+    band = (place - where) // half
+    low = int(band.min())
+    span = int(band.max()) - low + 3
+    base = (seg[place].astype(np.int64) * len(px.letters) + who) * span - low
+    region, count = np.unique(np.concatenate([base + band, base + band + 1]), return_counts=True)
+    region, count = region[count >= HITS], count[count >= HITS]
+    # a band beside a fuller one that is aligned lies whole in that alignment's width
+    left, right = np.diff(region, prepend=-9) == 1, np.diff(region, append=np.iinfo(np.int64).max) == 1
+    before, after = np.append(0, count[:-1]), np.append(count[1:], 0)
+    top = ~(left & (before >= count)) & ~(right & (after > count))
+    region = region[top | ~((left & np.append(False, top[:-1])) | (right & np.append(top[1:], False)))]
+    line_who = region // span
+    return line_who // len(px.letters), line_who % len(px.letters), (region % span + low) * half
 
 
 def _align(px: Passages, letters: np.ndarray, start: np.ndarray, size: int, length: np.ndarray, who: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, ...]:
