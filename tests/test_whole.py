@@ -74,16 +74,3 @@ def test_neighbours_have_no_radius(spark, name):
     assert len(got) == len(want) > 0
     for a, b in zip(got, want):
         assert a == pytest.approx(b, abs=2e-4)
-
-
-def test_leaks_of_passages_that_share_their_words(spark):
-    from cloudloom.llm import leaks
-
-    shared = "the heavy infirmary stood beyond the handsome market near the old granary"
-    items = spark.createDataFrame([(k, f"Number {w} wrote that {shared} of {w}") for k, w in enumerate(("Ulmir", "Wirnrath", "Karling", "Brentig", "Petstad"))], "item_id bigint, passage string")
-    words = shared.split()
-    docs = [(1, "x " + shared + " y"), (2, "x " + " ".join(words[:9]) + " y"), (3, "\n".join([" ".join(words[:5]), " ".join(words[5:8]), " ".join(words[8:])])), (4, " ".join(words[:9]) + "\nthe old")]
-    d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    want = sorted((i, k) for i in (1, 3, 4) for k in range(5))
-    assert rows(leaks.leaked(d, items)) == want
-    assert rows(leaks.leaked(d, items, block_chars=100)) == want
