@@ -52,6 +52,16 @@ def p4_neighbours(spark, d):
     return _neighbours(spark, d).select(F.col("id").alias("bp_id"), F.col("other").alias("other_bp_id"), "dist", "rank")
 
 
+def p4_search(spark, d):
+    """Ids divisible by 50 as queries against all rows."""
+    return neighbours.search(table(spark, d, "basic_cloud"), "bp_id", "points", 3, 5).select(F.col("id").alias("bp_id"), F.col("other").alias("other_bp_id"), "dist", "rank")
+
+
+def p4_embeddings(spark, d):
+    """The five nearest vectors of every vector of 64 dimensions."""
+    return neighbours.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 5).select(F.col("id").alias("vec_id"), F.col("other").alias("other_vec_id"), "dist", "rank")
+
+
 #: Members of one cluster of ins_feat vectors lie at most this far apart.
 SAME_INSTANCE = 0.12
 
@@ -95,6 +105,8 @@ QUERIES = {
     "p2_clusters": p2_clusters,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p4_search": p4_search,
+    "p4_embeddings": p4_embeddings,
     "p6_ids": p6_ids,
     "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_reliability": p5_reliability, "p5_alpha": p5_alpha}
 ORACLES = {}
