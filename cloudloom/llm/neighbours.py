@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,22 +179,25 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_00
 
 
 def first_graph(nodes: DataFrame, dims: int, k: int) -> DataFrame:
-    """The graph of the nearest within blocks of each curve. A curve is range-partitioned; a task sorts its own range."""
+    """The graph of the nearest within blocks of each curve, and each node's blocks: nodes that share one have met. A curve is
+    range-partitioned; a task sorts its own range."""
     coded = cut(_coded(nodes, dims))
     rows = None
     for c in range(CURVES):
 
         def link(batches: Iterator[pa.RecordBatch], c=c) -> Iterator[pa.RecordBatch]:
-            shift = BLOCK * c // CURVES
+            shift, base = BLOCK * c // CURVES, np.int64(TaskContext.get().partitionId() + 1) << 40
             for t in _rebatch(batches, 512 * BLOCK):
                 ids, x = t.column("node").to_numpy(zero_copy_only=False), _matrix(t.column("v"), dims)
                 parts = [_block_links(ids[p], x[p], k) for p in (slice(0, shift), slice(shift, None))]
                 v = t.column("v") if c == 0 else pa.nulls(len(t), t.column("v").type)
                 near, dist = (np.concatenate(z) for z in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(t), c, dtype=np.int32)), v, _lists(near), _lists(dist)], ["node", "c", "v", "near", "dist"])
+                block = base + (np.arange(len(t)) - shift) // BLOCK
+                base += 1024
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(t), c, dtype=np.int32)), v, _lists(near), _lists(dist), pa.array(block)], ["node", "c", "v", "near", "dist", "block"])
 
         curve = coded.select("node", "v", f"z{c}").repartitionByRange(f"z{c}", "node").sortWithinPartitions(f"z{c}", "node")
-        one = curve.select("node", "v").mapInArrow(link, "node bigint, c int, v array<double>, near array<bigint>, dist array<double>")
+        one = curve.select("node", "v").mapInArrow(link, "node bigint, c int, v array<double>, near array<bigint>, dist array<double>, block bigint")
         rows = one if rows is None else rows.unionByName(one)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +205,10 @@ def first_graph(nodes: DataFrame, dims: int, k: int) -> DataFrame:
             # each node has one row of every curve, the first with its vector
             near, dist = (_matrix(t.column(n), k).reshape(-1, CURVES * k) for n in ("near", "dist"))
             near, dist, fresh = _smallest(near, dist, np.ones(near.shape, dtype=bool), k)
-            yield _graph_rows(t.column("node").to_numpy(zero_copy_only=False)[::CURVES], t.column("v").drop_null(), near, dist, fresh)
+            rows = _graph_rows(t.column("node").to_numpy(zero_copy_only=False)[::CURVES], t.column("v").drop_null(), near, dist, fresh)
+            yield rows.append_column("blocks", _lists(t.column("block").to_numpy(zero_copy_only=False).reshape(-1, CURVES)))
 
-    graph = cut(rows.repartition("node").sortWithinPartitions("node", "c").mapInArrow(merge, GRAPH))
+    graph = cut(rows.repartition("node").sortWithinPartitions("node", "c").mapInArrow(merge, GRAPH + ", blocks array<bigint>"))
     drop(coded)
     return graph
 
@@ -224,14 +229,16 @@ def _rebatch(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def _introduce(dims: int):
-    """Local joins: of all pairs of those that name a node, one of the links fresh, the pairs that are nearer than the worst of the first."""
+def _introduce(dims: int, met: bool):
+    """Local joins: of all pairs of those that name a node, one of the links fresh, the pairs that are nearer than the worst of the
+    first; with ``met`` without those that stood in one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, "other"):
             key = t.column("other").to_numpy(zero_copy_only=False)
             ids, worst, fresh = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "worst", "fresh"))
             w = _matrix(t.column("v"), dims)
+            blocks = _matrix(t.column("blocks"), CURVES) if met else None
             start = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
             size = np.minimum(np.diff(start, append=len(key)), HEARD)
             out: list[tuple[np.ndarray, ...]] = []
@@ -247,6 +254,9 @@ def _introduce(dims: int):
                         norm = (x**2).sum(2)
                         d = np.sqrt(np.maximum(norm[:, :, None] + norm[:, None, :] - 2 * x @ x.transpose(0, 2, 1), 0.0))
                     g, p, q = np.nonzero((d <= top[:, :, None] * (1 + 1e-9)) & (f[:, :, None] | f[:, None, :]) & ~np.eye(m, dtype=bool))
+                    if met:
+                        new = ~(blocks[at[g, p]] == blocks[at[g, q]]).any(axis=1)
+                        g, p, q = g[new], p[new], q[new]
                     if len(g):
                         out.append((i[g, p], i[g, q], np.sqrt(((x[g, p] - x[g, q]) ** 2).sum(1))))
             if out:
@@ -298,14 +308,15 @@ def nn_descent(nodes: DataFrame, dims: int, k: int, min_change: float = MIN_CHAN
     graph, number = first_graph(nodes, dims, k), 0
     while True:
         link = F.explode(F.arrays_zip("near", "fresh")).alias("l")
-        said = graph.select("node", "v", F.element_at("dist", -1).alias("worst"), link).select("node", "v", "worst", F.col("l.near").alias("other"), F.col("l.fresh").alias("fresh")).where("other >= 0")
+        told = ["node", "v", *(["blocks"] if not number else [])]
+        said = graph.select(*told, F.element_at("dist", -1).alias("worst"), link).select(*told, "worst", F.col("l.near").alias("other"), F.col("l.fresh").alias("fresh")).where("other >= 0")
         if number:
             # only who is named by a fresh link has anything new to tell
             new = graph.where(F.exists("fresh", lambda x: x)).select(F.explode(F.filter(F.arrays_zip("near", "fresh"), lambda x: x["fresh"])).alias("l"))
             said = said.join(new.select(F.col("l.near").alias("other")).distinct(), "other", "left_semi")
         heard = said.repartition("other").sortWithinPartitions("other", F.xxhash64("node", F.lit(number)))
-        proposed = heard.select("other", "node", "v", "worst", "fresh").mapInArrow(_introduce(dims), "node bigint, other bigint, dist double")
-        lists = graph.drop("fresh").unionByName(proposed.select("node", F.col("other").alias("one"), F.col("dist").alias("one_dist")), allowMissingColumns=True)
+        proposed = heard.mapInArrow(_introduce(dims, not number), "node bigint, other bigint, dist double")
+        lists = graph.drop("fresh", "blocks").unionByName(proposed.select("node", F.col("other").alias("one"), F.col("dist").alias("one_dist")), allowMissingColumns=True)
         lists = lists.repartition("node").sortWithinPartitions("node", F.col("v").isNull())
         better = cut(lists.mapInArrow(_improve(dims, k), GRAPH))
         changed, total = better.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.count("*") * k).first()
