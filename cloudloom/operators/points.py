@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..util import cut
 
 
 def latest(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
@@ -65,9 +66,24 @@ def first_in_cell(df: DataFrame, key: str, by: list[str], side: float) -> DataFr
     return df.groupBy(*by, *cells).agg(F.min(key).alias(key), F.count("*").alias("n"))
 
 
+def ranks(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Adds ``_rn``, the row's number within its group (from 1), without a group ever standing in one task: rows are range-partitioned
+    by group and order, numbered within their range, and each range starts where the ranges before it end. The order must be total."""
+    placed = cut(df.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_range", F.spark_partition_id()))
+    size = placed.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
+    # one row per group and range
+    before = size.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = placed.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    on = F.lit(True)
+    for c in [*by, "_range"]:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
+    out = inner.alias("r").join(before.alias("b"), on)
+    return out.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r._rn") + F.col("b._before")).alias("_rn"))
+
+
 def every_nth(df: DataFrame, key: str, by: list[str], n: int) -> DataFrame:
     """Every nth row of each group in the order of its key."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where((F.col("_rn") - 1) % n == 0).drop("_rn")
+    return ranks(df, by, [F.col(key).asc()]).where((F.col("_rn") - 1) % n == 0).drop("_rn")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -78,6 +94,6 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def core_points(df: DataFrame, key: str, by: list[str], score: Column, ratio: float = 0.3, least: int = 500, most: int = 20000) -> DataFrame:
     """The best of each group: round(n * ratio), at least ``least`` and at most ``most``. Scores tie to the lower key."""
     size = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_s"), key))
     target = F.least(F.greatest(F.rint(F.col("_n") * ratio), F.lit(float(least))), F.least(F.col("_n"), F.lit(most)))
-    return df.withColumn("_s", score).withColumn("_r", rank).join(size, by).where(F.col("_r") <= target).drop("_s", "_r", "_n")
+    ranked = ranks(df.withColumn("_s", score), by, [F.col("_s").desc(), F.col(key).asc()])
+    return ranked.join(size, by).where(F.col("_rn") <= target).drop("_s", "_rn", "_n")

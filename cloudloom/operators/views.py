@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def project(points: DataFrame, views: DataFrame) -> DataFrame:
-    """Pixels (view_idx, point_id, u, v, depth) of the points of a view's own scene: an equi-join on scene, residual in-frame test."""
+def project(points: DataFrame, views: DataFrame, side: float = 4.0) -> DataFrame:
+    """Pixels (view_idx, point_id, u, v, depth) of the points of a view's own scene.
+
+    Points meet views through cubes of ``side`` units: only cubes whose bounding sphere reaches into a view's frustum are joined to it,
+    so the join is on scene and cube, a large scene is spread over its cubes, and most points out of frame are never projected.
+    """
     m = [F.col("w2c")[i].cast("double") for i in range(12)]
     v = views.select(
         "scene", "view_idx", *[m[i].alias(f"m{i}") for i in range(12)],
@@ -21,8 +25,13 @@ def project(points: DataFrame, views: DataFrame) -> DataFrame:
         F.when(F.lower("ortho_v_mode") == "auto", m[5] < 0).otherwise(F.lower("ortho_v_mode").isin("y_minus_y_min", "ymin_to_ymax", "direct")).alias("up"),
     )
     x, y, z = (F.col(a).cast("double") for a in ("x", "y", "z"))
+    finite = F.lit(True)
+    for a in (x, y, z):
+        finite = finite & a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))
+    points = points.where(finite).withColumn("cube", F.struct(*[F.floor(a / side).alias(n) for a, n in ((x, "i"), (y, "j"), (z, "k"))]))
+    v = _cubes_in_frame(points, v)
     axis = lambda r: F.col(f"m{4 * r}") * x + F.col(f"m{4 * r + 1}") * y + F.col(f"m{4 * r + 2}") * z + F.col(f"m{4 * r + 3}")
-    cam = points.join(v, "scene").select("*", axis(0).alias("px"), axis(1).alias("py"), axis(2).alias("depth")).where("depth > 1e-6")
+    cam = points.join(v, ["scene", "cube"]).select("*", axis(0).alias("px"), axis(1).alias("py"), axis(2).alias("depth")).where("depth > 1e-6")
     wide, high = F.col("ortho_x_max") - F.col("ortho_x_min"), F.col("ortho_y_max") - F.col("ortho_y_min")
     ou = F.rint((F.col("px") - F.col("ortho_x_min")) / F.when(wide > 0, wide) * (F.col("width") - 1))
     ov = F.rint(F.when(F.col("up"), F.col("py") - F.col("ortho_y_min")).otherwise(F.col("ortho_y_max") - F.col("py")) / F.when(high > 0, high) * (F.col("height") - 1))
@@ -32,6 +41,32 @@ def project(points: DataFrame, views: DataFrame) -> DataFrame:
     return seen.select("view_idx", "point_id", F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "depth", F.coalesce("ortho", F.lit(False)).alias("ortho"))
 
 
+def _cubes_in_frame(points: DataFrame, v: DataFrame) -> DataFrame:
+    """``v`` with the cubes of its scene that reach into its frustum. Each side of the frame is a half-space, and a cube is out if its
+    bounding sphere lies beyond one."""
+    box = points.groupBy("scene", "cube").agg(*[F.min(F.col(a).cast("double")).alias(f"{a}0") for a in "xyz"], *[F.max(F.col(a).cast("double")).alias(f"{a}1") for a in "xyz"])
+    ball = box.select("scene", "cube", *[((F.col(f"{a}0") + F.col(f"{a}1")) / 2).alias(f"b{a}") for a in "xyz"], (F.sqrt(sum((F.col(f"{a}1") - F.col(f"{a}0")) ** 2 for a in "xyz")) / 2 + 1e-3).alias("reach"))
+    row = lambda r: [F.col(f"m{4 * r + i}") for i in range(4)]
+
+    def inside(weights, offset):
+        """Whether the sphere reaches the half-space sum(weight * camera axis) + offset >= 0."""
+        plane = [sum(w * row(r)[i] for r, w in weights) for i in range(4)]
+        value = sum(p * F.col(f"b{a}") for p, a in zip(plane, "xyz")) + plane[3] + offset
+        return value + F.col("reach") * F.sqrt(sum(p * p for p in plane[:3])) >= -1e-6
+
+    one = F.lit(1.0)
+    front = inside([(2, one)], F.lit(0.0))
+    perspective = F.lit(True)
+    for r, f, c, n in ((0, "fx", "cx", "width"), (1, "fy", "cy", "height")):
+        perspective = perspective & inside([(r, F.col(f)), (2, F.col(c) + 1)], F.lit(0.0)) & inside([(r, -F.col(f)), (2, F.col(n) - F.col(c))], F.lit(0.0))
+    flat = F.lit(True)
+    for r, n in ((0, "x"), (1, "y")):
+        margin = (F.col(f"ortho_{n}_max") - F.col(f"ortho_{n}_min")) / F.greatest(F.col("width" if n == "x" else "height") - 1, F.lit(1))
+        flat = flat & inside([(r, one)], margin - F.col(f"ortho_{n}_min")) & inside([(r, -one)], F.col(f"ortho_{n}_max") + margin)
+    # a null (such as an unknown focal length) decides nothing
+    return ball.join(v, "scene").where(front & F.coalesce(F.when(F.coalesce("ortho", F.lit(False)), flat).otherwise(perspective), F.lit(True))).drop("bx", "by", "bz", "reach")
+
+
 def nearest_per_pixel(pixels: DataFrame) -> DataFrame:
     """The visible point of each pixel; a hash aggregate with a partial step, so nothing is sorted."""
     front = pixels.where(~F.col("ortho")).groupBy("view_idx", "u", "v").agg(F.min(F.struct("depth", "point_id")).alias("f"))

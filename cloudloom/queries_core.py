@@ -30,16 +30,17 @@ def _r(c, n=4):
     return F.round(c, n)
 
 
-#: Points once per key, with coordinates as doubles; and the same in SQL.
-def _points(spark, d):
-    """Of repeated rows of a key the one loaded first (ties: the smaller f_rest); coordinates as doubles."""
-    order = F.struct(F.coalesce("loaded_at", F.lit("9999-01-01").cast("timestamp")), F.coalesce("f_rest", F.array().cast("array<float>")))
+def _points(spark, d, *cols):
+    """The columns ``cols`` of the points, once per key: of repeated rows the one loaded first, ties going to the smaller values (a
+    shorter f_rest before a longer, as in PTS). Coordinates as doubles. Only these columns and the time are scanned."""
     p = table(spark, d, "points").where(C("point_id").isNotNull())
-    rest = [c for c in p.columns if c not in ("point_id", "loaded_at")]
-    one = p.groupBy("point_id").agg(F.min_by(F.struct(*rest), order).alias("r"))
-    return one.select("point_id", "r.*").withColumns({a: C(a).cast("double") for a in "xyz"})
+    late = F.coalesce("loaded_at", F.lit("9999-01-01").cast("timestamp")).alias("_at")
+    first = [c for c in cols if c == "f_rest"] + [c for c in cols if c != "f_rest"]
+    one = p.groupBy("point_id").agg(F.min(F.struct(late, *[F.coalesce(c, F.array().cast("array<float>")).alias(c) if c == "f_rest" else c for c in first])).alias("r"))
+    return one.select("point_id", *[C(f"r.{c}").cast("double").alias(c) if c in ("x", "y", "z") else C(f"r.{c}") for c in cols])
 
 
+#: Points once per key in SQL.
 PTS = """WITH pts AS (SELECT * REPLACE (x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z) FROM points WHERE point_id IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY loaded_at, coalesce(f_rest,[])) = 1)"""
 
@@ -48,7 +49,7 @@ PTS = """WITH pts AS (SELECT * REPLACE (x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBL
  round((1/(1+exp(-opacity::DOUBLE)))/(1+exp(greatest(scale_0,scale_1,scale_2)::DOUBLE)),4) AS quality FROM pts""")
 def f_activation(spark, d):
     o, s = C("opacity").cast("double"), [C(f"scale_{i}").cast("double") for i in range(3)]
-    return _points(spark, d).select("point_id", _r(X.sigmoid(o)).alias("alpha"), _r(F.exp(F.greatest(*s))).alias("size"), _r(X.quality(o, *s)).alias("quality"))
+    return _points(spark, d, "opacity", "scale_0", "scale_1", "scale_2").select("point_id", _r(X.sigmoid(o)).alias("alpha"), _r(F.exp(F.greatest(*s))).alias("size"), _r(X.quality(o, *s)).alias("quality"))
 
 
 @query(PTS + """, f AS (SELECT point_id, list_transform(ins_feat, lambda x: x::DOUBLE) AS v FROM pts WHERE len(ins_feat)=6 AND len(list_filter(ins_feat, lambda x: x IS NULL OR NOT isfinite(x)))=0)
@@ -58,7 +59,7 @@ def f_vectors(spark, d):
     ok = (F.size("ins_feat") == 6) & F.forall("ins_feat", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     half = F.array_repeat(F.lit(0.5), 6)
     f = C("ins_feat")
-    return _points(spark, d).where(ok).select("point_id", _r(X.norm(f)).alias("norm"), _r(X.normalise(f)[0]).alias("unit_0"), _r(X.l1(f, half)).alias("l1"), _r(X.l2(f, half)).alias("l2"))
+    return _points(spark, d, "ins_feat").where(ok).select("point_id", _r(X.norm(f)).alias("norm"), _r(X.normalise(f)[0]).alias("unit_0"), _r(X.l1(f, half)).alias("l1"), _r(X.l2(f, half)).alias("l2"))
 
 
 @query(PTS + """ , q AS (SELECT point_id, rot_0::DOUBLE/n AS w, rot_1::DOUBLE/n AS x, rot_2::DOUBLE/n AS y, rot_3::DOUBLE/n AS z, exp(2*scale_0::DOUBLE) AS a, exp(2*scale_1::DOUBLE) AS b, exp(2*scale_2::DOUBLE) AS c
@@ -67,7 +68,7 @@ def f_vectors(spark, d):
 def f_rotation_covariance(spark, d):
     r = X.rotation(*[C(f"rot_{i}").cast("double") for i in range(4)])
     cov = X.covariance(r, [F.exp(C(f"scale_{i}").cast("double")) for i in range(3)])
-    return _points(spark, d).select("point_id", _r(r[0]).alias("r00"), _r(r[1]).alias("r01"), _r(cov[0]).alias("cov_xx")).where(C("r00").isNotNull())
+    return _points(spark, d, "rot_0", "rot_1", "rot_2", "rot_3", "scale_0", "scale_1", "scale_2").select("point_id", _r(r[0]).alias("r00"), _r(r[1]).alias("r01"), _r(cov[0]).alias("cov_xx")).where(C("r00").isNotNull())
 
 
 @query(PTS + """ SELECT point_id, round(least(greatest(f_dc_0::DOUBLE*0.28209479177387814+0.5,0),1),4) AS r, CASE WHEN scale_0<=scale_1 AND scale_0<=scale_2 THEN 0 WHEN scale_1<=scale_2 THEN 1 ELSE 2 END AS normal_axis,
@@ -75,7 +76,7 @@ def f_rotation_covariance(spark, d):
 def f_colours(spark, d):
     axis = F.when((C("scale_0") <= C("scale_1")) & (C("scale_0") <= C("scale_2")), 0).when(C("scale_1") <= C("scale_2"), 1).otherwise(2)
     pal = F.pmod(C("point_id") * 53 + 29, F.lit(256)).cast("int")
-    return _points(spark, d).select("point_id", _r(X.sh_colour(C("f_dc_0").cast("double"))).alias("r"), axis.alias("normal_axis"), pal.alias("pal_r"))
+    return _points(spark, d, "f_dc_0", "scale_0", "scale_1", "scale_2").select("point_id", _r(X.sh_colour(C("f_dc_0").cast("double"))).alias("r"), axis.alias("normal_axis"), pal.alias("pal_r"))
 
 
 @query("""SELECT DISTINCT view_idx, coalesce(nullif(regexp_replace(regexp_replace(trim(name),'[^0-9A-Za-z._-]+','_','g'),'^_+|_+$','','g'),''),'unnamed') AS safe, regexp_replace(name,'\\.[^.]*$','') AS stem,
@@ -87,49 +88,50 @@ def f_names_fov(spark, d):
 
 @query(PTS + """ SELECT count(*)::BIGINT AS n, sum(point_id)::BIGINT AS ids FROM pts WHERE coalesce(1/(1+exp(-opacity::DOUBLE)),1) > 0.05 AND greatest(scale_0,scale_1,scale_2) < 2.0 GROUP BY scene""")
 def p_filter_opaque(spark, d):
-    return P.opaque(_points(spark, d)).groupBy("scene").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids")).drop("scene")
+    return P.opaque(_points(spark, d, "scene", "opacity", "scale_0", "scale_1", "scale_2")).groupBy("scene").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids")).drop("scene")
 
 
 @query(PTS + """, l AS (SELECT scene, min(x) a, max(x) b, min(z) c, max(z) e FROM pts GROUP BY scene) SELECT point_id, round((x-a)/CASE WHEN b-a<1e-8 THEN 1 ELSE b-a END,4) AS x, round((z-c)/CASE WHEN e-c<1e-8 THEN 1 ELSE e-c END,4) AS z FROM pts JOIN l USING (scene)""")
 def f_min_max(spark, d):
-    return P.min_max(_points(spark, d).select("point_id", "scene", "x", "z"), ["x", "z"], ["scene"]).select("point_id", _r(C("x")).alias("x"), _r(C("z")).alias("z"))
+    return P.min_max(_points(spark, d, "scene", "x", "z").select("point_id", "scene", "x", "z"), ["x", "z"], ["scene"]).select("point_id", _r(C("x")).alias("x"), _r(C("z")).alias("z"))
 
 
 @query(PTS + """ SELECT scene, count(*)::BIGINT AS n, min(x) AS x_min, max(x) AS x_max, (min(x)+max(x))/2 AS x_mid, min(z) AS z_min, max(z) AS z_max FROM pts GROUP BY scene""")
 def a_bounds(spark, d):
-    return P.bounds(_points(spark, d), ["scene"]).select("scene", "n", "x_min", "x_max", "x_mid", "z_min", "z_max")
+    return P.bounds(_points(spark, d, "scene", "x", "y", "z"), ["scene"]).select("scene", "n", "x_min", "x_max", "x_mid", "z_min", "z_max")
 
 
 @query(PTS + """, b AS (SELECT scene, min(x) xa, max(x) xb, min(y) ya, max(y) yb, min(z) za, max(z) zb FROM pts GROUP BY scene) SELECT point_id FROM pts JOIN b USING (scene)
  WHERE abs(x-(xa+xb)/2) <= (xb-xa)/2*0.5 AND abs(y-(ya+yb)/2) <= (yb-ya)/2*0.5 AND abs(z-(za+zb)/2) <= (zb-za)/2*1.0""")
 def p_centre_crop(spark, d):
-    return P.centre_crop(_points(spark, d), ["scene"]).select("point_id")
+    return P.centre_crop(_points(spark, d, "scene", "x", "y", "z"), ["scene"]).select("point_id")
 
 
 @query(PTS + """, b AS (SELECT scene, (min(x)+max(x))/2 xm, (min(y)+max(y))/2 ym FROM pts GROUP BY scene) SELECT scene, (x>xm)::INT+2*(y>ym)::INT AS quarter, count(*)::BIGINT AS n FROM pts JOIN b USING (scene) GROUP BY ALL""")
 def p_quarters(spark, d):
-    return P.quarters(_points(spark, d), ["scene"]).groupBy("scene", "quarter").agg(F.count("*").alias("n"))
+    return P.quarters(_points(spark, d, "scene", "x", "y", "z"), ["scene"]).groupBy("scene", "quarter").agg(F.count("*").alias("n"))
 
 
 @query(PTS + """ SELECT min(point_id) AS point_id, count(*)::BIGINT AS n FROM pts GROUP BY scene, floor(x/2.0), floor(y/2.0), floor(z/2.0)""")
 def p_first_in_cell(spark, d):
-    return P.first_in_cell(_points(spark, d), "point_id", ["scene"], 2.0).select("point_id", "n")
+    return P.first_in_cell(_points(spark, d, "scene", "x", "y", "z"), "point_id", ["scene"], 2.0).select("point_id", "n")
 
 
 @query(PTS + """ SELECT point_id FROM pts QUALIFY (row_number() OVER (PARTITION BY scene ORDER BY point_id)-1)%8=0""")
 def p_every_nth(spark, d):
-    return P.every_nth(_points(spark, d).select("point_id", "scene"), "point_id", ["scene"], 8)[["point_id"]]
+    return P.every_nth(_points(spark, d, "scene").select("point_id", "scene"), "point_id", ["scene"], 8)[["point_id"]]
 
 
 @query(PTS + """, s AS (SELECT point_id, scene, coalesce(opacity,0)::DOUBLE AS o, count(*) OVER (PARTITION BY scene) AS n FROM pts) SELECT point_id FROM s
  QUALIFY row_number() OVER (PARTITION BY scene ORDER BY o DESC, point_id) <= least(greatest(round_even(n*0.3,0),50),least(n,20000))""")
 def p_core_points(spark, d):
-    return P.core_points(_points(spark, d).select("point_id", "scene", "opacity"), "point_id", ["scene"], F.coalesce(C("opacity"), F.lit(0)).cast("double"), least=50).select("point_id")
+    return P.core_points(_points(spark, d, "scene", "opacity").select("point_id", "scene", "opacity"), "point_id", ["scene"], F.coalesce(C("opacity"), F.lit(0)).cast("double"), least=50).select("point_id")
 
 
 def _views(spark, d):
-    v = table(spark, d, "camera_views")
-    return v.groupBy("view_idx").agg(*[F.first(c).alias(c) for c in v.columns if c != "view_idx"])
+    """Views once per key: of repeated rows the least by name, then by the other columns."""
+    v = table(spark, d, "camera_views").where(C("view_idx").isNotNull())
+    return v.groupBy("view_idx").agg(F.min(F.struct("name", *[c for c in v.columns if c not in ("view_idx", "name")])).alias("r")).select("view_idx", "r.*")
 
 
 @query()
@@ -138,8 +140,8 @@ def p_view_stride(spark, d):
     return P.every_nth(_views(spark, d).select("view_idx", "scene"), "view_idx", ["scene"], 2)[["view_idx"]]
 
 
-#: A mask is an 8 x 8 pixel checker of eight labels. This SQL still takes every second view only, where the queries take all.
-SEEN = PTS + """, vw AS (SELECT *, coalesce(fx,width) AS gx, coalesce(fy,width) AS gy, coalesce(cx,width/2) AS hx, coalesce(cy,height/2) AS hy FROM camera_views WHERE view_idx%2=0 QUALIFY row_number() OVER (PARTITION BY view_idx ORDER BY name)=1),
+#: A mask is an 8 x 8 pixel checker of eight labels.
+SEEN = PTS + """, vw AS (SELECT *, coalesce(fx,width) AS gx, coalesce(fy,width) AS gy, coalesce(cx,width/2) AS hx, coalesce(cy,height/2) AS hy FROM camera_views QUALIFY row_number() OVER (PARTITION BY view_idx ORDER BY name)=1),
  cam AS (SELECT v.*, p.point_id, w2c[1]*x+w2c[2]*y+w2c[3]*z+w2c[4] AS px, w2c[5]*x+w2c[6]*y+w2c[7]*z+w2c[8] AS py, w2c[9]*x+w2c[10]*y+w2c[11]*z+w2c[12] AS pz FROM pts p JOIN vw v USING (scene)),
  uv AS (SELECT view_idx, point_id, pz, width, height, projection_mode='orthographic' AS ortho, CASE WHEN projection_mode='orthographic' THEN round_even((px-ortho_x_min)/(CASE WHEN ortho_x_max>ortho_x_min THEN ortho_x_max-ortho_x_min END)*(width-1),0) ELSE round_even(gx*px/pz+hx,0) END AS u,
  CASE WHEN projection_mode='orthographic' THEN round_even((ortho_y_max-py)/(CASE WHEN ortho_y_max>ortho_y_min THEN ortho_y_max-ortho_y_min END)*(height-1),0) ELSE round_even(gy*py/pz+hy,0) END AS v FROM cam WHERE pz > 1e-6),
@@ -147,7 +149,7 @@ SEEN = PTS + """, vw AS (SELECT *, coalesce(fx,width) AS gx, coalesce(fy,width)
 
 
 def _seen(spark, d):
-    return V.nearest_per_pixel(V.project(_points(spark, d).select("point_id", "scene", "x", "y", "z"), _views(spark, d)))
+    return V.nearest_per_pixel(V.project(_points(spark, d, "scene", "x", "y", "z").select("point_id", "scene", "x", "y", "z"), _views(spark, d)))
 
 
 @query(SEEN + " SELECT view_idx, count(*)::BIGINT AS n, sum(point_id)::BIGINT AS ids, sum(u)::BIGINT AS us, sum(v)::BIGINT AS vs FROM seen GROUP BY view_idx")
@@ -172,13 +174,13 @@ CENTRES = [[(-1.0) ** (k >> j & 1) * 0.5 for j in range(3)] for k in range(8)]
  ds AS (SELECT point_id, k, sqrt((f_dc_0::DOUBLE-a)*(f_dc_0::DOUBLE-a)+(f_dc_1::DOUBLE-b)*(f_dc_1::DOUBLE-b)+(f_dc_2::DOUBLE-e)*(f_dc_2::DOUBLE-e)) AS dist FROM pts, c)
  SELECT point_id, k::INT AS code, round(dist,4) AS dist FROM ds QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, k)=1""")
 def j_nearest_centre(spark, d):
-    return S.nearest_centre(_points(spark, d).select("point_id", "f_dc_0", "f_dc_1", "f_dc_2"), CENTRES, ["f_dc_0", "f_dc_1", "f_dc_2"]).select("point_id", "code", _r("dist").alias("dist"))
+    return S.nearest_centre(_points(spark, d, "f_dc_0", "f_dc_1", "f_dc_2").select("point_id", "f_dc_0", "f_dc_1", "f_dc_2"), CENTRES, ["f_dc_0", "f_dc_1", "f_dc_2"]).select("point_id", "code", _r("dist").alias("dist"))
 
 
 @query()
 def g_codebook(spark, d):
     cols = ["f_dc_0", "f_dc_1", "f_dc_2"]
-    p = _points(spark, d).select("point_id", *cols)
+    p = _points(spark, d, "f_dc_0", "f_dc_1", "f_dc_2").select("point_id", *cols)
     return S.nearest_centre(p, S.lloyd(p, CENTRES, cols), cols).groupBy("code").agg(F.count("*").alias("n"), F.avg("dist").alias("mean_dist"))
 
 
@@ -186,8 +188,9 @@ SP = """WITH sp AS (SELECT * FROM sparse_points WHERE point3d_id IS NOT NULL QUA
 
 
 def _sparse(spark, d):
-    s = table(spark, d, "sparse_points")
-    return s.groupBy("point3d_id").agg(*[F.first(c).alias(c) for c in ("scene", "x", "y", "z", "error", "track")]).where(C("point3d_id").isNotNull())
+    """Sparse points once per key: the row loaded first, ties going to the smaller values."""
+    s = table(spark, d, "sparse_points").where(C("point3d_id").isNotNull())
+    return s.groupBy("point3d_id").agg(F.min(F.struct("loaded_at", "scene", "x", "y", "z", "error", "track")).alias("r")).select("point3d_id", "r.*").drop("loaded_at")
 
 
 @query(SP + """, e AS (SELECT scene, floor(x/10)::BIGINT AS tx, floor(y/10)::BIGINT AS ty, unnest(track).image_id AS image_id FROM sp), n AS (SELECT scene, tx, ty, image_id, count(*) AS n FROM e GROUP BY ALL)
@@ -211,7 +214,7 @@ def j_box(spark, d):
 @query("""WITH i AS (SELECT * FROM images QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY loaded_at)=1), o AS (SELECT image_id, unnest(points2d).point3d_id AS p FROM i), k AS (SELECT DISTINCT point3d_id FROM sparse_points WHERE len(track) >= 3)
  SELECT image_id, count(*)::BIGINT AS n, sum(CASE WHEN k.point3d_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS dropped FROM o LEFT JOIN k ON o.p=k.point3d_id GROUP BY image_id""")
 def j_drop_unseen(spark, d):
-    i = table(spark, d, "images").groupBy("image_id").agg(F.first("points2d").alias("points2d"))
+    i = table(spark, d, "images").groupBy("image_id").agg(F.min(F.struct("loaded_at", "points2d"))["points2d"].alias("points2d"))
     kept = table(spark, d, "sparse_points").where(F.size("track") >= 3)
     return T.drop_unseen(i, kept).groupBy("image_id").agg(F.count("*").alias("n"), F.count_if(C("point3d_id") == -1).alias("dropped"))
 
@@ -219,7 +222,7 @@ def j_drop_unseen(spark, d):
 @query("""WITH i AS (SELECT image_id, scene, qvec q, tvec t, sqrt(qvec[1]*qvec[1]+qvec[2]*qvec[2]+qvec[3]*qvec[3]+qvec[4]*qvec[4]) n FROM images WHERE tvec IS NOT NULL AND qvec IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY loaded_at)=1),
  c AS (SELECT image_id, scene, -((1-2*(q[3]*q[3]+q[4]*q[4])/(n*n))*t[1]+(2*(q[2]*q[3]+q[1]*q[4])/(n*n))*t[2]+(2*(q[2]*q[4]-q[1]*q[3])/(n*n))*t[3]) AS cx FROM i WHERE n > 0) SELECT image_id, round(cx,4) AS cx, round(cx-avg(cx) OVER (PARTITION BY scene),4) AS dx FROM c""")
 def f_camera_centre(spark, d):
-    i = table(spark, d, "images").where(C("tvec").isNotNull() & C("qvec").isNotNull()).groupBy("image_id").agg(F.first("scene").alias("scene"), F.first("qvec").alias("q"), F.first("tvec").alias("t"))
+    i = table(spark, d, "images").where(C("tvec").isNotNull() & C("qvec").isNotNull()).groupBy("image_id").agg(F.min(F.struct("loaded_at", "scene", C("qvec").alias("q"), C("tvec").alias("t"))).alias("r")).select("image_id", "r.scene", "r.q", "r.t")
     c = i.select("image_id", "scene", T.camera_centre(C("q"), C("t"))[0].alias("cx")).where(C("cx").isNotNull())
     mean = c.groupBy("scene").agg(F.avg("cx").alias("m"))
     return c.join(mean, "scene").select("image_id", _r("cx").alias("cx"), _r(C("cx") - C("m")).alias("dx"))
@@ -236,13 +239,13 @@ def j_image_camera(spark, d):
  SELECT scene, cls, hit::BIGINT AS hit, (nt+coalesce(ng,0)-hit)::BIGINT AS union_n, round(hit::DOUBLE/(nt+coalesce(ng,0)-hit),6) AS iou, round(hit::DOUBLE/nt,6) AS acc FROM cls LEFT JOIN g USING (scene, cls)""")
 def a_confusion(spark, d):
     gt = C("point_id") % 7
-    l = _points(spark, d).select("scene", gt.alias("gt"), F.when(C("f_dc_0") > 0, gt).otherwise(F.floor(C("point_id") / 3) % 7).alias("pr"))
+    l = _points(spark, d, "scene", "f_dc_0").select("scene", gt.alias("gt"), F.when(C("f_dc_0") > 0, gt).otherwise(F.floor(C("point_id") / 3) % 7).alias("pr"))
     return T.confusion(l, "gt", "pr", ["scene"]).select("scene", "cls", "hit", "union_n", _r("iou", 6).alias("iou"), _r("acc", 6).alias("acc"))
 
 
 @query(PTS + """, l AS (SELECT point_id, floor(x/10)::BIGINT AS a, floor(z/10)::BIGINT AS b FROM pts), i AS (SELECT a,b,count(*) n FROM l GROUP BY ALL), na AS (SELECT a,count(*) n FROM l GROUP BY a), nb AS (SELECT b,count(*) n FROM l GROUP BY b) SELECT i.a, i.b, i.n::BIGINT AS inter, round(i.n::DOUBLE/(na.n+nb.n-i.n),6) AS iou FROM i JOIN na ON i.a=na.a JOIN nb ON i.b=nb.b""")
 def j_set_overlap(spark, d):
-    l = _points(spark, d).select("point_id", F.floor(C("x") / 10).alias("a"), F.floor(C("z") / 10).alias("b"))
+    l = _points(spark, d, "x", "z").select("point_id", F.floor(C("x") / 10).alias("a"), F.floor(C("z") / 10).alias("b"))
     return T.set_overlap(l, "a", "b", "point_id").select("a", "b", "inter", _r("iou", 6).alias("iou"))
 
 
@@ -250,7 +253,7 @@ VOX = PTS + """, vx AS (SELECT scene, floor(x/4.0)::INT AS i, floor(y/4.0)::INT
 
 
 def _voxels(spark, d):
-    return B.occupancy(_points(spark, d), ["scene"], 4.0, F.lit(1.0))
+    return B.occupancy(_points(spark, d, "scene", "x", "y", "z"), ["scene"], 4.0, F.lit(1.0))
 
 
 @query(VOX + """, t AS (SELECT scene, quantile_cont(w,0.55) AS q FROM vx GROUP BY scene) SELECT scene, count(*)::BIGINT AS n, sum(w)::DOUBLE AS w FROM vx JOIN t USING (scene) WHERE w >= q GROUP BY scene""")
@@ -271,12 +274,12 @@ def g_erode(spark, d):
 @query(PTS + """, s AS (SELECT scene, point_id%9 AS inst, floor(x/3.0)::BIGINT AS cx, floor(y/3.0)::BIGINT AS cy FROM pts WHERE point_id%9>0), z AS (SELECT scene, inst, count(*) AS size FROM s GROUP BY ALL), c AS (SELECT DISTINCT * FROM s)
  SELECT scene, cx, cy, inst AS owner FROM c JOIN z USING (scene, inst) QUALIFY row_number() OVER (PARTITION BY scene, cx, cy ORDER BY size DESC, inst)=1""")
 def w_column_owner(spark, d):
-    return S.column_owner(_points(spark, d).withColumn("inst", C("point_id") % 9), ["scene"], "inst", 3.0)
+    return S.column_owner(_points(spark, d, "scene", "x", "y", "z").withColumn("inst", C("point_id") % 9), ["scene"], "inst", 3.0)
 
 
 @query(PTS + """, l AS (SELECT point_id, scene, point_id%97 AS inst FROM pts), k AS (SELECT scene, inst, dense_rank() OVER (PARTITION BY scene ORDER BY inst) AS r FROM (SELECT scene, inst FROM l GROUP BY ALL HAVING count(*)>=10)) SELECT point_id, coalesce(r,0)::INT AS new_label FROM l LEFT JOIN k USING (scene, inst)""")
 def w_relabel(spark, d):
-    return S.relabel(_points(spark, d).select("point_id", "scene", (C("point_id") % 97).alias("inst")), "inst", 10, ["scene"]).select("point_id", "new_label")
+    return S.relabel(_points(spark, d, "scene").select("point_id", "scene", (C("point_id") % 97).alias("inst")), "inst", 10, ["scene"]).select("point_id", "new_label")
 
 
 @query("""WITH p AS (SELECT point3d_id a, scene, x, y, z FROM sparse_points WHERE point3d_id IS NOT NULL AND x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY point3d_id ORDER BY loaded_at)=1) SELECT p.a, q.a AS b, round(sqrt((p.x-q.x)**2+(p.y-q.y)**2+(p.z-q.z)**2),4) AS dist FROM p JOIN p q ON p.scene=q.scene AND p.a<q.a WHERE sqrt((p.x-q.x)**2+(p.y-q.y)**2+(p.z-q.z)**2)<=1.0""")
@@ -298,8 +301,8 @@ def g_components(spark, d):
 @query()
 def r_composite(spark, d):
     """Splat centres of each pixel block of a view, blended front to back."""
-    o = _points(spark, d).select("point_id", X.sigmoid(F.coalesce("opacity", F.lit(0)).cast("double")).alias("alpha"), X.sh_colour(C("f_dc_0").cast("double")).alias("red"))
-    pix = V.project(_points(spark, d).select("point_id", "scene", "x", "y", "z"), _views(spark, d)).join(o, "point_id")
+    o = _points(spark, d, "opacity", "f_dc_0").select("point_id", X.sigmoid(F.coalesce("opacity", F.lit(0)).cast("double")).alias("alpha"), X.sh_colour(C("f_dc_0").cast("double")).alias("red"))
+    pix = V.project(_points(spark, d, "scene", "x", "y", "z").select("point_id", "scene", "x", "y", "z"), _views(spark, d)).join(o, "point_id")
     g = pix.groupBy("view_idx", F.floor(C("u") / 16).alias("bu"), F.floor(C("v") / 16).alias("bv"))
     return g.agg(B.composite(C("alpha"), C("red"), F.struct("depth", "point_id")).alias("s")).select("view_idx", "bu", "bv", C("s.colour").alias("red"), C("s.left").alias("light"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as X
 from .operators import instances as I
+from .operators import points as P
 from .operators import spatial as S
 from .operators import tracks as T
 from .queries_core import PTS, SEEN, SP, _points, _seen, _sparse, _views
@@ -63,19 +64,20 @@ def q_best_prototype(spark, d):
 
 @query(SEEN + """, m AS (SELECT view_idx, ((u//64)+2*(v//64))%32 AS mask_id, f_dc_0::DOUBLE AS c FROM seen JOIN pts USING (point_id)) SELECT view_idx, mask_id::INT AS mask_id, count(*)::BIGINT AS n, round(avg(c),5) AS mean, round(var_pop(c),5) AS var FROM m GROUP BY ALL""")
 def a_mask_variance(spark, d):
-    c = _points(spark, d).select("point_id", C("f_dc_0").cast("double").alias("c"))
+    c = _points(spark, d, "f_dc_0").select("point_id", C("f_dc_0").cast("double").alias("c"))
     return _masks(spark, d).join(c, "point_id").groupBy("view_idx", "mask_id").agg(F.count("*").alias("n"), F.round(F.avg("c"), 5).alias("mean"), F.round(F.var_pop("c"), 5).alias("var"))
 
 
 @query("""WITH i AS (SELECT DISTINCT image_id, scene, name FROM images WHERE name IS NOT NULL) SELECT image_id, ((row_number() OVER (PARTITION BY scene ORDER BY name, image_id)-1)%8 <> 0) AS is_train FROM i""")
 def p_train_split(spark, d):
-    from pyspark.sql import Window
-
     i = table(spark, d, "images").where(C("name").isNotNull()).select("image_id", "scene", "name").distinct()
-    return i.select("image_id", ((F.row_number().over(Window.partitionBy("scene").orderBy("name", "image_id")) - 1) % 8 != 0).alias("is_train"))
+    return P.ranks(i, ["scene"], [C("name").asc(), C("image_id").asc()]).select("image_id", ((C("_rn") - 1) % 8 != 0).alias("is_train"))
 
 
-@query("""WITH w AS (SELECT DISTINCT lower(name) AS n, regexp_replace(name,'\\.[^.]*$','') AS s FROM camera_views WHERE view_idx%3=0) SELECT DISTINCT view_idx FROM camera_views v WHERE lower(name) IN (SELECT n FROM w) OR regexp_replace(name,'\\.[^.]*$','') IN (SELECT s FROM w)""")
+@query(r"""WITH l AS (SELECT DISTINCT list_last(string_split(replace(view_name,'\','/'),'/')) AS b, list_last(string_split(replace(mask_path,'\','/'),'/')) AS m FROM mask_labels),
+ v AS (SELECT view_idx, list_last(string_split(replace(name,'\','/'),'/')) AS b, list_last(string_split(replace(mask_path,'\','/'),'/')) AS m FROM camera_views)
+ SELECT DISTINCT view_idx FROM v WHERE lower(b) IN (SELECT lower(b) FROM l WHERE b IS NOT NULL) OR regexp_replace(b,'\.[^.]*$','') IN (SELECT regexp_replace(b,'\.[^.]*$','') FROM l WHERE b IS NOT NULL)
+ OR regexp_replace(m,'\.[^.]*$','') IN (SELECT regexp_replace(m,'\.[^.]*$','') FROM l WHERE m IS NOT NULL)""")
 def p_whitelist(spark, d):
     """Views named by a label, by base name in any case, by stem, or by the stem of the mask's path."""
     v = table(spark, d, "camera_views").select("view_idx", "name", "mask_path")
@@ -87,7 +89,8 @@ def p_whitelist(spark, d):
     return by_name.select("view_idx").unionByName(by_stem.select("view_idx")).unionByName(by_mask.select("view_idx")).distinct()
 
 
-@query(SP + """, t AS (SELECT point3d_id, len(list_filter(coalesce(track,[]), lambda o: o.image_id%2=0))::INT AS n FROM sp) SELECT point3d_id, n AS kept FROM t WHERE n >= 2""")
+@query(SP + """, last AS (SELECT image_id, deleted_at FROM images WHERE image_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY loaded_at DESC NULLS LAST, deleted_at DESC NULLS LAST)=1),
+ e AS (SELECT point3d_id, unnest(track).image_id AS image_id FROM sp) SELECT point3d_id, count(*)::INT AS kept FROM e WHERE image_id IN (SELECT image_id FROM last WHERE deleted_at IS NULL) GROUP BY point3d_id HAVING count(*) >= 2""")
 def p_track_length(spark, d):
     """Observations in images that are kept: those whose row loaded last isn't deleted."""
     last = table(spark, d, "images").where(C("image_id").isNotNull()).groupBy("image_id").agg(F.max(F.struct("loaded_at", "deleted_at")).alias("m"))
@@ -115,7 +118,7 @@ def f_similarity_transform(spark, d):
     import math
 
     c, s = math.cos(0.5), math.sin(0.5)
-    return _points(spark, d).select("point_id", F.round(math.log(2.0) + C("scale_0").cast("double"), 5).alias("scale_0"), F.round(2.0 * (C("x") * c - C("y") * s) + 1.0, 3).alias("x"), F.round(2.0 * (C("x") * s + C("y") * c) - 1.0, 3).alias("y"))
+    return _points(spark, d, "x", "y", "scale_0").select("point_id", F.round(math.log(2.0) + C("scale_0").cast("double"), 5).alias("scale_0"), F.round(2.0 * (C("x") * c - C("y") * s) + 1.0, 3).alias("x"), F.round(2.0 * (C("x") * s + C("y") * c) - 1.0, 3).alias("y"))
 
 
 @query("""SELECT * FROM (SELECT scene, view_idx, width*height AS area FROM (SELECT DISTINCT scene, view_idx, width, height FROM camera_views)) QUALIFY row_number() OVER (PARTITION BY scene ORDER BY area DESC, view_idx) <= 3""")
@@ -125,7 +128,7 @@ def w_top_views(spark, d):
 
 
 NEAR = SP + """, p AS (SELECT point3d_id a, scene, x, y, z FROM sp WHERE x IS NOT NULL), n AS (SELECT p.a, q.a AS b, sqrt((p.x-q.x)**2+(p.y-q.y)**2+(p.z-q.z)**2) AS dist FROM p JOIN p q ON p.scene=q.scene AND p.a<>q.a),
- k AS (SELECT * FROM n WHERE dist <= 4.0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) <= 3)"""
+ k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) <= 3)"""
 
 
 @query(NEAR + " SELECT a, count(*)::BIGINT AS n, round(avg(dist*dist),4) AS mean_d2 FROM k GROUP BY a")

@@ -30,14 +30,14 @@ def query(sql: str | None = None):
  -((2*(q[2]*q[4]+q[1]*q[3])/n)*t[1]+(2*(q[3]*q[4]-q[1]*q[2])/n)*t[2]+(1-2*(q[2]*q[2]+q[3]*q[3])/n)*t[3]) AS cz FROM i WHERE n>0), m AS (SELECT scene, avg(cx) mx, avg(cy) my, avg(cz) mz FROM c GROUP BY scene)
  SELECT scene, round(any_value(mx),4) AS m_cx, round(max(sqrt((cx-mx)**2+(cy-my)**2+(cz-mz)**2))*1.1,4) AS radius FROM c JOIN m USING (scene) GROUP BY scene""")
 def f_scene_normalisation(spark, d):
-    i = table(spark, d, "images").where(C("tvec").isNotNull() & C("qvec").isNotNull()).groupBy("image_id").agg(F.first("scene").alias("scene"), F.first("qvec").alias("q"), F.first("tvec").alias("t"))
+    i = table(spark, d, "images").where(C("tvec").isNotNull() & C("qvec").isNotNull()).groupBy("image_id").agg(F.min(F.struct("loaded_at", "scene", C("qvec").alias("q"), C("tvec").alias("t"))).alias("r")).select("image_id", "r.scene", "r.q", "r.t")
     c = i.select("scene", *[e.alias(n) for e, n in zip(T.camera_centre(C("q"), C("t")), ("cx", "cy", "cz"))]).where(C("cx").isNotNull())
     return Z.normalisation(c, ["scene"]).select("scene", F.round("m_cx", 4).alias("m_cx"), F.round("radius", 4).alias("radius"))
 
 
 @query(PTS + """ SELECT scene, round(min(x)-(max(x)-min(x))*0.1-0.5,4) AS x_min, round(max(z)+(max(z)-min(z))*0.1+0.5,4) AS z_max FROM pts GROUP BY scene""")
 def f_padded_box(spark, d):
-    b = Z.pad(P.bounds(_points(spark, d), ["scene"]), 0.1, 0.5)
+    b = Z.pad(P.bounds(_points(spark, d, "scene", "x", "y", "z"), ["scene"]), 0.1, 0.5)
     return b.select("scene", F.round("x_min", 4).alias("x_min"), F.round("z_max", 4).alias("z_max"))
 
 
@@ -52,7 +52,7 @@ def s_intrinsics(spark, d):
 @query(PTS + """, u AS (SELECT *, sqrt(x*x+y*y+z*z) AS n FROM pts) SELECT point_id, round(greatest(0.28209479177387814*f_dc_0::DOUBLE-0.4886025119029199*(y/n)*coalesce(f_rest[1]::DOUBLE,0)+0.4886025119029199*(z/n)*coalesce(f_rest[2]::DOUBLE,0)-0.4886025119029199*(x/n)*coalesce(f_rest[3]::DOUBLE,0)+0.5,0),4) AS red FROM u WHERE n > 0""")
 def f_harmonics(spark, d):
     n = F.sqrt(C("x") * C("x") + C("y") * C("y") + C("z") * C("z"))
-    p = _points(spark, d).withColumn("n", n).where("n > 0")
+    p = _points(spark, d, "x", "y", "z", "f_dc_0", "f_rest").withColumn("n", n).where("n > 0")
     return p.select("point_id", F.round(Z.harmonics(C("f_dc_0").cast("double"), C("f_rest"), C("x") / C("n"), C("y") / C("n"), C("z") / C("n")), 4).alias("red"))
 
 
@@ -60,7 +60,7 @@ def f_harmonics(spark, d):
 def a_psnr(spark, d):
     from .functions.exprs import sh_colour
 
-    p = _points(spark, d)
+    p = _points(spark, d, "scene", "red", "f_dc_0")
     return p.groupBy("scene").agg(F.round(Z.psnr(C("red").cast("double") / 255.0, sh_colour(C("f_dc_0").cast("double"))), 4).alias("psnr"))
 
 
@@ -89,7 +89,7 @@ def a_image_iou(spark, d):
  SELECT view_idx, mask_id::INT AS mask_id, n::BIGINT AS n FROM x WHERE va <= 0.006 OR n > 0.8*most""")
 def p_steady_masks(spark, d):
     mask = F.pmod(F.floor(C("u") / 64) + 2 * F.floor(C("v") / 64), F.lit(32)).cast("int").alias("mask_id")
-    v = _points(spark, d).select("point_id", C("f_dc_0").cast("double").alias("c"))
+    v = _points(spark, d, "f_dc_0").select("point_id", C("f_dc_0").cast("double").alias("c"))
     s = _seen(spark, d).select("view_idx", mask, "point_id").join(v, "point_id").groupBy("view_idx", "mask_id").agg(F.count("*").alias("n"), F.var_pop("c").alias("var"))
     return Z.steady_masks(s, ["view_idx"]).drop("var")
 
@@ -109,7 +109,7 @@ def f_paths_phrases(spark, d):
 def a_leaf_score(spark, d):
     from .functions.exprs import sigmoid
 
-    l = _points(spark, d).select((C("point_id") % 50).alias("leaf"), sigmoid(F.coalesce("opacity", F.lit(0)).cast("double")).alias("w"), (C("f_dc_0") > 0).alias("hit"))
+    l = _points(spark, d, "opacity", "f_dc_0").select((C("point_id") % 50).alias("leaf"), sigmoid(F.coalesce("opacity", F.lit(0)).cast("double")).alias("w"), (C("f_dc_0") > 0).alias("hit"))
     return Z.leaf_scores(l, "leaf", "w", "hit")
 
 
