@@ -1,12 +1,14 @@
 """Schemas that drift between files (problem 3).
 
-Each vertex row is loaded as a map from field name to raw text next to a map of the declared types; statistics of fields and
-types are aggregated per file; a field that disappears is compared with each field that appears, over the same vertices; the
-lineage of names gives one consistent table, with casts that failed reported per file and field.
-
-Defined results: a file without a readable vertex element has no fields; a file without an earlier file in its series has no
-changes; of repeated rows of a file or vertex the one loaded last (then the larger text) counts; a missing number (NA, nan,
-empty) takes no part in the comparison of values; fields are renamed one to one, ties going to the most equal relative place.
+Each vertex row is loaded as a map from field name to raw text next to the declared types; statistics of fields and types are
+aggregated per file; a field that disappears is compared with each field that appears, over the same vertices; the lineage of names
+gives one consistent table of typed values, with casts that failed reported per file and field.
+
+Defined results: a file without a readable vertex element has no fields; a property that a header names twice counts once, at its
+first place; a file without an earlier file in its series has no changes; of repeated rows of a file the one loaded last (then the
+larger text) counts, of a vertex the greater values; a missing number (NA, nan, empty) takes no part in the comparison of values;
+fields are renamed one to one, ties going to the most equal relative place; a name that is free again may start a second lineage,
+which then is called name#file.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import salted_join
+from ..util import cut, drop, hot_keys, salted_join
 
 # The scalar types of the PLY format and their other spellings.
 PLY_TYPES = {
@@ -28,6 +30,9 @@ PLY_TYPES = {
     "float32": "float",
     "float64": "double",
 }
+# The least and greatest numbers of the whole types, and the greatest of the float type.
+RANGES = {"char": (-128, 127), "uchar": (0, 255), "short": (-32768, 32767), "ushort": (0, 65535), "int": (-2147483648, 2147483647), "uint": (0, 4294967295)}
+FLOAT_MAX = 3.4028234663852886e38
 #: Texts that stand for a missing number, in lower case.
 MISSING = ["", "na", "n/a", "nan", "null", "none", "-"]
 
@@ -42,7 +47,8 @@ def header_fields(header: Column) -> Column:
         words = F.transform(F.split(F.lower(p["kind"]), r"\s+"), lambda t: F.coalesce(F.try_element_at(types, t), t))
         return F.struct(p["name"].alias("name"), F.array_join(words, " ").alias("type"), i.alias("pos"))
 
-    return F.transform(F.arrays_zip(F.regexp_extract_all(vertex, line, F.lit(1)).alias("kind"), F.regexp_extract_all(vertex, line, F.lit(2)).alias("name")), field)
+    all_ = F.transform(F.arrays_zip(F.regexp_extract_all(vertex, line, F.lit(1)).alias("kind"), F.regexp_extract_all(vertex, line, F.lit(2)).alias("name")), field)
+    return F.filter(all_, lambda f, i: ~F.exists(F.slice(all_, 1, i), lambda g: g["name"] == f["name"]))
 
 
 def files(ply_files: DataFrame) -> DataFrame:
@@ -57,17 +63,20 @@ def files(ply_files: DataFrame) -> DataFrame:
     order = one.select("file_id", "series", "written_at").withColumn(
         "prev_id", F.lag("file_id").over(Window.partitionBy("series").orderBy("written_at", "file_id"))
     )
-    return one.drop("series", "written_at").join(order, "file_id")
+    return one.drop("series", "written_at").join(order, "file_id").select("file_id", "series", "written_at", "prev_id", "fields")
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
 
 
 def vertex_maps(ply_vertices: DataFrame, fs: DataFrame) -> DataFrame:
-    """Vertices as path-value maps of raw text: file_id, vertex_idx, raw (MAP name -> text)."""
-    names = fs.select("file_id", F.transform("fields", lambda f: f["name"]).alias("names"))
+    """Vertices as path-value maps of raw text: file_id, vertex_idx, raw (MAP name -> text). Fields beyond a short row are absent."""
+    hot = hot_keys(ply_vertices, "file_id")
     one = ply_vertices.where(F.col("record_text").isNotNull()).groupBy("file_id", "vertex_idx").agg(F.max("record_text").alias("t"))
-    words = F.split(F.trim(F.regexp_replace("t", r"\s+", " ")), " ")
-    joined = salted_join(one, names, ["file_id"]).withColumn("w", words)
-    pairs = F.arrays_zip(F.col("names"), F.slice("w", F.lit(1), F.size("names")).alias("w"))
-    return joined.select("file_id", "vertex_idx", F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["names"].alias("k"), p["w"].alias("v")))).alias("raw"))
+    joined = salted_join(one.withColumn("w", _words(F.col("t"))), fs.select("file_id", "fields"), ["file_id"], hot=hot)
+    there = F.filter("fields", lambda f: f["pos"] < F.size("w"))
+    return joined.select("file_id", "vertex_idx", F.map_from_entries(F.transform(there, lambda f: F.struct(f["name"].alias("k"), F.get("w", f["pos"]).alias("v")))).alias("raw"))
 
 
 def number(text: Column) -> Column:
@@ -84,18 +93,27 @@ def half_unit(text: Column) -> Column:
     return 0.5 * F.pow(F.lit(10.0), (exponent - decimals).cast("double"))
 
 
+def failed_cast(kind: Column, text: Column) -> Column:
+    """Whether a raw text that is no missing number isn't a number of the type: no number, a fraction of a whole type, or out of range."""
+    value = number(text)
+    missing = text.isNull() | F.lower(F.trim(text)).isin(MISSING)
+    bad = value.isNull() | F.isnan(value)
+    for name, (low, high) in RANGES.items():
+        bad = bad | ((kind == name) & ((value != F.floor(value)) | (value < low) | (value > high)))
+    bad = bad | ((kind == "float") & (F.abs(value) > FLOAT_MAX)) | ((kind == "double") & (F.abs(value) == float("inf")))
+    return ~missing & F.coalesce(bad, F.lit(True))
+
+
 def type_statistics(maps: DataFrame, fs: DataFrame) -> DataFrame:
-    """Per file and field: declared type, vertices, missing values, values that aren't numbers, smallest and largest value."""
+    """Per file and field: declared type, vertices, missing values, values that aren't of the declared type, smallest and largest value."""
     types = fs.select("file_id", F.explode("fields").alias("f")).select("file_id", F.col("f.name").alias("field"), F.col("f.type").alias("type"))
     long = maps.select("file_id", F.explode("raw").alias("field", "text"))
     value = number(F.col("text"))
-    missing = F.lower(F.trim("text")).isin(MISSING) | F.col("text").isNull()
-    whole = F.col("type").isin("char", "uchar", "short", "ushort", "int", "uint")
-    stats = long.join(types, ["file_id", "field"]).groupBy("file_id", "field", "type")
+    stats = salted_join(long, types, ["file_id", "field"]).groupBy("file_id", "field", "type")
     return stats.agg(
         F.count("*").alias("n_values"),
-        F.count_if(missing).alias("n_missing"),
-        F.count_if(~missing & (value.isNull() | (whole & (value != F.floor(value))))).alias("n_failed_cast"),
+        F.count_if(F.lower(F.trim("text")).isin(MISSING) | F.col("text").isNull()).alias("n_missing"),
+        F.count_if(failed_cast(F.col("type"), F.col("text"))).alias("n_failed_cast"),
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
     )
@@ -113,80 +131,113 @@ def _one_to_one(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[keep][["file_id", "old_field", "new_field"]]
 
 
-def changes(fs: DataFrame, maps: DataFrame, min_share: float = 0.98) -> DataFrame:
-    """Changes of the vertex fields of each file against the previous one: file_id, change_kind, old_field, new_field, old_type, new_type.
+def differences(fs: DataFrame) -> DataFrame:
+    """Per file with an earlier one in its series: file_id, prev_id, gone, come, stayed (arrays of fields). One join of ids and headers;
+    names are compared within the row."""
+    before = fs.select(F.col("file_id").alias("prev_id"), F.col("fields").alias("old"))
+    both = fs.where(F.col("prev_id").isNotNull()).join(before, "prev_id")
+    name = lambda fields: F.transform(fields, lambda f: f["name"])
+    without = lambda a, b: F.filter(a, lambda f: ~F.array_contains(name(b), f["name"]))
+    stayed = F.transform(
+        F.filter("fields", lambda f: F.array_contains(name("old"), f["name"])),
+        lambda f: F.struct(f["name"].alias("name"), F.filter("old", lambda o: o["name"] == f["name"])[0]["type"].alias("old_type"), f["type"].alias("new_type")),
+    )
+    return both.select("file_id", "prev_id", without("old", "fields").alias("gone"), without("fields", "old").alias("come"), stayed.alias("stayed"))
 
-    A field is renamed when at least ``min_share`` of the vertices that have both values hold the same number up to half a unit
-    of the last printed digits of both.
+
+def renames(ply_vertices: DataFrame, diff: DataFrame, min_share: float = 0.98) -> DataFrame:
+    """file_id, old_field, new_field of fields that were renamed: at least ``min_share`` of the vertices that have both values hold the
+    same number up to half a unit of the last printed digits of both.
+
+    Only files that lost and gained fields are looked at, and of their vertices only the values of these fields are shuffled, once,
+    to the vertex of both files.
     """
-    field = fs.select("file_id", "prev_id", F.explode("fields").alias("f")).select(
-        "file_id", "prev_id", F.col("f.name").alias("name"), F.col("f.type").alias("type"), F.col("f.pos").alias("pos")
-    )
-    now = field.where(F.col("prev_id").isNotNull()).select("file_id", "name", F.col("type").alias("new_type"), F.col("pos").alias("new_pos"))
-    links = fs.where(F.col("prev_id").isNotNull()).select("file_id", "prev_id")
-    before = links.join(
-        field.select(F.col("file_id").alias("prev_id"), "name", F.col("type").alias("old_type"), F.col("pos").alias("old_pos")), "prev_id"
-    ).select("file_id", "name", "old_type", "old_pos", F.lit(True).alias("was"))
-    both = now.withColumn("is", F.lit(True)).join(before, ["file_id", "name"], "full")
-    gone = both.where(F.col("is").isNull()).select("file_id", F.col("name").alias("old_field"), "old_type", "old_pos")
-    come = both.where(F.col("was").isNull()).select("file_id", F.col("name").alias("new_field"), "new_type", "new_pos")
-
-    # values of the fields in question only, by the vertex: at most (fields gone + fields come) values of a vertex
-    gone_of = gone.groupBy("file_id").agg(F.collect_list(F.struct("old_field", "old_pos")).alias("gone"))
-    come_of = come.groupBy("file_id").agg(F.collect_list(F.struct("new_field", "new_pos")).alias("come"))
-    asked = links.join(gone_of, "file_id").join(come_of, "file_id")
-    fresh = salted_join(maps, asked.drop("gone"), ["file_id"]).select(
-        "file_id", "prev_id", "vertex_idx", F.transform("come", lambda c: F.struct(c["new_field"], c["new_pos"], F.col("raw")[c["new_field"]].alias("v"))).alias("come")
-    )
-    past = salted_join(maps.withColumnRenamed("file_id", "prev_id"), asked.drop("come"), ["prev_id"]).select(
-        "file_id", "vertex_idx", F.transform("gone", lambda c: F.struct(c["old_field"], c["old_pos"], F.col("raw")[c["old_field"]].alias("v"))).alias("gone")
-    )
-    crossed = (
-        fresh.join(past, ["file_id", "vertex_idx"])
-        .withColumn("a", F.explode("gone"))
-        .withColumn("b", F.explode("come"))
-        .select("file_id", "a.old_field", "a.old_pos", "b.new_field", "b.new_pos", F.col("a.v").alias("av"), F.col("b.v").alias("bv"))
+    asked = diff.where((F.size("gone") > 0) & (F.size("come") > 0))
+    place = lambda c: F.transform(c, lambda f: f["pos"])
+    roles = asked.select(F.col("file_id").alias("pair"), "file_id", F.lit(True).alias("new"), place("come").alias("at")).unionByName(
+        asked.select(F.col("file_id").alias("pair"), F.col("prev_id").alias("file_id"), F.lit(False).alias("new"), place("gone").alias("at"))
     )
-    x, y = number(F.col("av")), number(F.col("bv"))
-    same = F.abs(x - y) <= 1.01 * (half_unit(F.col("av")) + half_unit(F.col("bv")))
-    scored = (
-        crossed.where(x.isNotNull() & y.isNotNull())
-        .groupBy("file_id", "old_field", "old_pos", "new_field", "new_pos")
-        .agg(F.avg(same.cast("double")).alias("share"))
-        .where(F.col("share") >= min_share)
-        .withColumn("place", F.abs(F.col("old_pos") - F.col("new_pos")))
-    )
-    renamed = scored.groupBy("file_id").applyInPandas(_one_to_one, "file_id bigint, old_field string, new_field string")
+    roles = cut(roles)
+    hot = hot_keys(ply_vertices, "file_id")
+    rows = salted_join(ply_vertices.where(F.col("record_text").isNotNull()).select("file_id", "vertex_idx", "record_text"), roles, ["file_id"], hot=hot)
+    words = rows.withColumn("w", _words(F.col("record_text"))).select("pair", "vertex_idx", "new", F.transform("at", lambda i: F.get("w", i)).alias("t"))
+    vertex = words.groupBy("pair", "vertex_idx").agg(F.max(F.when(F.col("new"), F.col("t"))).alias("b"), F.max(F.when(~F.col("new"), F.col("t"))).alias("a"))
+    read = lambda c: F.transform(c, lambda t: F.struct(number(t).alias("x"), half_unit(t).alias("h")))
+    parsed = vertex.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("pair", read("a").alias("a"), read("b").alias("b"))
+    crossed = parsed.select("pair", "b", F.posexplode("a").alias("i", "p")).select("pair", "i", "p", F.posexplode("b").alias("j", "q"))
+    same = F.abs(F.col("p.x") - F.col("q.x")) <= 1.01 * (F.col("p.h") + F.col("q.h"))
+    good = crossed.where(F.col("p.x").isNotNull() & F.col("q.x").isNotNull()).groupBy("pair", "i", "j").agg(F.avg(same.cast("double")).alias("share")).where(F.col("share") >= min_share)
+    named = good.join(asked.select(F.col("file_id").alias("pair"), "gone", "come"), "pair").withColumn("o", F.get("gone", F.col("i"))).withColumn("n", F.get("come", F.col("j")))
+    scored = named.select(
+        F.col("pair").alias("file_id"), F.col("o.name").alias("old_field"), F.col("n.name").alias("new_field"), "share",
+        F.abs(F.col("o.pos") - F.col("n.pos")).alias("place"), F.col("o.pos").alias("old_pos"), F.col("n.pos").alias("new_pos"),
+    )
+    return scored.groupBy("file_id").applyInPandas(_one_to_one, "file_id bigint, old_field string, new_field string")
+
+
+def changes(fs: DataFrame, ply_vertices: DataFrame, min_share: float = 0.98) -> DataFrame:
+    """Changes of the vertex fields of each file against the previous one: file_id, change_kind, old_field, new_field, old_type, new_type."""
+    diff = cut(differences(fs))
+    pairs = renames(ply_vertices, diff, min_share).groupBy("file_id").agg(F.collect_list(F.struct("old_field", "new_field")).alias("renamed"))
+    one = diff.join(pairs, "file_id", "left").withColumn("renamed", F.coalesce("renamed", F.array().cast("array<struct<old_field:string,new_field:string>>")))
     empty = F.lit("")
-    added = come.join(renamed, ["file_id", "new_field"], "left_anti").select("file_id", F.lit("added").alias("change_kind"), empty.alias("old_field"), "new_field", empty.alias("old_type"), "new_type")
-    removed = gone.join(renamed, ["file_id", "old_field"], "left_anti").select("file_id", F.lit("removed").alias("change_kind"), "old_field", empty.alias("new_field"), "old_type", empty.alias("new_type"))
-    moved = renamed.join(gone.drop("old_pos"), ["file_id", "old_field"]).join(come.drop("new_pos"), ["file_id", "new_field"])
-    moved_rows = moved.select("file_id", F.lit("renamed").alias("change_kind"), "old_field", "new_field", "old_type", "new_type")
-    stayed = both.where(F.col("is") & F.col("was")).select("file_id", F.col("name").alias("old_field"), F.col("name").alias("new_field"), "old_type", "new_type")
-    retyped = (
-        stayed.unionByName(moved.select("file_id", "old_field", "new_field", "old_type", "new_type"))
-        .where(F.col("old_type") != F.col("new_type"))
-        .select("file_id", F.lit("retyped").alias("change_kind"), "old_field", "new_field", "old_type", "new_type")
-    )
-    return added.unionByName(removed).unionByName(moved_rows).unionByName(retyped)
-
-
-def _lineage(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For the files of one series in the order of writing: each field's first name. Rows are (file, field, renamed from)."""
-    root: dict[str, str] = {}
-    out = []
-    for (_, file_id), g in pdf.sort_values(["written_at", "file_id"]).groupby(["written_at", "file_id"], sort=True):
-        olds = g["old_field"].where(g["old_field"].notna(), None)
-        root = {n: root.get(o if o is not None else n, o if o is not None else n) for n, o in zip(g["field"], olds)}
-        out += [(file_id, n, r) for n, r in root.items()]
-    return pd.DataFrame(out, columns=["file_id", "field", "path"])
-
-
-def consistent(fs: DataFrame, maps: DataFrame, drift: DataFrame) -> DataFrame:
-    """One consistent table in long form: series, file_id, vertex_idx, path (the field's first name in the series), value."""
-    renames = drift.where(F.col("change_kind") == "renamed").select("file_id", F.col("new_field").alias("field"), "old_field")
-    rows = fs.select("series", "written_at", "file_id", F.explode("fields.name").alias("field")).join(renames, ["file_id", "field"], "left")
-    paths = rows.groupBy("series").applyInPandas(_lineage, "file_id bigint, field string, path string")
-    named = paths.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "path"))).alias("paths"))
-    wide = salted_join(maps, named, ["file_id"]).select("file_id", "vertex_idx", F.explode("raw").alias("field", "text"), "paths")
-    return wide.select("file_id", "vertex_idx", F.col("paths")[F.col("field")].alias("path"), number(F.col("text")).alias("value"))
+
+    def row(kind: str, old, new, old_type, new_type):
+        return F.struct(F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"), old_type.alias("old_type"), new_type.alias("new_type"))
+
+    kind_of = lambda fields, name: F.get(F.filter(fields, lambda f: f["name"] == name), F.lit(0))["type"]
+    added = F.transform(F.filter("come", lambda f: ~F.exists("renamed", lambda r: r["new_field"] == f["name"])), lambda f: row("added", empty, f["name"], empty, f["type"]))
+    removed = F.transform(F.filter("gone", lambda f: ~F.exists("renamed", lambda r: r["old_field"] == f["name"])), lambda f: row("removed", f["name"], empty, f["type"], empty))
+    moved = F.transform("renamed", lambda r: row("renamed", r["old_field"], r["new_field"], kind_of("gone", r["old_field"]), kind_of("come", r["new_field"])))
+    retyped = F.transform(F.filter("stayed", lambda f: f["old_type"] != f["new_type"]), lambda f: row("retyped", f["name"], f["name"], f["old_type"], f["new_type"]))
+    moved_too = F.transform(F.filter(moved, lambda m: m["old_type"] != m["new_type"]), lambda m: row("retyped", m["old_field"], m["new_field"], m["old_type"], m["new_type"]))
+    return one.select("file_id", F.explode(F.concat(added, removed, moved, retyped, moved_too)).alias("c")).select("file_id", "c.*")
+
+
+def lineage(fs: DataFrame, drift: DataFrame) -> DataFrame:
+    """file_id, field, path, kind: each field's path (the name of its first ancestor in the series) and its lineage's type: whole,
+    float or double, the narrowest that holds all declared types.
+
+    A field's ancestor is the field of its name in the previous file, or the one it was renamed from. The first is found by pointer
+    jumping: a series of n files takes log n rounds, and no series meets in one task.
+    """
+    field = fs.select("file_id", "series", "written_at", "prev_id", F.explode("fields").alias("f")).select("file_id", "series", "written_at", "prev_id", F.col("f.name").alias("field"), F.col("f.type").alias("type"))
+    moved = drift.where("change_kind = 'renamed'").select("file_id", F.col("new_field").alias("field"), F.col("old_field").alias("was"))
+    new = drift.where("change_kind = 'added'").select("file_id", F.col("new_field").alias("field"), F.lit(True).alias("added"))
+    step = field.join(moved, ["file_id", "field"], "left").join(new, ["file_id", "field"], "left")
+    first = F.col("prev_id").isNull() | F.coalesce("added", F.lit(False))
+    link = cut(step.select("file_id", "field", F.when(first, F.col("file_id")).otherwise(F.col("prev_id")).alias("up_file"), F.when(first, F.col("field")).otherwise(F.coalesce("was", "field")).alias("up_field")))
+    while True:
+        over = link.select(F.col("file_id").alias("up_file"), F.col("field").alias("up_field"), F.col("up_file").alias("top_file"), F.col("up_field").alias("top_field"))
+        jumped = link.join(over, ["up_file", "up_field"]).select("file_id", "field", F.col("top_file").alias("up_file"), F.col("top_field").alias("up_field"), ((F.col("top_file") != F.col("up_file")) | (F.col("top_field") != F.col("up_field"))).alias("moved"))
+        jumped = cut(jumped)
+        drop(link)
+        link = jumped
+        if link.where("moved").isEmpty():
+            break
+    root = field.join(link.drop("moved"), ["file_id", "field"])
+    rank = {"double": 2, "float": 1}
+    wide = F.max(F.when(F.col("type").isin(list(RANGES)), 0).otherwise(F.coalesce(*[F.when(F.col("type") == t, r) for t, r in rank.items()], F.lit(2))))
+    any_whole = F.max(F.col("type").isin("int", "uint"))
+    kinds = root.groupBy("series", "up_file", "up_field").agg(wide.alias("w"), any_whole.alias("whole"))
+    # a float can't hold every whole number of 32 bits
+    kinds = kinds.withColumn("kind", F.when(F.col("w") == 0, "whole").when((F.col("w") == 1) & ~F.col("whole"), "float").otherwise("double"))
+    starts = kinds.join(fs.select(F.col("file_id").alias("up_file"), "written_at"), "up_file")
+    # lineages that start with one name in one series: few
+    number_ = F.row_number().over(Window.partitionBy("series", "up_field").orderBy("written_at", "up_file"))
+    named = starts.withColumn("k", number_).select("up_file", "up_field", "kind", F.when(F.col("k") == 1, F.col("up_field")).otherwise(F.concat_ws("#", "up_field", F.col("up_file").cast("string"))).alias("path"))
+    return root.join(named, ["up_file", "up_field"]).select("file_id", "field", "path", "kind")
+
+
+def consistent(maps: DataFrame, lines: DataFrame) -> DataFrame:
+    """One consistent table in long form: file_id, vertex_idx, path, kind, text, value (a double), failed (no number of the lineage's type).
+
+    ``lines`` is the result of ``lineage``.
+    """
+    named = lines.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("path", "kind")))).alias("paths"))
+    wide = salted_join(maps, named, ["file_id"]).select("file_id", "vertex_idx", F.explode("raw").alias("field", "text"), "paths").withColumn("p", F.col("paths")[F.col("field")])
+    declared = F.when(F.col("p.kind") == "whole", "int").otherwise(F.col("p.kind"))
+    value = number(F.col("text"))
+    whole_bad = (F.col("p.kind") == "whole") & (value != F.floor(value))
+    failed = F.when(F.col("p.kind") == "whole", failed_cast(F.lit("double"), F.col("text")) | F.coalesce(whole_bad, F.lit(False))).otherwise(failed_cast(declared, F.col("text")))
+    return wide.select("file_id", "vertex_idx", "p.path", "p.kind", "text", F.when(~failed, value).alias("value"), failed.alias("failed"))

@@ -19,9 +19,36 @@ def latest(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.coalesce(order, F.lit("1970-01-01").cast("timestamp"))).alias("r")).select(key, "r.*")
 
 
-def opaque(points: DataFrame, min_opacity: float = 0.05, max_log_scale: float = 2.0) -> DataFrame:
-    """Points with sigmoid(opacity) above and largest log scale below a limit; null opacity counts as opaque (1)."""
-    return points.where((F.coalesce(X.sigmoid(F.col("opacity").cast("double")), F.lit(1.0)) > min_opacity) & (F.greatest("scale_0", "scale_1", "scale_2") < max_log_scale))
+def opaque(points: DataFrame, min_opacity: float = 0.05, max_log_scale: float = 2.0, min_norm: float | None = None, vector: str = "ins_feat") -> DataFrame:
+    """Points with sigmoid(opacity) above and largest log scale below a limit, and with ``min_norm`` a vector of at least this length;
+    null opacity counts as opaque (1)."""
+    ok = (F.coalesce(X.sigmoid(F.col("opacity").cast("double")), F.lit(1.0)) > min_opacity) & (F.greatest("scale_0", "scale_1", "scale_2") < max_log_scale)
+    return points.where(ok if min_norm is None else ok & (X.norm(F.col(vector)) >= min_norm))
+
+
+def above_logit(points: DataFrame, least: float) -> DataFrame:
+    """Points whose raw opacity is at least ``least``; null opacity drops."""
+    return points.where(F.col("opacity") >= least)
+
+
+def centrality(df: DataFrame, by: list[str], quality: Column | None = None) -> DataFrame:
+    """Adds ``_s`` for ``core_points``: minus the distance to the group's mean position; with ``quality`` the mean of both, each scaled
+    to [0, 1] within its group."""
+    mean = df.groupBy(*by).agg(*[F.avg(a).alias(f"_m{a}") for a in "xyz"])
+    near = df.join(mean, by).withColumn("_s", -F.sqrt(sum((F.col(a) - F.col(f"_m{a}")) ** 2 for a in "xyz"))).drop("_mx", "_my", "_mz")
+    if quality is None:
+        return near
+    both = min_max(near.withColumn("_q", quality), ["_s", "_q"], by)
+    return both.withColumn("_s", (F.col("_s") + F.col("_q")) / 2).drop("_q")
+
+
+def feature_space(df: DataFrame, by: list[str], vector: str, dims: int, feature_weight: float = 1.0, position_weight: float = 1.0, z_scale: float = 1.0) -> DataFrame:
+    """Adds ``space``: the vector and x, y, z, each scaled to [0, 1] within its group and weighted; z is scaled by ``z_scale`` before.
+    Scaling z alone changes nothing but rounding, as each axis has its own range, unless the range is zero."""
+    cols = [f"_v{j}" for j in range(dims)]
+    wide = df.withColumns({**{c: F.col(vector)[j].cast("double") for j, c in enumerate(cols)}, "_x": F.col("x"), "_y": F.col("y"), "_z": F.col("z") * z_scale})
+    scaled = min_max(wide, [*cols, "_x", "_y", "_z"], by)
+    return scaled.withColumn("space", F.array(*[F.col(c) * feature_weight for c in cols], *[F.col(f"_{a}") * position_weight for a in "xyz"])).drop(*cols, "_x", "_y", "_z")
 
 
 def min_max(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:

@@ -10,10 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import SH0
-
-# Fixed value: the constant of the first harmonics.
-SH1 = 0.4886025119029199
+from ..functions.exprs import SH0, harmonic_basis
 
 
 def normalisation(centres: DataFrame, by: list[str], axes: tuple[str, ...] = ("cx", "cy", "cz"), margin: float = 1.1) -> DataFrame:
@@ -40,10 +37,11 @@ def intrinsics(model: Column, params: Column) -> list[Column]:
     return [F.when(one, at(a)).when(two, at(b)) for a, b in ((0, 0), (0, 1), (1, 2), (2, 3))]
 
 
-def harmonics(dc: Column, rest: Column, x: Column, y: Column, z: Column) -> Column:
-    """Colour of degree 0 and 1 in the unit direction x, y, z, shifted and clamped at zero; missing coefficients count as 0."""
+def harmonics(dc: Column, rest: Column, x: Column, y: Column, z: Column, degree: int = 1) -> Column:
+    """Colour of degree 0 to ``degree`` (at most 4) in the unit direction x, y, z, shifted and clamped at zero; missing coefficients count as 0."""
     c = lambda i: F.coalesce(F.get(rest, F.lit(i)).cast("double"), F.lit(0.0))
-    return F.greatest(SH0 * dc - SH1 * y * c(0) + SH1 * z * c(1) - SH1 * x * c(2) + 0.5, F.lit(0.0))
+    basis = harmonic_basis(degree, x, y, z) if degree else []
+    return F.greatest(sum((b * c(i) for i, b in enumerate(basis)), SH0 * dc) + 0.5, F.lit(0.0))
 
 
 def psnr(a: Column, b: Column) -> Column:

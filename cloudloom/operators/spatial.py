@@ -5,7 +5,9 @@ Defined results: rows with null coordinates take no part; distances include thei
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..util import cut, drop, salted_join
@@ -97,20 +99,28 @@ def column_owner(df: DataFrame, by: list[str], label: str, side: float) -> DataF
     return cells.join(size, [*by, label]).groupBy(*by, "cx", "cy").agg(F.min(F.struct((-F.col("size")).alias("s"), F.col(label).alias("owner")))["owner"].alias("owner"))
 
 
-def nearest_k(df: DataFrame, key: str, by: list[str], radius: float, k: int) -> DataFrame:
+def nearest_k(df: DataFrame, key: str, by: list[str], radius: float, k: int | Callable[[Column], Column], others: DataFrame | None = None) -> DataFrame:
     """The k nearest others of each point of its group: a, b, dist, rank; ties to the lower id. Fewer only where the group has fewer.
 
+    With ``others`` (the same columns) the nearest are taken from these instead, equal ids included. ``k`` may be an expression of the
+    group's number of points to choose from, such as its root.
     ``radius`` is where the search starts. Points with fewer than k others within it ask again with a doubled radius until none is
     left; distances are finite, so it ends.
     """
-    p = df.where(F.col(key).isNotNull())
-    for x in "xyz":
-        p = p.where(F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(F.col(x).cast("double")) < float("inf")))
-    p = cut(p.select(*by, F.col(key).alias("a"), *[F.col(x).cast("double").alias(x) for x in "xyz"]))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col(key).isNotNull())
+        for x in "xyz":
+            rows = rows.where(F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(F.col(x).cast("double")) < float("inf")))
+        return cut(rows.select(*by, F.col(key).alias("a"), *[F.col(x).cast("double").alias(x) for x in "xyz"]))
+
+    p = placed(df)
+    pool = p if others is None else placed(others)
     # a point of a group of n points has n - 1 others, so it waits for no more
-    want = p.groupBy(*by).agg(F.least(F.count("*") - 1, F.lit(k)).alias("want"))
+    n = F.count("*") - (1 if others is None else 0)
+    want = pool.groupBy(*by).agg(F.least(n, k(F.count("*")).cast("bigint") if callable(k) else F.lit(k)).alias("want"))
     left = cut(p.join(want, by).where("want > 0"))
-    other = p.select(*by, F.col("a").alias("b"), *[F.col(x).alias(f"o{x}") for x in "xyz"])
+    other = pool.select(*by, F.col("a").alias("b"), *[F.col(x).alias(f"o{x}") for x in "xyz"])
     dist = F.sqrt(sum((F.col(x) - F.col(f"o{x}")) ** 2 for x in "xyz"))
     out = None
     while not left.isEmpty():
@@ -118,9 +128,9 @@ def nearest_k(df: DataFrame, key: str, by: list[str], radius: float, k: int) ->
         ask = left
         for x in "xyz":
             ask = ask.withColumn(f"c{x}", F.explode(F.array(*[F.floor(F.col(x) / radius) + i for i in (-1, 0, 1)])))
-        near = ask.join(cells, [*by, *[f"c{x}" for x in "xyz"]]).where("a <> b").withColumn("dist", dist).where(F.col("dist") <= radius)
+        near = ask.join(cells, [*by, *[f"c{x}" for x in "xyz"]]).where("a <> b" if others is None else "true").withColumn("dist", dist).where(F.col("dist") <= radius)
         rank = F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))
-        found = near.select("a", "b", "dist", "want").withColumn("rank", rank).where(F.col("rank") <= k)
+        found = near.select("a", "b", "dist", "want").withColumn("rank", rank).where(F.col("rank") <= F.col("want"))
         full = F.count("*").over(Window.partitionBy("a")) >= F.col("want")
         found = cut(found.withColumn("full", full).where("full").select("a", "b", "dist", "rank"))
         out = found if out is None else out.unionByName(found)

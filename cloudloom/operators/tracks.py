@@ -50,11 +50,13 @@ def confusion(pairs: DataFrame, truth: str, guess: str, by: list[str] | None = N
     return j.select(*by, "cls", "hit", union.alias("union_n"), F.when(union > 0, F.col("hit") / union).otherwise(0.0).alias("iou"), (F.col("hit") / F.col("n_truth")).alias("acc"))
 
 
-def set_overlap(rows: DataFrame, a: str, b: str, item: str) -> DataFrame:
-    """IoU of the sets named by ``a`` and ``b`` over distinct items that hold both labels."""
+def set_overlap(rows: DataFrame, a: str, b: str, item: str, base: str = "union", extra: float = 0.0) -> DataFrame:
+    """IoU of the sets named by ``a`` and ``b`` over distinct items that hold both labels. ``base`` former or later divides by the size of
+    a's or b's set instead of the union; ``extra`` is added to the divisor."""
     d = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(item, a, b).distinct()
     inter = d.groupBy(a, b).agg(F.count("*").alias("inter"))
     na = d.groupBy(a).agg(F.count("*").alias("na"))
     nb = d.groupBy(b).agg(F.count("*").alias("nb"))
     j = inter.join(na, a).join(nb, b)
-    return j.select(a, b, "inter", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("iou"))
+    size = {"union": F.col("na") + F.col("nb") - F.col("inter"), "former": F.col("na"), "later": F.col("nb")}[base]
+    return j.select(a, b, "inter", (F.col("inter") / (size + extra)).alias("iou"))

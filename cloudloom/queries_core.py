@@ -181,7 +181,7 @@ def j_nearest_centre(spark, d):
 def g_codebook(spark, d):
     cols = ["f_dc_0", "f_dc_1", "f_dc_2"]
     p = _points(spark, d, "f_dc_0", "f_dc_1", "f_dc_2").select("point_id", *cols)
-    return S.nearest_centre(p, S.lloyd(p, CENTRES, cols), cols).groupBy("code").agg(F.count("*").alias("n"), F.avg("dist").alias("mean_dist"))
+    return S.nearest_centre(p, S.lloyd(p, CENTRES, cols), cols).groupBy("code").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 3).alias("mean_dist"))
 
 
 SP = """WITH sp AS (SELECT * FROM sparse_points WHERE point3d_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY point3d_id ORDER BY loaded_at)=1)"""

@@ -45,14 +45,43 @@ def test_schema_drift(spark):
     )
     fs = drift.files(files)
     maps = drift.vertex_maps(verts, fs)
-    got = rows(drift.changes(fs, maps).select("file_id", "change_kind", "old_field", "new_field"))
+    found = drift.changes(fs, verts)
+    got = rows(found.select("file_id", "change_kind", "old_field", "new_field"))
     assert got == [(2, "added", "", "n"), (2, "removed", "red", ""), (2, "renamed", "opacity", "alpha"), (2, "retyped", "opacity", "alpha")]
     stats = {(r["file_id"], r["field"]): r for r in drift.type_statistics(maps, fs).collect()}
     assert stats[(1, "opacity")]["n_missing"] == 1 and stats[(1, "x")]["max_value"] == 2.0
-    long = drift.consistent(fs, maps, drift.changes(fs, maps))
+    long = drift.consistent(maps, drift.lineage(fs, found))
     assert {r["path"] for r in long.where("file_id = 2").collect()} == {"x", "opacity", "n"}
 
 
+def _series(spark, *files):
+    """Files of one series: (properties, lines of values)."""
+    head = lambda p: "ply\nformat ascii 1.0\nelement vertex 9\n" + "".join(f"property {x}\n" for x in p) + "end_header\n"
+    f = spark.createDataFrame([(k, "s", head(p)) for k, (p, _) in enumerate(files)], "file_id bigint, series string, ply_header string")
+    v = spark.createDataFrame([(k, i, t) for k, (_, lines) in enumerate(files) for i, t in enumerate(lines)], "file_id bigint, vertex_idx int, record_text string")
+    return drift.files(f.withColumns({"written_at": F.timestamp_seconds("file_id"), "loaded_at": F.timestamp_seconds(F.lit(1))})), v
+
+
+def test_a_renamed_name_may_come_again(spark):
+    fs, v = _series(spark, (["float x", "float a"], ["1 5", "2 6"]), (["float x", "float b"], ["1 5", "2 6"]), (["float x", "float b", "float a"], ["1 5 70", "2 6 80"]), (["float x", "float b", "float a"], ["1 5 71"]))
+    found = drift.changes(fs, v)
+    assert rows(found.select("file_id", "change_kind", "old_field", "new_field")) == [(1, "renamed", "a", "b"), (2, "added", "", "a")]
+    lines = {(r.file_id, r.field): r.path for r in drift.lineage(fs, found).collect()}
+    assert (lines[1, "b"], lines[3, "b"], lines[2, "a"], lines[3, "a"]) == ("a", "a", "a#2", "a#2")
+    long = drift.consistent(drift.vertex_maps(v, fs), drift.lineage(fs, found))
+    assert {(r.path, r.value) for r in long.where("file_id = 2 and vertex_idx = 0").collect()} == {("x", 1.0), ("a", 5.0), ("a#2", 70.0)}
+
+
+def test_double_names_short_rows_and_failed_casts(spark):
+    fs, v = _series(spark, (["uchar r", "float r", "float y", "int n"], ["999 1 2 3", "7 1 1e39 2.5", "NA 1", "x 1 2 3"]))
+    stats = {r.field: r for r in drift.type_statistics(drift.vertex_maps(v, fs), fs).collect()}
+    assert (stats["r"].type, stats["r"].n_values, stats["r"].n_missing, stats["r"].n_failed_cast) == ("uchar", 4, 1, 2)
+    assert (stats["y"].n_values, stats["y"].n_failed_cast, stats["n"].n_failed_cast) == (3, 1, 1)
+    long = drift.consistent(drift.vertex_maps(v, fs), drift.lineage(fs, drift.changes(fs, v)))
+    assert {(r.path, r.failed) for r in long.where("vertex_idx = 1").collect()} == {("r", False), ("y", True), ("n", True)}
+    assert drift.changes(*_series(spark, (["float x"], []), (["float z"], []))).count() == 2
+
+
 def test_expressions(spark):
     r = spark.range(1).select(
         X.sigmoid(F.lit(0.0)).alias("s"), X.logit(F.lit(0.5)).alias("l"), X.logit(F.lit(0.0)).alias("n"), X.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))).alias("c"),
