@@ -1,9 +1,10 @@
 """Consensus of several annotators' labels (problem 5).
 
-Mean-field variational inference of a confusion model: a Dirichlet prior on the class shares and on each row of each
-annotator's confusion matrix. A round is one pass over the labels: the expected log parameters (annotators x classes x classes,
-the only thing that is sent out) turn each item's labels into class probabilities, and a group-by of annotator, class and given
-label adds those up to the new Dirichlet counts (the only thing that comes back). Items are never collected.
+Mean-field variational inference of a confusion model: a Dirichlet prior on the class shares and on each row of each annotator's
+confusion matrix. The parameters are a table with a row per annotator and given label and a column per true class. A round joins the
+expected log parameters to the labels, adds them up within each item to its class probabilities, and a group-by of annotator and
+given label adds these up to the new Dirichlet counts, to which digamma is applied. Neither items nor annotators are collected; only
+the class shares, one number a class, come to the driver.
 
 Defined results: abstentions (null, empty, unknown, 255, texts that name no class) take no part; of an annotator's several labels
 of an item the latest ``labelled_at`` counts (ties: the larger annotation_id); labels whose item can't be identified are left out;
@@ -12,17 +13,15 @@ repeated rows count once; ties of classes go to the lower class; without usable
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import cut, salted_join
-
-#: Annotators times squared classes must stay below this, since the parameters are sent to every task.
-MAX_PARAMETERS = 4_000_000
+from ..util import cut, drop, salted_join
 
 
 def clean_path(path: Column) -> Column:
@@ -36,7 +35,7 @@ def view_key(scene: Column, stem: Column) -> Column:
 
 
 def label_items(labels: DataFrame, views: DataFrame) -> DataFrame:
-    """``labels`` with view_idx: by the mask path, else by scene and file name, else by a file name that only one view has."""
+    """annotation_id, annotator_id, label, labelled_at of ``labels`` with view_idx: by the mask path, else by scene and file name, else by a file name that only one view has."""
     view = views.where(F.col("view_idx").isNotNull()).groupBy("view_idx").agg(F.max("mask_path").alias("vp"), F.max("name").alias("vn"), F.max("scene").alias("vs"))
     stem = lambda c: F.lower(F.regexp_replace(F.element_at(F.split(F.trim(F.translate(c, "\\", "/")), "/"), -1), r"\.[^.]*$", ""))
     keys = (
@@ -57,10 +56,12 @@ def label_items(labels: DataFrame, views: DataFrame) -> DataFrame:
             F.concat(F.lit("s:"), stem(F.col("view_name"))),
         )
     )
-    tried = labels.select(F.struct(*labels.columns).alias("row"), F.posexplode(tries).alias("rank", "item_key"))
+    own = ["annotation_id", "annotator_id", "label", "labelled_at"]
+    tried = labels.select(*own, F.posexplode(tries).alias("rank", "item_key"))
     hit = salted_join(tried, keys, ["item_key"])
-    best = hit.groupBy("row").agg(F.min(F.struct("rank", "view_idx"))["view_idx"].alias("view_idx"))
-    return best.select("row.*", "view_idx")
+    # rank and view as one number, so that the least of both is a hash aggregate
+    place = F.col("rank").cast("bigint") * (1 << 40) + F.col("view_idx")
+    return hit.groupBy(*own).agg(F.min(place).alias("place")).select(*own, F.pmod("place", F.lit(1 << 40)).cast("int").alias("view_idx"))
 
 
 def usable_labels(labels: DataFrame, views: DataFrame, id2label: DataFrame, unknown: int = 255) -> DataFrame:
@@ -77,116 +78,139 @@ def usable_labels(labels: DataFrame, views: DataFrame, id2label: DataFrame, unkn
     return named.groupBy("view_idx", "annotator_id").agg(F.max(F.struct("labelled_at", "annotation_id", "label_id"))["label_id"].alias("label_id"))
 
 
+def digamma(x: str) -> str:
+    """SQL text of the digamma of a positive number: moved up by six, where the asymptotic series holds."""
+    y = f"(({x})+6d)"
+    terms = "+".join(f"1d/(({x})+{k}d)" for k in range(6))
+    return f"(ln({y})-0.5d/{y}-1d/({y}*{y})*({1 / 12}d-1d/({y}*{y})*({1 / 120}d-{1 / 252}d/({y}*{y})))-({terms}))"
+
+
+#: Rounds of one job. The class shares move once a job: factors of a mean field may be updated in any order.
+STEPS = 1
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
-    """Digamma of positive numbers: recurrence up to 6, then the asymptotic series."""
-    x = np.array(x, dtype=float)
-    out = np.zeros_like(x)
-    for _ in range(6):
-        low = x < 6
-        out = np.where(low, out - 1 / np.where(low, x, 1), out)
-        x = np.where(low, x + 1, x)
-    f = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252))
+    """The same for the class shares, one number a class."""
+    y = np.asarray(x, dtype=float) + 6
+    f = 1 / (y * y)
+    return np.log(y) - 0.5 / y - f * (1 / 12 - f * (1 / 120 - f / 252)) - sum(1 / (np.asarray(x, dtype=float) + k) for k in range(6))
 
 
 @dataclass
 class Model:
-    """Posterior Dirichlet counts: ``share`` (classes) and ``confusion`` (annotators x true class x given class)."""
+    """Posterior counts. ``classes`` in order; ``share`` the Dirichlet counts of the classes; ``table`` has annotator_id, j (place of the
+    given label) and n0, n1, .. (expected labels of each true class), without priors; ``diagonal`` and ``other`` are the priors."""
 
-    annotators: list[int]
     classes: list[int]
     share: np.ndarray
-    confusion: np.ndarray
+    table: DataFrame
+    diagonal: float
+    other: float
     rounds: int
 
-
-def _posterior(items: DataFrame, model: Model) -> DataFrame:
-    """Adds ``q``, the class probabilities (array in the order of model.classes), to items with ``votes`` (array of annotator place and class place)."""
-    prior = _digamma(model.share) - _digamma(model.share.sum())
-    log_pi = _digamma(model.confusion) - _digamma(model.confusion.sum(2, keepdims=True))
-    sent = items.sparkSession.sparkContext.broadcast((prior, np.ascontiguousarray(log_pi.transpose(0, 2, 1))))  # at most MAX_PARAMETERS numbers
-
-    @F.pandas_udf("array<double>")
-    def q(a: pd.Series, j: pd.Series) -> pd.Series:
-        prior, by_vote = sent.value
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in a])[:-1]]).astype(int)
-        s = prior + np.add.reduceat(by_vote[np.concatenate(list(a)), np.concatenate(list(j))], starts)
-        e = np.exp(s - s.max(1, keepdims=True))
-        return pd.Series(list(e / e.sum(1, keepdims=True)))
-
-    return items.withColumn("q", q(F.col("votes.a"), F.col("votes.j")))
+    def row_prior(self) -> float:
+        return self.diagonal + self.other * (len(self.classes) - 1)
 
 
-def fit(votes: DataFrame, prior_share: float = 1.0, prior_diagonal: float = 2.0, prior_other: float = 0.5, tol: float = 1e-4, max_rounds: int = 40) -> tuple[Model, DataFrame]:
-    """Fit the confusion model to ``votes`` (view_idx, annotator_id, label_id); gives the model and view_idx, votes, q."""
+def _probabilities(votes: DataFrame, model: Model, table: DataFrame) -> DataFrame:
+    """``votes`` (view_idx, annotator_id, j, m) with q0, q1, .., the class probabilities of their item, given the table's expected log
+    parameters, the array l."""
+    n = range(len(model.classes))
+    table = table.select("annotator_id", "j", "l")
+    prior = _digamma(model.share) - _digamma(model.share.sum())
+    # an item's labels are at most one of each annotator
+    summed = votes.join(table, ["annotator_id", "j"]).selectExpr(
+        "view_idx", "annotator_id", "j", "m", *[f"sum(l[{c}]) over (partition by view_idx) + {float(x)!r}d as s{c}" for c, x in enumerate(prior)]
+    )
+    top = "greatest(" + ",".join(f"s{c}" for c in n) + ")" if len(n) > 1 else "s0"
+    e = summed.selectExpr("*", f"{top} as top").selectExpr("view_idx", "annotator_id", "j", "m", *[f"exp(s{c}-top) as e{c}" for c in n])
+    e = e.selectExpr("*", "+".join(f"e{c}" for c in n) + " as norm")
+    return e.selectExpr("view_idx", "annotator_id", "j", "m", *[f"e{c}/norm as q{c}" for c in n])
+
+
+def _counts(now: DataFrame, model: Model) -> DataFrame:
+    """The next table: counts n*, their items' share w*, expected log parameters l and mean parameters p."""
+    n = range(len(model.classes))
+    sums = now.groupBy("annotator_id", "j").agg(*[F.expr(f"sum(q{c}) as n{c}") for c in n], *[F.expr(f"sum(q{c}/m) as w{c}") for c in n])
+    # an annotator has a row per class; b is the prior of the cell
+    full = sums.selectExpr("*", *[f"sum(n{c}) over (partition by annotator_id) + {model.row_prior()!r}d as t{c}" for c in n])
+    cell = lambda c: f"n{c} + if(j = {c}, {model.diagonal!r}d, {model.other!r}d)"
+    full = full.selectExpr("annotator_id", "j", *[f"n{c}" for c in n], *[f"w{c}" for c in n], f"array({','.join(cell(c) for c in n)}) as b", f"array({','.join(f't{c}' for c in n)}) as t")
+    # arrays keep the generated code small; a row is a handful of numbers
+    return full.selectExpr("annotator_id", "j", *[f"n{c}" for c in n], *[f"w{c}" for c in n], f"zip_with(b, t, (x, y) -> {digamma('x')} - {digamma('y')}) as l", "zip_with(b, t, (x, y) -> x / y) as p")
+
+
+def fit(votes: DataFrame, prior_share: float = 1.0, prior_diagonal: float = 2.0, prior_other: float = 0.5, tol: float = 1e-4, max_rounds: int = 400) -> tuple[Model, DataFrame]:
+    """Fit the confusion model to ``votes`` (view_idx, annotator_id, label_id); gives the model and the votes with their item's class
+    probabilities. Classes are columns, so they should number at most some hundreds; annotators and items have no bound."""
     spark = votes.sparkSession
-    annotators = sorted(r[0] for r in votes.select("annotator_id").distinct().collect())  # bounded by MAX_PARAMETERS
-    classes = sorted(r[0] for r in votes.select("label_id").distinct().collect())
-    n_a, n_c = len(annotators), len(classes)
-    if n_a * n_c * n_c > MAX_PARAMETERS:
-        raise ValueError(f"{n_a} annotators and {n_c} classes need more than {MAX_PARAMETERS} parameters")
-    a_code = spark.createDataFrame([(x, i) for i, x in enumerate(annotators)], "annotator_id int, a int")
+    classes = sorted(r[0] for r in votes.select("label_id").distinct().collect())  # the classes
+    n = range(len(classes))
     j_code = spark.createDataFrame([(x, i) for i, x in enumerate(classes)], "label_id int, j int")
-    coded = votes.join(F.broadcast(a_code), "annotator_id").join(F.broadcast(j_code), "label_id")
-    # an item's list holds at most one vote of each annotator, so it is bounded by the annotators
-    items = cut(coded.groupBy("view_idx").agg(F.sort_array(F.collect_list(F.struct("a", "j"))).alias("votes")))
-    model = Model(annotators, classes, np.full(n_c, prior_share), np.zeros((n_a, n_c, n_c)), 0)
-    base = np.full((n_c, n_c), prior_other) + np.eye(n_c) * (prior_diagonal - prior_other)
+    coded = votes.join(F.broadcast(j_code), "label_id").select("view_idx", "annotator_id", "j")
+    item = Window.partitionBy("view_idx")
+    coded = cut(coded.withColumn("m", F.count("*").over(item)))
+    empty = spark.createDataFrame([], "annotator_id int, j int")
+    model = Model(classes, np.full(len(classes), prior_share), empty, prior_diagonal, prior_other, 0)
     # start: each item's class probabilities are its shares of votes
-    start = F.transform(F.sequence(F.lit(0), F.lit(n_c - 1)), lambda c: F.size(F.filter("votes", lambda v: v["j"] == c)) / F.size("votes"))
-    now = items.withColumn("q", start) if n_c else items.withColumn("q", F.array().cast("array<double>"))
-    last = None
-    while n_c and model.rounds < max_rounds:
-        sums = (
-            now.select(F.explode("votes").alias("v"), "q")
-            .groupBy("v.a", "v.j")
-            .agg(*[F.sum(F.col("q")[c]).alias(f"q{c}") for c in range(n_c)])
-            .collect()
-        )  # annotators x classes rows
-        pri = now.agg(*[F.sum(F.col("q")[c]) for c in range(n_c)]).first()
-        counts = np.zeros((n_a, n_c, n_c))
-        for r in sums:
-            counts[r[0], :, r[1]] = r[2:]
-        model.share = prior_share + np.array(pri, dtype=float)
-        model.confusion = base[None] + counts
-        model.rounds += 1
-        now = _posterior(items, model)
-        means = model.confusion / model.confusion.sum(2, keepdims=True)
-        if last is not None and np.abs(means - last).max() < tol:
+    now = coded.select("*", *[(F.sum((F.col("j") == c).cast("double")).over(item) / F.col("m")).alias(f"q{c}") for c in n])
+    table = model.table
+    while classes:
+        for _ in range(STEPS):
+            table = _counts(now, model)
+            now = _probabilities(coded, model, table)
+        if model.rounds:
+            before = model.table.selectExpr("annotator_id", "j", "p as o")
+            gap = "array_max(zip_with(p, o, (x, y) -> abs(x - y))) as moved"
+            table = table.join(before, ["annotator_id", "j"], "left").selectExpr("annotator_id", "j", *[f"{x}{c}" for x in "nw" for c in n], "l", "p", gap)
+        else:
+            table = table.withColumn("moved", F.lit(1.0))
+        table = cut(table)
+        got = table.agg(F.max("moved"), *[F.sum(f"w{c}") for c in n]).first()  # one number a class
+        drop(model.table)
+        model.table, model.share, model.rounds = table, prior_share + np.array(got[1:], dtype=float), model.rounds + STEPS
+        now = _probabilities(coded, model, table)
+        if got[0] < tol or model.rounds >= max_rounds:
             break
-        last = means
     return model, now
 
 
 def consensus(now: DataFrame, model: Model) -> DataFrame:
     """Per view: label_id, its probability, votes, and the share of votes that agree with it."""
-    best = F.array_position("q", F.array_max("q")) - 1
-    classes = F.array(*[F.lit(int(c)) for c in model.classes]) if model.classes else F.array().cast("array<int>")
-    return now.withColumn("c", best.cast("int")).select(
-        "view_idx",
-        F.get(classes, F.col("c")).alias("label_id"),
-        F.array_max("q").alias("probability"),
-        F.size("votes").alias("n_votes"),
-        (F.size(F.filter("votes", lambda v: v["j"] == F.col("c"))) / F.size("votes")).alias("agreement"),
-    )
+    n = range(len(model.classes))
+    q = F.array(*[F.col(f"q{c}") for c in n]) if len(n) else F.array().cast("array<double>")
+    classes = F.array(*[F.lit(int(c)) for c in model.classes]) if len(n) else F.array().cast("array<int>")
+    best = now.select("view_idx", "j", "m", F.array_max(q).alias("p"), (F.array_position(q, F.array_max(q)) - 1).cast("int").alias("c"))
+    one = best.groupBy("view_idx", "c").agg(F.max("p").alias("probability"), F.count("*").alias("n_votes"), F.avg((F.col("j") == F.col("c")).cast("double")).alias("agreement"))
+    return one.select("view_idx", F.get(classes, F.col("c")).alias("label_id"), "probability", F.col("n_votes").cast("int").alias("n_votes"), "agreement")
 
 
-def reliability(spark: SparkSession, model: Model, level: float = 0.9) -> DataFrame:
-    """Per annotator: posterior mean reliability (accuracy over the class shares) with an interval of the given level.
+def reliability(model: Model, level: float = 0.9, draws: int = 4000) -> DataFrame:
+    """Per annotator: posterior mean reliability (accuracy over the class shares) with an equal-tailed interval of the posterior.
 
-    The accuracy is a weighted sum of independent Beta means; the interval takes its posterior variance as normal.
+    The accuracy is a weighted sum of independent Beta variables, one a class; its quantiles are those of ``draws`` draws, seeded by the
+    annotator, so they are the same in every run.
     """
-    z = {0.8: 1.2816, 0.9: 1.6449, 0.95: 1.96, 0.99: 2.5758}[level]
-    if not model.annotators or not model.classes:
-        return spark.createDataFrame([], "annotator_id int, reliability double, low double, high double, n_labels double")
-    w = model.share / model.share.sum()
-    total = model.confusion.sum(2)
-    mean = np.einsum("acc->ac", model.confusion) / total
-    var = mean * (1 - mean) / (total + 1)
-    rel, sd = mean @ w, np.sqrt(var @ (w * w))
-    seen = (model.confusion.sum((1, 2)) - model.confusion.shape[1] * 0.5 * (model.confusion.shape[1] + 3)).clip(0)
-    rows = [(a, float(m), max(0.0, float(m - z * s)), min(1.0, float(m + z * s)), float(n)) for a, m, s, n in zip(model.annotators, rel, sd, seen)]
-    return spark.createDataFrame(rows, "annotator_id int, reliability double, low double, high double, n_labels double")
+    n = range(len(model.classes))
+    if not len(n):
+        return model.table.sparkSession.createDataFrame([], "annotator_id int, reliability double, low double, high double, n_labels double")
+    weight = model.share / model.share.sum()
+    hit = [F.sum(F.when(F.col("j") == c, F.col(f"n{c}")).otherwise(0.0)) for c in n]
+    per = model.table.groupBy("annotator_id").agg(F.array(*hit).alias("hit"), F.array(*[F.sum(f"n{c}") for c in n]).alias("all"))
+    diagonal, row = model.diagonal, model.row_prior()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for who, h, t in zip(b["annotator_id"], b["hit"], b["all"]):
+                a, total = np.asarray(h, dtype=float) + diagonal, np.asarray(t, dtype=float) + row
+                rest = np.maximum(total - a, 1e-9)
+                sample = np.random.default_rng(abs(int(who))).beta(a, rest, size=(draws, len(a))) @ weight
+                low, high = np.quantile(sample, [(1 - level) / 2, (1 + level) / 2])
+                rows.append((who, float(a / (a + rest) @ weight), float(low), float(high), float(np.asarray(t, dtype=float).sum())))
+            yield pd.DataFrame(rows, columns=["annotator_id", "reliability", "low", "high", "n_labels"])
+
+    return per.mapInPandas(run, "annotator_id int, reliability double, low double, high double, n_labels double")
 
 
 def krippendorff(votes: DataFrame) -> DataFrame:

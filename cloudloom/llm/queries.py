@@ -29,7 +29,7 @@ def p5_consensus(spark, d):
 
 
 def p5_reliability(spark, d):
-    return C.reliability(spark, _fitted(spark, d)[0])
+    return C.reliability(_fitted(spark, d)[0])
 
 
 def p5_alpha(spark, d):

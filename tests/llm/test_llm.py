@@ -75,14 +75,23 @@ def test_consensus(spark):
     model, now = consensus.fit(v)
     got = {r.view_idx: r.label_id for r in consensus.consensus(now, model).collect()}
     assert np.mean([got[i] == t for i, t in enumerate(truth)]) > 0.95
-    rel = {r.annotator_id: r for r in consensus.reliability(spark, model).collect()}
+    rel = {r.annotator_id: r for r in consensus.reliability(model).collect()}
     assert rel[0].reliability > 0.85 > 0.5 > rel[3].reliability and rel[3].low <= rel[3].reliability <= rel[3].high
+    assert rel[3].high - rel[3].low > rel[0].high - rel[0].low > 0 and rel[0].n_labels == pytest.approx(200, abs=1e-6)
     model, now = consensus.fit(v.limit(0))
     assert consensus.consensus(now, model).count() == 0
     one = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 2), (2, 2, 2), (3, 1, 1)], "view_idx int, annotator_id int, label_id int")
     assert consensus.krippendorff(one).first().alpha == pytest.approx(1.0)
 
 
+def test_consensus_of_very_many_annotators(spark):
+    """60,000 annotators of 9 classes are more than four million parameters."""
+    v = spark.range(120_000).selectExpr("cast(id div 4 as int) view_idx", "cast(id % 60000 as int) annotator_id", "cast(case when id % 7 = 0 then (id div 4 + 1) % 9 else (id div 4) % 9 end as int) label_id")
+    model, now = consensus.fit(v, max_rounds=3)
+    got = consensus.consensus(now, model).where("label_id = view_idx % 9").count()
+    assert got > 29_000 and model.table.select("annotator_id").distinct().count() == 60_000
+
+
 def test_labels_of_many_tools(spark):
     views = spark.createDataFrame([(7, "sc", "Img01.JPG", "data/sc/language_features/Img01_s.npy")], "view_idx int, scene string, name string, mask_path string")
     ids = spark.createDataFrame([(1, "facade"), (2, "roof"), (255, "unknown")], "id int, label string")
