@@ -1,10 +1,14 @@
 """Clusters of mutually similar records by bisecting k-means (problem 2).
 
-Nodes that aren't compact are split in two by 2-means, the largest by dispersion as soon as any other: as the limit has to hold
-for every leaf, all open nodes of a round are split in the same pass. While nodes are large, a round is a set of group-bys over
-all rows with one row per node as result; a node of at most ``local_rows`` rows finishes in one task. A leaf is compact when no
-member lies farther than the limit from the leaf's anchor member. A split may cut a cluster, so leaves are put together again
-where their anchors lie within the limit (a grid join of anchors, then smallest labels along the links).
+Every node that isn't compact is split in two by 2-means, from the same start points by the same steps whether the node's rows are
+spread over the cluster or stand in one task: coordinates are taken as whole multiples of a grid step, so sums are exact and do not
+depend on their order, and the leaves are the same for every ``local_rows``. Large nodes are split in rounds of group-bys over all
+rows with one row per node as result, small ones in a task each. As the limit has to hold for every leaf, every node that isn't
+compact is split in the end; the order, such as the largest dispersion first, changes no leaf, so all open nodes are split in one round.
+
+A leaf is compact when no member lies farther than the limit from its anchor, the member of the lowest id. A split may cut a cluster,
+so leaves whose anchors lie within the limit are put together again (a grid join of anchors, then components); a component stays whole
+only if all its anchors lie within the limit of each other, else its leaves stay apart.
 
 Defined results: vectors that are null, short, non-finite or all zero take no part; repeated rows of a key are one record; equal
 vectors are in one cluster; ties of typical members go to the lower id; without usable vectors there are no rows.
@@ -17,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import cut, drop, salted_join
+from ..operators.spatial import components
+from ..util import cut, drop, hot_keys, salted_join
 
-#: A node of at most so many rows is finished in one task (six doubles and a key a row: about 10 MB).
-LOCAL_ROWS = 100_000
+#: A node of at most so many rows is finished in one task; the leaves do not depend on it.
+LOCAL_ROWS = 20_000
 #: 2-means steps of a split.
 STEPS = 3
 #: Side of a cell of the anchors' grid, in limits.
 CELL = 8.0
+#: Steps of the coordinates' grid in a limit.
+GRID = 1 << 16
 
 
 def usable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
@@ -39,90 +46,89 @@ def _sq(dims: int, a: str, b: str):
     return sum((F.col(f"{a}{j}").cast("double") - F.col(f"{b}{j}").cast("double")) ** 2 for j in range(dims))
 
 
-def split_round(rows: DataFrame, dims: int, limit: float, local_rows: int) -> tuple[DataFrame, bool]:
-    """One round over rows (id, node, open, f*): every open node is measured and, if too large and not compact, split in two.
+def split_round(rows: DataFrame, dims: int, reach: float, local_rows: int) -> tuple[DataFrame, bool]:
+    """One round over rows (id, node, open, x*; whole coordinates): every open node is measured and, if it isn't compact, split in two.
 
-    ``open`` is 2 for a node to be measured, 1 for a node left to one task, 0 for a leaf. Gives the rows with new nodes, and
-    whether any is still to be measured. Per node only sums, squares and extremes are kept, so a pass is one hash aggregation with
-    one row per node as result; the 2-means start one deviation beside the mean on the widest axis. A node's number is a hash of
-    its path; should two collide, they are measured as one node and split again.
+    ``open`` is 2 for a node to be measured, 1 for a node left to one task, 0 for a leaf. Gives the rows with new nodes, and whether
+    any is still to be measured. A node's number is a hash of its path; should two collide, they are measured as one node and split again.
     """
     todo = rows.where("open = 2")
-    f = [f"f{j}" for j in range(dims)]
-    x = {c: F.col(c).cast("double") for c in f}
-    stats = todo.groupBy("node").agg(
-        F.count("*").alias("n"),
-        *[F.avg(x[c]).alias(f"m{j}") for j, c in enumerate(f)],
-        *[F.stddev_pop(x[c]).alias(f"s{j}") for j, c in enumerate(f)],
-        *[(F.max(x[c]) - F.min(x[c])).alias(f"w{j}") for j, c in enumerate(f)],
-    )
-    diagonal = F.sqrt(sum(F.col(f"w{j}") ** 2 for j in range(dims)))
-    widest = F.greatest(*[F.col(f"s{j}") for j in range(dims)])
-    step = [F.when(F.col(f"s{j}") == widest, widest).otherwise(0.0) for j in range(dims)]
-    state = F.when(diagonal <= limit, 0).when(F.col("n") <= local_rows, 1).otherwise(2)
-    centres = cut(
-        stats.select(
-            "node",
-            state.alias("state"),
-            *[(F.col(f"m{j}") - step[j]).alias(f"b{j}") for j in range(dims)],
-            *[(F.col(f"m{j}") + step[j]).alias(f"c{j}") for j in range(dims)],
-        )
-    )
-    side = (_sq(dims, "f", "c") < _sq(dims, "f", "b")).cast("int")
-    again = not centres.where("state = 2").isEmpty()
+    x = [f"x{j}" for j in range(dims)]
+    key = F.struct("id", *x)
+    # the anchor is the member of the lowest id
+    first = cut(todo.groupBy("node").agg(F.count("*").alias("n"), F.min(key).alias("a")).select("node", "n", *[F.col(f"a.x{j}").alias(f"a{j}") for j in range(dims)]))
+    hot = hot_keys(todo, "node")
+    # the member farthest from the anchor, then the one farthest from that; ties to the lower id
+    far = salted_join(todo, first, ["node"], hot=hot).groupBy("node").agg(F.max(F.struct(_sq(dims, "x", "a").alias("d"), (-F.col("id")).alias("i"), *x)).alias("m"))
+    b = cut(far.join(first, "node").select("node", F.when(F.sqrt("m.d") <= reach, 0).when(F.col("n") <= local_rows, 1).otherwise(2).alias("state"), *[F.col(f"m.x{j}").cast("double").alias(f"b{j}") for j in range(dims)]))
+    drop(first)
+    again = not b.where("state = 2").isEmpty()
+    centres = b.select("*", *[F.col(f"b{j}").alias(f"c{j}") for j in range(dims)])
+    if again:
+        wide = b.where("state = 2").drop("state")
+        other = salted_join(todo, wide, ["node"], hot=hot).groupBy("node").agg(F.max(F.struct(_sq(dims, "x", "b").alias("d"), (-F.col("id")).alias("i"), *x)).alias("m"))
+        centres = cut(b.join(other, "node", "left").select("node", "state", *[f"b{j}" for j in range(dims)], *[F.coalesce(F.col(f"m.x{j}").cast("double"), F.col(f"b{j}")).alias(f"c{j}") for j in range(dims)]))
+    side = (_sq(dims, "x", "c") < _sq(dims, "x", "b")).cast("int")
     for _ in range(STEPS - 1 if again else 0):
-        wide = centres.where("state = 2").drop("state")
-        sums = salted_join(todo, wide, ["node"]).withColumn("side", side).groupBy("node").agg(
-            *[F.avg(F.when(F.col("side") == s, x[c])).alias(f"n{'bc'[s]}{j}") for s in (0, 1) for j, c in enumerate(f)]
+        # whole sums over whole counts are the same in any order
+        sums = salted_join(todo, centres.where("state = 2").drop("state"), ["node"], hot=hot).withColumn("side", side).groupBy("node").agg(
+            *[F.sum(F.when(F.col("side") == s, F.col(c))).alias(f"{'bc'[s]}s{j}") for s in (0, 1) for j, c in enumerate(x)],
+            *[F.count(F.when(F.col("side") == s, 1)).alias(f"{'bc'[s]}n") for s in (0, 1)],
         )
-        better = [F.coalesce(f"n{c}{j}", f"{c}{j}").alias(f"{c}{j}") for c in "bc" for j in range(dims)]
+        better = [F.when(F.col(f"{c}n") > 0, F.col(f"{c}s{j}") / F.col(f"{c}n")).otherwise(F.col(f"{c}{j}")).alias(f"{c}{j}") for c in "bc" for j in range(dims)]
         centres, old = cut(centres.join(sums, "node", "left").select("node", "state", *better)), centres
         drop(old)
-    moved = salted_join(todo, centres, ["node"])
+    moved = salted_join(todo, centres, ["node"], hot=hot)
     child = F.when(F.col("state") < 2, F.col("node")).otherwise(F.xxhash64("node", side))
-    out = cut(rows.where("open < 2").select("id", "node", "open", *f).unionByName(moved.select("id", child.alias("node"), F.col("state").alias("open"), *f)))
-    drop(centres)
+    out = cut(rows.where("open < 2").select("id", "node", "open", *x).unionByName(moved.select("id", child.alias("node"), F.col("state").alias("open"), *x)))
+    drop(centres, b)
     return out, again
 
 
-def _bisect(x: np.ndarray, limit: float) -> np.ndarray:
-    """Leaf numbers of the rows of ``x``: 2-means splits of all open nodes at a time until every leaf is compact."""
-    n = len(x)
-    leaf = np.zeros(n, dtype=np.int64)
-    rows = np.arange(n)
-    node = np.zeros(n, dtype=np.int64)
-    made = 0
+def _distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances, summed over the axes in their order as the SQL does."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out = out + (x[:, j] - c[:, j]) ** 2
+    return out
+
+
+def _bisect(ids: np.ndarray, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their leaf (its lowest id), by the splits of ``split_round`` on all open nodes at a time."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    leaf = np.zeros(len(ids), dtype=np.int64)
+    rows, node = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64)
     while len(rows):
-        order = np.argsort(node, kind="stable")
+        order = np.argsort(node, kind="stable")  # rows stay in the order of their ids within a node
         rows, node = rows[order], node[order]
         start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         size = np.diff(np.r_[start, len(rows)])
         which = np.repeat(np.arange(len(start)), size)
         p = x[rows]
-        reach = np.sqrt(((p - p[start][which]) ** 2).sum(1))
-        far = np.maximum.reduceat(reach, start)
-        compact = far <= limit
-        leaf[rows] = np.where(compact[which], made + which, leaf[rows])
-        made += len(start)
+
+        def farthest(c: np.ndarray, p=p, start=start, which=which) -> tuple[np.ndarray, np.ndarray]:
+            d = _distance(p, c[which])
+            top = np.maximum.reduceat(d, start)
+            at = np.flatnonzero(d == top[which])
+            return p[at[np.unique(which[at], return_index=True)[1]]], top
+
+        b, top = farthest(p[start])
+        compact = np.sqrt(top) <= reach
+        leaf[rows] = np.where(compact[which], ids[rows[start]][which], leaf[rows])
         go = ~compact[which]
         if not go.any():
             break
         rows, p, which = rows[go], p[go], which[go]
+        b = b[~compact]
         _, which = np.unique(which, return_inverse=True)
         start = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
         size = np.diff(np.r_[start, len(rows)])
-
-        def farthest(c: np.ndarray, p=p, start=start, which=which) -> np.ndarray:
-            d = ((p - c[which]) ** 2).sum(1)
-            top = np.maximum.reduceat(d, start)
-            at = np.flatnonzero(d == top[which])
-            return p[at[np.unique(which[at], return_index=True)[1]]]
-
-        b = farthest(p[start])
-        c = farthest(b)
+        c = farthest(b, p, start, which)[0]
         for step in range(STEPS):
-            side = ((p - c[which]) ** 2).sum(1) < ((p - b[which]) ** 2).sum(1)
+            side = _distance(p, c[which]) < _distance(p, b[which])
             if step + 1 < STEPS:
+                # whole numbers below 2^53 add up exactly
                 n_c = np.add.reduceat(side.astype(float), start)[:, None]
                 s_c = np.add.reduceat(p * side[:, None], start, axis=0)
                 s_all = np.add.reduceat(p, start, axis=0)
@@ -130,31 +136,29 @@ def _bisect(x: np.ndarray, limit: float) -> np.ndarray:
                 b = np.where(n_b > 0, (s_all - s_c) / np.maximum(n_b, 1), b)
                 c = np.where(n_c > 0, s_c / np.maximum(n_c, 1), c)
         node = which * 2 + side
-    _, leaf = np.unique(leaf, return_inverse=True)
-    return leaf
+    return ids, leaf
 
 
 def leaves(rows: DataFrame, dims: int, limit: float, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Leaf of each row: id, f*, leaf BIGINT (the leaf's lowest id)."""
-    f = [f"f{j}" for j in range(dims)]
-    kinds = dict(rows.dtypes)
-    rows, more = cut(rows.select("id", F.lit(1).cast("bigint").alias("node"), F.lit(2).alias("open"), *f)), True
+    """Leaf of each row: id, leaf BIGINT (the leaf's lowest id). The limit is shortened by the diagonal of a grid step, so that no
+    rounding lets a member lie farther than the limit from its anchor."""
+    step = limit / GRID
+    x = [f"x{j}" for j in range(dims)]
+    whole = [F.rint(F.col(f"f{j}").cast("double") / step).cast("bigint").alias(x[j]) for j in range(dims)]
+    reach = limit / step - np.sqrt(dims)
+    state, more = cut(rows.select("id", F.lit(1).cast("bigint").alias("node"), F.lit(2).alias("open"), *whole)), True
     while more:
-        (rows, more), old = split_round(rows, dims, limit, local_rows), rows
+        (state, more), old = split_round(state, dims, reach, local_rows), state
         drop(old)
 
     def finish(key, table):
-        x = np.column_stack([table.column(c).to_numpy().astype(float) for c in f])
-        ids, number = table.column("id").to_numpy(), _bisect(x, limit)
-        lowest = np.full(number.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(lowest, number, ids)
-        return pa.table({"id": ids, "leaf": lowest[number], **{c: table.column(c) for c in f}})
+        ids, leaf = _bisect(table.column("id").to_numpy(), np.column_stack([table.column(c).to_numpy().astype(float) for c in x]), reach)
+        return pa.table({"id": ids, "leaf": leaf})
 
-    schema = "id bigint, leaf bigint, " + ", ".join(f"{c} {kinds[c]}" for c in f)
-    small = rows.where("open = 1").select("node", "id", *f).groupBy("node").applyInArrow(finish, schema)
-    whole = rows.where("open = 0")
-    name = whole.groupBy("node").agg(F.min("id").alias("leaf"))
-    return salted_join(whole, name, ["node"]).select("id", "leaf", *f).unionByName(small)
+    small = state.where("open = 1").select("node", "id", *x).groupBy("node").applyInArrow(finish, "id bigint, leaf bigint")
+    done = state.where("open = 0").select("id", "node")
+    name = done.groupBy("node").agg(F.min("id").alias("leaf"))
+    return salted_join(done, name, ["node"], hot=hot_keys(state, "node")).select("id", "leaf").unionByName(small)
 
 
 def join_leaves(anchors: DataFrame, dims: int, limit: float) -> DataFrame:
@@ -174,25 +178,25 @@ def join_leaves(anchors: DataFrame, dims: int, limit: float) -> DataFrame:
     label = anchors.select("leaf", F.col("leaf").alias("cluster"))
     if links.isEmpty():
         return label
-    linked = cut(links.select("leaf").distinct().withColumn("cluster", F.col("leaf")).withColumn("moved", F.lit(True)))
-    while True:
-        # clusters are cliques by the limit, so this ends after one round; chains of other data take more
-        low = links.join(linked.select(F.col("leaf").alias("other"), "cluster"), "other").groupBy("leaf").agg(F.min("cluster").alias("low"))
-        new, old = cut(linked.join(low, "leaf", "left").select("leaf", F.least("cluster", "low").alias("cluster"), (F.col("low") < F.col("cluster")).alias("moved"))), linked
-        drop(old)
-        linked = new
-        if new.where("moved").isEmpty():
-            break
-    return label.join(linked.select("leaf", F.col("cluster").alias("low")), "leaf", "left").select("leaf", F.coalesce("low", "cluster").alias("cluster"))
+    linked = cut(components(links.select(F.col("leaf").alias("node")).distinct(), links.where("leaf < other").select(F.col("leaf").alias("a"), F.col("other").alias("b"))))
+    # all anchors of a component lie within the limit of each other if each has links to all others
+    size = linked.groupBy("component").agg(F.count("*").alias("n"))
+    count = links.join(linked.select(F.col("node").alias("leaf"), "component"), "leaf").groupBy("component").agg(F.count("*").alias("m"))
+    whole = size.join(count, "component").where(F.col("m") == F.col("n") * (F.col("n") - 1)).select("component")
+    good = linked.join(whole, "component").select(F.col("node").alias("leaf"), F.col("component").alias("low"))
+    return label.join(good, "leaf", "left").select("leaf", F.coalesce("low", "cluster").alias("cluster"))
 
 
 def cluster(df: DataFrame, key: str, vector: str, dims: int, limit: float, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Members: id, f*, cluster BIGINT (its lowest id)."""
     f = [f"f{j}" for j in range(dims)]
-    members = cut(leaves(usable(df, key, vector, dims), dims, limit, local_rows))
-    anchors = cut(members.where(F.col("id") == F.col("leaf")).select("leaf", *f))
+    rows = cut(usable(df, key, vector, dims))
+    leaf = cut(leaves(rows, dims, limit, local_rows))
+    anchors = cut(rows.join(leaf.where("id = leaf"), "id").select("leaf", *f))
     merged = cut(join_leaves(anchors, dims, limit))
-    return salted_join(members, merged, ["leaf"]).select("id", "cluster", *f)
+    moved = merged.where("cluster <> leaf")
+    named = salted_join(leaf, moved, ["leaf"], "left", hot=hot_keys(leaf, "leaf")).select("id", F.coalesce("cluster", "leaf").alias("cluster"))
+    return rows.join(named, "id").select("id", "cluster", *f)
 
 
 def chain(members: DataFrame, group: str = "cluster", key: str = "id", width: int = 1 << 16) -> DataFrame:
@@ -213,15 +217,10 @@ def describe(members: DataFrame, dims: int, typical: int = 5) -> DataFrame:
     centre = members.groupBy("cluster").agg(F.count("*").alias("size"), *[F.avg(x).alias(f"m{j}") for j, x in enumerate(f)])
     d = salted_join(members, centre, ["cluster"]).withColumn("d2", _sq(dims, "f", "m"))
     # the nearest of each shard first, so that no group meets in one task whole
-    shard = d.groupBy("cluster", F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).agg(
-        F.first("size").alias("size"),
-        F.sum("d2").alias("d2"),
-        F.max("d2").alias("far"),
-        F.slice(F.sort_array(F.collect_list(F.struct("d2", "id"))), 1, typical).alias("near"),
-    )
-    return shard.groupBy("cluster").agg(
-        F.first("size").alias("size"),
-        (F.sum("d2") / F.first("size")).alias("dispersion"),
-        F.sqrt(F.max("far")).alias("radius"),
-        F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, typical)["id"].alias("typical_ids"),
-    ).withColumnRenamed("cluster", "first_id")
+    d = d.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(64)))
+    order = ["d2", "id"]
+    near = d.select("cluster", "shard", *order).withColumn("r", F.row_number().over(Window.partitionBy("cluster", "shard").orderBy(*order))).where(F.col("r") <= typical)
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(*order))).where(F.col("r") <= typical)
+    lists = near.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("r", "id")))["id"].alias("typical_ids"))  # at most ``typical``
+    stats = d.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("d2").alias("dispersion"), F.sqrt(F.max("d2")).alias("radius"))
+    return stats.join(lists, "cluster").withColumnRenamed("cluster", "first_id")

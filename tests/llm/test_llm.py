@@ -55,6 +55,9 @@ def test_clusters_by_rounds_and_in_tasks(spark):
     df = _cloud(spark, x, [(9000, None), (9001, [0.0] * 6), (9002, [1.0]), (0, [float(v) for v in x[0]])])
     link = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.12
     want = {i: int(np.flatnonzero(link[i]).min()) for i in range(len(x))}
+    kept = clusters.usable(df, "id", "v", 6)
+    same = [rows(clusters.leaves(kept, 6, 0.12, local).select("id", "leaf")) for local in (60, 1000, 100_000)]
+    assert same[0] == same[1] == same[2] and len(same[0]) == len(x)
     for local in (100_000, 60):
         members = clusters.cluster(df, "id", "v", 6, 0.12, local)
         assert {r.id: r.cluster for r in members.select("id", "cluster").collect()} == want
@@ -64,6 +67,15 @@ def test_clusters_by_rounds_and_in_tasks(spark):
     assert clusters.cluster(df.limit(0), "id", "v", 6, 0.12).count() == 0
 
 
+def test_a_chain_of_leaves_is_no_cluster(spark):
+    """Points 0.1 apart in a row: neighbours lie within the limit, the ends don't, so the limit holds for anchors of one cluster."""
+    df = _cloud(spark, [[1.0 + 0.1 * k, 1, 1, 1, 1, 1] for k in range(9)])
+    got = {}
+    for r in clusters.cluster(df, "id", "v", 6, 0.12).collect():
+        got.setdefault(r.cluster, []).append(r.f0)
+    assert all(max(v) - min(v) <= 0.24 + 1e-6 for v in got.values()) and sum(map(len, got.values())) == 9
+
+
 def test_consensus(spark):
     rng = np.random.default_rng(5)
     truth = rng.integers(0, 3, 200)
