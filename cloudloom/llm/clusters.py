@@ -1,6 +1,6 @@
 """Clusters of mutually similar records by bisecting k-means (problem 2).
 
-Every node that isn't compact is split in two by 2-means, from the same start points by the same steps whether the node's rows are
+Every node that isn't compact is split in two by 2-means, from the same start points (a quarter of the range beside the mean on the widest axis) by the same steps whether the node's rows are
 spread over the cluster or stand in one task: coordinates are taken as whole multiples of a grid step, so sums are exact and do not
 depend on their order, and the leaves are the same for every ``local_rows``. Large nodes are split in rounds of group-bys over all
 rows with one row per node as result, small ones in a task each. As the limit has to hold for every leaf, every node that isn't
@@ -25,7 +25,7 @@ from ..operators.spatial import components
 from ..util import cut, drop, hot_keys, salted_join
 
 #: A node of at most so many rows is finished in one task; the leaves do not depend on it.
-LOCAL_ROWS = 20_000
+LOCAL_ROWS = 50_000
 #: 2-means steps of a split.
 STEPS = 3
 #: Side of a cell of the anchors' grid, in limits.
@@ -50,24 +50,39 @@ def split_round(rows: DataFrame, dims: int, reach: float, local_rows: int) -> tu
     """One round over rows (id, node, open, x*; whole coordinates): every open node is measured and, if it isn't compact, split in two.
 
     ``open`` is 2 for a node to be measured, 1 for a node left to one task, 0 for a leaf. Gives the rows with new nodes, and whether
-    any is still to be measured. A node's number is a hash of its path; should two collide, they are measured as one node and split again.
+    any is still to be measured. The 2-means start a quarter of the range beside the mean on the widest axis. A pass is a hash
+    aggregation of whole sums and extremes with one row per node as result. A node's number is a hash of its path; should two collide,
+    they are measured as one node and split again.
     """
     todo = rows.where("open = 2")
     x = [f"x{j}" for j in range(dims)]
-    key = F.struct("id", *x)
-    # the anchor is the member of the lowest id
-    first = cut(todo.groupBy("node").agg(F.count("*").alias("n"), F.min(key).alias("a")).select("node", "n", *[F.col(f"a.x{j}").alias(f"a{j}") for j in range(dims)]))
-    hot = hot_keys(todo, "node")
-    # the member farthest from the anchor, then the one farthest from that; ties to the lower id
-    far = salted_join(todo, first, ["node"], hot=hot).groupBy("node").agg(F.max(F.struct(_sq(dims, "x", "a").alias("d"), (-F.col("id")).alias("i"), *x)).alias("m"))
-    b = cut(far.join(first, "node").select("node", F.when(F.sqrt("m.d") <= reach, 0).when(F.col("n") <= local_rows, 1).otherwise(2).alias("state"), *[F.col(f"m.x{j}").cast("double").alias(f"b{j}") for j in range(dims)]))
-    drop(first)
-    again = not b.where("state = 2").isEmpty()
-    centres = b.select("*", *[F.col(f"b{j}").alias(f"c{j}") for j in range(dims)])
-    if again:
-        wide = b.where("state = 2").drop("state")
-        other = salted_join(todo, wide, ["node"], hot=hot).groupBy("node").agg(F.max(F.struct(_sq(dims, "x", "b").alias("d"), (-F.col("id")).alias("i"), *x)).alias("m"))
-        centres = cut(b.join(other, "node", "left").select("node", "state", *[f"b{j}" for j in range(dims)], *[F.coalesce(F.col(f"m.x{j}").cast("double"), F.col(f"b{j}")).alias(f"c{j}") for j in range(dims)]))
+    stats = todo.groupBy("node").agg(F.count("*").alias("n"), *[g(c).alias(f"{k}{j}") for j, c in enumerate(x) for k, g in (("s", F.sum), ("l", F.min), ("h", F.max))])
+    width = [F.col(f"h{j}") - F.col(f"l{j}") for j in range(dims)]
+    widest = F.greatest(*width) if dims > 1 else width[0]
+    axis = F.array_position(F.array(*width), widest) - 1
+    quarter = [F.when(axis == j, widest / 4.0).otherwise(0.0) for j in range(dims)]
+    mean = [F.col(f"s{j}") / F.col("n") for j in range(dims)]
+    diagonal = F.sqrt(sum((w.cast("double") ** 2 for w in width), F.lit(0.0)))
+    # within this box a node may be compact or not; a larger box can't hold a compact node, a smaller one no other
+    near = F.when(diagonal <= reach, 0).when(diagonal > 2 * reach * float(np.sqrt(dims)), 2).otherwise(1)
+    centres = cut(stats.select("node", "n", near.alias("near"), *[(m - q).alias(f"b{j}") for j, (m, q) in enumerate(zip(mean, quarter))], *[(m + q).alias(f"c{j}") for j, (m, q) in enumerate(zip(mean, quarter))]))
+    # nodes with a hundredth of the rows or more, at most a hundred
+    total = centres.agg(F.sum("n")).first()[0] or 0
+    hot = [r["node"] for r in centres.where(F.col("n") > total * 0.01).select("node").collect()]
+    doubtful = centres.where((F.col("near") == 1) & (F.col("n") > local_rows))
+    small = F.lit(False)
+    if not doubtful.isEmpty():
+        # the anchor is the member of the lowest id
+        mine = todo.join(doubtful.select("node"), "node")
+        anchor = mine.groupBy("node").agg(F.min(F.struct("id", *x)).alias("a")).select("node", *[F.col(f"a.x{j}").alias(f"a{j}") for j in range(dims)])
+        far = salted_join(mine, anchor, ["node"], hot=hot).groupBy("node").agg((F.sqrt(F.max(_sq(dims, "x", "a"))) <= reach).alias("tight"))
+        centres, old = cut(centres.join(far, "node", "left")), centres
+        drop(old)
+        small = F.coalesce("tight", F.lit(False))
+    state = F.when((F.col("near") == 0) | small, 0).when(F.col("n") <= local_rows, 1).otherwise(2)
+    centres, old = cut(centres.select("node", state.alias("state"), *[f"{c}{j}" for c in "bc" for j in range(dims)])), centres
+    drop(old)
+    again = not centres.where("state = 2").isEmpty()
     side = (_sq(dims, "x", "c") < _sq(dims, "x", "b")).cast("int")
     for _ in range(STEPS - 1 if again else 0):
         # whole sums over whole counts are the same in any order
@@ -81,7 +96,7 @@ def split_round(rows: DataFrame, dims: int, reach: float, local_rows: int) -> tu
     moved = salted_join(todo, centres, ["node"], hot=hot)
     child = F.when(F.col("state") < 2, F.col("node")).otherwise(F.xxhash64("node", side))
     out = cut(rows.where("open < 2").select("id", "node", "open", *x).unionByName(moved.select("id", child.alias("node"), F.col("state").alias("open"), *x)))
-    drop(centres, b)
+    drop(centres)
     return out, again
 
 
@@ -107,24 +122,22 @@ def _bisect(ids: np.ndarray, x: np.ndarray, reach: float) -> tuple[np.ndarray, n
         which = np.repeat(np.arange(len(start)), size)
         p = x[rows]
 
-        def farthest(c: np.ndarray, p=p, start=start, which=which) -> tuple[np.ndarray, np.ndarray]:
-            d = _distance(p, c[which])
-            top = np.maximum.reduceat(d, start)
-            at = np.flatnonzero(d == top[which])
-            return p[at[np.unique(which[at], return_index=True)[1]]], top
-
-        b, top = farthest(p[start])
+        top = np.maximum.reduceat(_distance(p, p[start][which]), start)
         compact = np.sqrt(top) <= reach
         leaf[rows] = np.where(compact[which], ids[rows[start]][which], leaf[rows])
         go = ~compact[which]
         if not go.any():
             break
         rows, p, which = rows[go], p[go], which[go]
-        b = b[~compact]
         _, which = np.unique(which, return_inverse=True)
         start = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
         size = np.diff(np.r_[start, len(rows)])
-        c = farthest(b, p, start, which)[0]
+        low, high = np.minimum.reduceat(p, start, axis=0), np.maximum.reduceat(p, start, axis=0)
+        mean = np.add.reduceat(p, start, axis=0) / size[:, None]
+        axis = (high - low).argmax(axis=1)
+        quarter = np.zeros(mean.shape)
+        quarter[np.arange(len(axis)), axis] = (high - low)[np.arange(len(axis)), axis] / 4.0
+        b, c = mean - quarter, mean + quarter
         for step in range(STEPS):
             side = _distance(p, c[which]) < _distance(p, b[which])
             if step + 1 < STEPS:

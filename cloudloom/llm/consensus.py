@@ -143,7 +143,7 @@ def _counts(now: DataFrame, model: Model) -> DataFrame:
 def fit(votes: DataFrame, prior_share: float = 1.0, prior_diagonal: float = 2.0, prior_other: float = 0.5, tol: float = 1e-4, max_rounds: int = 400) -> tuple[Model, DataFrame]:
     """Fit the confusion model to ``votes`` (view_idx, annotator_id, label_id); gives the model and the votes with their item's class
     probabilities. Classes are columns, so they should number at most some hundreds; annotators and items have no bound."""
-    spark = votes.sparkSession
+    spark, votes = votes.sparkSession, cut(votes)
     classes = sorted(r[0] for r in votes.select("label_id").distinct().collect())  # the classes
     n = range(len(classes))
     j_code = spark.createDataFrame([(x, i) for i, x in enumerate(classes)], "label_id int, j int")
