@@ -1,6 +1,6 @@
 """Sparse models in COLMAP's binary and text layouts. Records have variable length, so a file is one split; many files read in parallel.
 
-Unknown camera models are kept with no parameters; blank and comment lines of text files are passed over, and short lines dropped.
+Binary files with an unknown camera model raise, as does a text camera that isn't PINHOLE where ``strict`` is set; blank and comment lines of text files are passed over, and short lines dropped.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ def _cameras(m):
     (n,), at = struct.unpack_from("<Q", m), 8
     for _ in range(n):
         cid, model, w, h = struct.unpack_from("<iiQQ", m, at)
-        name, k = MODELS.get(model, (f"UNKNOWN_{model}", 0))
+        if model not in MODELS:  # its number of parameters is unknown, so the records behind it can't be read
+            raise ValueError(f"camera {cid}: unknown camera model {model}")
+        name, k = MODELS[model]
         params = list(struct.unpack_from(f"<{k}d", m, at + 24))
         at += 24 + 8 * k
         yield {"camera_id": cid, "model": name, "width": w, "height": h, "params": params}
@@ -88,11 +90,14 @@ def read_points3d(spark: SparkSession, path: str) -> DataFrame:
     return _scan(spark, path, _points3d, schema)
 
 
-def read_cameras_text(spark: SparkSession, path: str) -> DataFrame:
+def read_cameras_text(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     w = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(w.alias("w")).where(F.size("w") >= 5)
+    model = F.col("w")[1]
+    if strict:
+        model = F.when(model == "PINHOLE", model).otherwise(F.raise_error(F.concat(F.lit("camera model "), model)))
     return rows.select(
-        F.col("w")[0].try_cast("int").alias("camera_id"), F.col("w")[1].alias("model"), F.col("w")[2].try_cast("bigint").alias("width"),
+        F.col("w")[0].try_cast("int").alias("camera_id"), model.alias("model"), F.col("w")[2].try_cast("bigint").alias("width"),
         F.col("w")[3].try_cast("bigint").alias("height"), F.transform(F.slice("w", 5, 100), lambda x: x.try_cast("double")).alias("params"),
     )
 
@@ -103,7 +108,7 @@ def read_points3d_text(spark: SparkSession, path: str) -> DataFrame:
     pair = lambda i: F.struct(F.element_at("w", 9 + 2 * i).try_cast("int").alias("image_id"), F.element_at("w", 10 + 2 * i).try_cast("int").alias("point2d_idx"))
     n = F.floor((F.size("w") - 8) / 2).cast("int")
     track = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), pair)).otherwise(F.array().cast("array<struct<image_id:int,point2d_idx:int>>"))
-    return rows.select(F.col("w")[0].try_cast("bigint").alias("point3d_id"), *[F.col("w")[i + 1].try_cast("double").alias(a) for i, a in enumerate("xyz")], F.col("w")[7].try_cast("double").alias("error"), track.alias("track"))
+    return rows.select(F.col("w")[0].try_cast("bigint").alias("point3d_id"), *[F.col("w")[i + 1].try_cast("double").alias(a) for i, a in enumerate("xyz")], *[F.col("w")[i + 4].try_cast("smallint").alias(c) for i, c in enumerate("rgb")], F.col("w")[7].try_cast("double").alias("error"), track.alias("track"))
 
 
 def keep_list(spark: SparkSession, path: str) -> DataFrame:

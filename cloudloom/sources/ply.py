@@ -26,22 +26,38 @@ SPLIT = 1_000_000
 
 
 def read_header(path: str) -> tuple[str, int, list[tuple[str, str]], int]:
-    """Format, vertex count, vertex properties (name, type) and the header's length in bytes. The vertex element must come first."""
+    """Format, vertex count, vertex properties (name, type) and the place of the first vertex: bytes, or lines after the header for ASCII.
+
+    Elements before the vertices are stepped over, which their lists make impossible in binary files; big-endian files are refused.
+    """
     with open(path, "rb") as f:
-        kind, n, props, element = "", 0, [], ""
+        kind, n, props, element, before, skipped = "", 0, [], "", [], 0
         for line in f:
             words = line.decode("ascii", "replace").split()
             if words[:1] == ["format"]:
                 kind = words[1]
+                if kind not in ("ascii", "binary_little_endian"):
+                    raise ValueError(f"{path}: format {kind} can't be read")
             elif words[:1] == ["element"]:
                 element = words[1]
+                if element != "vertex" and not props:
+                    before.append([int(words[2]), 0])
                 n = int(words[2]) if element == "vertex" else n
             elif words[:1] == ["property"] and element == "vertex":
                 if words[1] == "list":
                     raise ValueError(f"{path}: list properties of vertices can't be read")
                 props.append((words[2], ALIAS.get(words[1], words[1])))
+            elif words[:1] == ["property"] and before and not props:
+                if words[1] == "list" and kind != "ascii":
+                    raise ValueError(f"{path}: lists before the vertices can't be stepped over")
+                before[-1][1] += 0 if words[1] == "list" else np.dtype(NUMPY[ALIAS.get(words[1], words[1])]).itemsize
             elif words[:1] == ["end_header"]:
-                return kind, n, props, f.tell()
+                if kind == "ascii":
+                    for _ in range(sum(count for count, _ in before)):
+                        f.readline()
+                else:
+                    skipped = sum(count * size for count, size in before)
+                return kind, n, props, f.tell() + skipped
     raise ValueError(f"{path}: no end of header")
 
 
