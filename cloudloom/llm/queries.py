@@ -92,8 +92,7 @@ def p8_found(spark, d):
 
 
 def p8_units(spark, d):
-    docs = table(spark, d, "documents")
-    return sentences.unit_table(docs, sentences.sentence_units(docs))
+    return sentences.unit_table(table(spark, d, "documents"))
 
 
 QUERIES = {

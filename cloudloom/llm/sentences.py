@@ -180,6 +180,8 @@ def _ends(s: str, kind: str, trie: dict, german: bool) -> list[int]:
             if dots in (".", "·") and not closed:
                 word = WORD_BACK.search(s, max(0, i - 24), i).group().strip(",;:'·")
                 core = word.replace("·", "").replace("'", "")
+                if len(core) <= 3 and s[unit:i].strip() == core and (core.isdigit() or (len(core) == 1 and core.isalpha())):
+                    continue  # the number of a list item opens the unit, at any level
                 if len(core) > 3 and core[:1].isupper() and nxt.isupper() and _misread(core.lower()):
                     continue
                 if _is_abbreviation(core, trie) and not (core.lower() in ("p", "no", "s", "nr", "pág", "núm", "стр") and not (nxt.isdigit() or nxt == "")):
@@ -228,10 +230,8 @@ def _thai_ends(s: str) -> list[int]:
     return ends
 
 
-def unit_ends(text: str | None, boxes=None, lang: str | None = None) -> list[int]:
-    """Places in the text of the last character of each unit, ascending."""
-    if not text or not text.strip():
-        return []
+def _stream_units(text: str, boxes, lang: str | None) -> Iterator[tuple[str, list[int], list[int]]]:
+    """Per stream: its joined text, the place of each of its characters in ``text``, and the ends of its units in the joined text."""
     kind = script(text)
     lang = (lang or "").lower()
     if kind == "cased":
@@ -240,19 +240,61 @@ def unit_ends(text: str | None, boxes=None, lang: str | None = None) -> list[int
         trie = TRIES["ru"] if cyrillic else TRIES["de"] if german else TRIES.get(lang if lang in ("en", "fr", "es") else "", LATIN)
     else:
         german, trie = False, {"arabic": TRIES["ar"], "hindi": TRIES["hi"]}.get(kind, ALL)
-    out: set[int] = set()
     for st in streams(text, boxes):
         s, places = join(text, st, spaced=kind not in ("han", "thai"))
         last = len(s.rstrip()) - 1
         if last < 0:
             continue
+        ends: list[int] = []
         if st.kind != "heading":
             ends = _thai_ends(s) if kind == "thai" else _ends(s, kind, trie, german)
             if kind == "cased":
                 ends += _lost_marks(s)
-            out.update(places[e] for e in ends if e < last)
-        out.add(places[last])
-    return sorted(out)
+        yield s, places, [*(e for e in ends if e < last), last]
+
+
+def unit_ends(text: str | None, boxes=None, lang: str | None = None) -> list[int]:
+    """Places in the text of the last character of each unit, ascending."""
+    if not text or not text.strip():
+        return []
+    return sorted({places[e] for _, places, ends in _stream_units(text, boxes, lang) for e in ends})
+
+
+def unit_pieces(text: str | None, boxes=None, lang: str | None = None) -> list[tuple[list[tuple[int, int]], str]]:
+    """Each unit's pieces in the text, as (first place, last place) in reading order, and its text with line ends and hyphens undone.
+    A unit that an advert or a column interrupts has several. Units stand in the order of their last place."""
+    if not text or not text.strip():
+        return []
+    out: dict[int, tuple[list[tuple[int, int]], str]] = {}
+    for s, places, ends in _stream_units(text, boxes, lang):
+        start = 0
+        for e in sorted(set(ends)):
+            at = [k for k in range(start, e + 1) if not s[k].isspace()]
+            pieces: list[tuple[int, int]] = []
+            for k in at:
+                # places between two characters of a piece hold only what joining took out
+                if pieces and places[k] > pieces[-1][1] and not text[pieces[-1][1] + 1 : places[k]].strip(" \t\r\n-¬"):
+                    pieces[-1] = (pieces[-1][0], places[k])
+                else:
+                    pieces.append((places[k], places[k]))
+            if pieces:
+                out[places[e]] = (pieces, s[start : e + 1].strip())
+            start = e + 1
+    return [out[k] for k in sorted(out)]
+
+
+def _pages(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "lang", *[F.col(f"line_boxes.{c}").alias(c) for c in ("x0", "x1", "y0")])
+
+
+def _read(batch: pd.DataFrame) -> Iterator[tuple[int, str | None, list | None, str | None]]:
+    """doc_id, text, boxes and lang of the pages of a batch."""
+    for doc_id, text, lang, x0, x1, y0 in zip(batch["doc_id"], batch["text"], batch["lang"], batch["x0"], batch["x1"], batch["y0"]):
+        boxes = None
+        if x0 is not None:
+            places = zip(x0.tolist(), x1.tolist(), y0.tolist())  # a missing number is None or unequal to itself
+            boxes = [{"x0": p, "x1": q, "y0": r} if p is not None and q is not None and r is not None and p == p and q == q and r == r else None for p, q, r in places]
+        yield doc_id, text if isinstance(text, str) else None, boxes, lang if isinstance(lang, str) else None
 
 
 def sentence_units(docs: DataFrame) -> DataFrame:
@@ -262,25 +304,26 @@ def sentence_units(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids: list[int] = []
             ends: list[int] = []
-            for doc_id, text, lang, x0, x1, y0 in zip(b["doc_id"], b["text"], b["lang"], b["x0"], b["x1"], b["y0"]):
-                boxes = None
-                if x0 is not None:
-                    places = zip(x0.tolist(), x1.tolist(), y0.tolist())  # a missing number is None or unequal to itself
-                    boxes = [{"x0": p, "x1": q, "y0": r} if p is not None and q is not None and r is not None and p == p and q == q and r == r else None for p, q, r in places]
-                found = unit_ends(text if isinstance(text, str) else None, boxes, lang if isinstance(lang, str) else None)
+            for doc_id, text, boxes, lang in _read(b):
+                found = unit_ends(text, boxes, lang)
                 ids += [doc_id] * len(found)
                 ends += found
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "end_pos": pd.Series(ends, dtype="int32")})
 
-    src = docs.where(F.col("doc_id").isNotNull()).select(
-        "doc_id", "text", "lang", *[F.col(f"line_boxes.{c}").alias(c) for c in ("x0", "x1", "y0")]
-    )
-    return src.mapInPandas(run, "doc_id bigint, end_pos int")
+    return _pages(docs).mapInPandas(run, "doc_id bigint, end_pos int")
+
 
+def unit_table(docs: DataFrame) -> DataFrame:
+    """Units with their number, pieces and text: doc_id, unit_no, start_pos, end_pos, pieces ARRAY<STRUCT<start, end>>, unit. ``start_pos`` is
+    the first place of the first piece in reading order, ``end_pos`` the last place of the last."""
 
-def unit_table(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """Units with their number, start and text: doc_id, unit_no, start_pos, end_pos. A page's units are bounded by its text."""
-    ends = units.groupBy("doc_id").agg(F.sort_array(F.collect_set("end_pos")).alias("ends"))
-    return ends.select("doc_id", F.posexplode("ends").alias("unit_no", "end_pos"), "ends").select(
-        "doc_id", "unit_no", F.coalesce(F.get("ends", F.col("unit_no") - 1) + 1, F.lit(0)).alias("start_pos"), "end_pos"
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [
+                (doc_id, k, pieces[0][0], pieces[-1][1], [{"start": x, "end": y} for x, y in pieces], unit)
+                for doc_id, text, boxes, lang in _read(b)
+                for k, (pieces, unit) in enumerate(unit_pieces(text, boxes, lang))
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "unit_no", "start_pos", "end_pos", "pieces", "unit"])
+
+    return _pages(docs).mapInPandas(run, "doc_id bigint, unit_no int, start_pos int, end_pos int, pieces array<struct<start:int,end:int>>, unit string")

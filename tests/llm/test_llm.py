@@ -162,4 +162,13 @@ def test_units_over_columns_and_empty(spark):
     d = spark.createDataFrame([(1, None), (2, "  "), (3, "One. Two.")], "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
     d = d.withColumn("line_boxes", F.lit(None).cast("array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>"))
     assert rows(sentences.sentence_units(d)) == [(3, 3), (3, 8)]
-    assert rows(sentences.unit_table(d, sentences.sentence_units(d))) == [(3, 0, 0, 3), (3, 1, 4, 8)]
+    assert rows(sentences.unit_table(d).select("doc_id", "unit_no", "start_pos", "end_pos", "unit")) == [(3, 0, 0, 3, "One."), (3, 1, 5, 8, "Two.")]
+
+
+def test_pieces_of_units_and_list_items():
+    text = "The ferry was\nA house is\nsold to him.\nbig. It fell."
+    boxes = [{"x0": x, "x1": x + 120, "y0": y} for x, y in ((10, 0), (300, 0), (10, 20), (300, 20))]
+    got = sentences.unit_pieces(text, boxes)
+    assert [u for _, u in got] == ["The ferry was sold to him.", "A house is big.", "It fell."]
+    assert [[text[a : b + 1] for a, b in p] for p, _ in got][0] == ["The ferry was", "sold to him."]
+    assert [u for _, u in sentences.unit_pieces("1. First item here.\n2. Second one.")] == ["1. First item here.", "2. Second one."]
