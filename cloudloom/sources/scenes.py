@@ -57,7 +57,7 @@ def read_shapes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix_text(spark: SparkSession, path: str) -> DataFrame:
     """Matrices of whitespace-parted text files, one a file: path, m ARRAY<DOUBLE> in row order; files with a word that is no number drop."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     m = F.transform(words, lambda x: x.try_cast("double"))
     return raw.select("path", m.alias("m")).where(~F.exists("m", lambda x: x.isNull()))
