@@ -209,6 +209,38 @@ def test_fusion_depends_on_order_and_graph_does_not(spark):
     assert rows(instances.unpack(instances.pack(spark.range(3), "id", 4)).select("digits", "code")) == [("0000", 0), ("0001", 1), ("0010", 2)]
 
 
+def test_fusion_by_rounds_equals_the_fold_mask_by_mask(spark):
+    import random
+
+    from cloudloom.operators import instances
+
+    r = random.Random(5)
+    data = []
+    for g in ("a", None):
+        for v in range(9):
+            for k in range(4):
+                c = r.randrange(40)
+                data += [(g, v, k, c + r.randrange(12)) for _ in range(r.randrange(20))]
+    masks: dict = {}
+    for g, v, k, p in data:
+        masks.setdefault((g or "", v, k), set()).add(p)
+    sets: dict = {"a": [], "": []}
+    for (g, _, _), pts in sorted(masks.items()):
+        if len(pts) < 3:
+            continue
+        iou = [len(pts & set(s)) / len(pts | set(s)) for s in sets[g]]
+        at = max(range(len(iou)), key=lambda i: (iou[i], -i), default=-1)
+        if at < 0 or iou[at] < 0.2:
+            sets[g].append({})
+            at = len(sets[g]) - 1
+        for p in pts:
+            sets[g][at][p] = sets[g][at].get(p, 0) + 1
+    want = sorted((g, i + 1, p, v) for g in sets for i, s in enumerate(sets[g]) for p, v in s.items())
+    df = spark.createDataFrame(data, "scene string, view_idx int, mask_id int, point_id bigint")
+    got = instances.fuse(df, "scene", 3, 0.2).select("scene", "instance", "point_id", "votes").collect()
+    assert sorted((r[0] or "", *r[1:]) for r in got) == want
+
+
 def test_scene_functions(spark):
     from cloudloom.operators import scene
 
