@@ -1,8 +1,10 @@
 """Sentence units of pages in many languages and layouts (problem 8).
 
 Each stream of a page (see ``layout``) is read by a pushdown automaton: its stack holds the open quotations and brackets, and
-marks inside them end nothing. A mark ends a unit unless the trie of abbreviations, read backwards from the mark, or the letter
-behind it says otherwise. Scripts have their own end marks; Thai has none and is cut at spaces that touch no number.
+nothing inside them ends a unit. A mark ends a unit unless the trie of abbreviations, read backwards from the mark, or the letter
+behind it says otherwise. Scripts have their own end marks; in Thai, spaces that touch no number are the marks. A second stack holds
+the levels of lists: a printed line that opens with the next number, letter or bullet of an open level closes the levels below it, and
+each item of a level with two items or more starts a unit, whether or not a mark ends the text before it.
 
 Defined results: null, empty and blank texts have no units; boxes that are missing or don't fit the lines are not used; the last
 unit of a heading, an advert or an article ends at its last character, with or without a mark; a text of any length is read whole.
@@ -42,6 +44,11 @@ CYRILLIC = re.compile(r"[а-яё]")
 GERMAN = re.compile(r"\b(?:[Dd]er|[Dd]ie|und|von|[Dd]as|am|zum)\b")
 OTHER = re.compile(r"\b(?:[Tt]he|of|[Ll]a|[Ee]l|de|[Aa]t|was)\b")
 OPENER = re.compile(r"(?<=[a-zà-ÿа-я][.!?] )([A-ZÀ-ßА-Я]\w*)")
+THAI_EVENT = re.compile(r"\s+|[“”„«»()\[\]「」『』（）《》]")
+# Numbers of list items in Han characters, from one to ten.
+HAN_NUMBERS = "一二三四五六七八九十"
+ITEM = re.compile(rf"(?m)^[ \t\u3000]*((?P<bullet>[•‣◦▪])|[(（]?(?:(?P<number>\d{{1,3}})|(?P<letter>[A-Za-z])|(?P<roman>[ivx]{{1,5}}|[IVX]{{1,5}})|(?P<han>[{HAN_NUMBERS}]))[.)）．、])(?=\s|[^\x00-\x7f])")
+ROMAN = {"i": 1, "v": 5, "x": 10}
 SPACING = re.compile(r"[\s\d.,]")
 HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 THAI = re.compile(r"[฀-๿]")
@@ -109,6 +116,59 @@ def _matched(s: str) -> set[int]:
     return good
 
 
+def _roman(word: str) -> int:
+    values = [ROMAN[ch] for ch in word]
+    return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
+
+
+def _item_marks(text: str) -> list[tuple[int, int, set[tuple[str, int]]]]:
+    """Numbers, letters and bullets at the head of printed lines: first place, place behind, and each (style, number) it may be."""
+    out = []
+    for m in ITEM.finditer(text):
+        mark, kinds = m.group(1), set()
+        around = (mark[0] if mark[0] in "(（" else "") + "{}" + mark[-1]
+        if m["bullet"]:
+            kinds.add((mark, 0))
+        elif m["number"]:
+            month = re.match(r"\W*(\w+)", text[m.end() : m.end() + 30])
+            if not (month and _is_month(month.group(1).lower())):
+                kinds.add((around.format("1"), int(m["number"])))
+        elif m["han"]:
+            kinds.add((around.format("一"), HAN_NUMBERS.index(m["han"]) + 1))
+        word = m["letter"] or m["roman"]
+        if word:
+            case = "A" if word.isupper() else "a"
+            # a capital with a dot behind an open sentence is an initial
+            if case == "A" and mark[-1] == "." and text[: m.start(1)].rstrip()[-1:] not in f"{END_MARKS}:;":
+                continue
+            if len(word) == 1:
+                kinds.add((around.format(case), ord(word.lower()) - ord("a") + 1))
+            if set(word.lower()) <= set(ROMAN):
+                kinds.add((around.format(case + "i"), _roman(word.lower())))
+        if kinds:
+            out.append((m.start(1), m.end(1), kinds))
+    return out
+
+
+def _list_items(marks: list[tuple[int, int, set[tuple[str, int]]]]) -> list[tuple[int, int]]:
+    """(first place, place behind) of the marks that are items, which come in reading order. The stack holds the open levels by style and last
+    number; a level opens with its first number and counts once it has a second item."""
+    stack: list[tuple[str, int, tuple[int, int]]] = []
+    good: set[tuple[int, int]] = set()
+    for at, behind, kinds in marks:
+        for k in range(len(stack) - 1, -1, -1):
+            style, last, opened = stack[k]
+            n = last + 1 if last else 0
+            if (style, n) in kinds:
+                del stack[k:]
+                stack.append((style, n, (at, behind)))
+                good.update((opened, (at, behind)))
+                break
+        else:
+            stack += [(style, n, (at, behind)) for style, n in sorted(kinds) if n <= 1]
+    return list(good)
+
+
 def _next_letter(s: str, i: int) -> str:
     """The first letter or digit behind place i, beyond openers and dashes; empty at the end."""
     while i < len(s) and not s[i].isalnum():
@@ -116,14 +176,29 @@ def _next_letter(s: str, i: int) -> str:
     return s[i] if i < len(s) else ""
 
 
-def _ends(s: str, kind: str, trie: dict, german: bool) -> list[int]:
-    """Places of the last characters of the units within one stream (the last unit left out)."""
+def _break(s: str, unit: int, at: int, ends: list[int]) -> int:
+    """Ends the open unit at its last character before ``at``; gives the start of the next unit."""
+    text = s[unit:at].rstrip()
+    if not text.strip():
+        return unit
+    ends.append(unit + len(text) - 1)
+    return unit + len(text)
+
+
+def _ends(s: str, kind: str, trie: dict, german: bool, starts: list[tuple[int, int]]) -> list[int]:
+    """Places of the last characters of the units within one stream (the last unit left out). ``starts`` are places where a unit starts
+    unless a quotation or bracket is open there, each with the place behind its mark; ascending."""
     good = _matched(s)
     depth, stack, opened_at, unit = 0, [], None, 0
     ends: list[int] = []
-    n, skip = len(s), -1
+    n, skip, at = len(s), -1, 0
     for m in EVENT.finditer(s):
         i, ch = m.start(), m.group()
+        while at < len(starts) and starts[at][0] <= i:
+            if not depth:
+                unit = _break(s, unit, starts[at][0], ends)
+                skip = max(skip, starts[at][1] - 1)
+            at += 1
         if i <= skip:
             continue
         if ch not in END_MARKS:
@@ -197,6 +272,9 @@ def _ends(s: str, kind: str, trie: dict, german: bool) -> list[int]:
         if s[unit : e + 1].strip():
             ends.append(e)
             unit = e + 1
+    for k, _ in starts[at:]:
+        if not depth:
+            unit = _break(s, unit, k, ends)
     return ends
 
 
@@ -221,12 +299,25 @@ def _is_month(word: str) -> bool:
     return any(abs(len(m) - len(word)) <= 1 and sum(a != b for a, b in zip(m, word)) <= (1 if len(m) < 5 else 2) for m in MONTHS)
 
 
-def _thai_ends(s: str) -> list[int]:
-    ends = []
-    for m in re.finditer(r"\s+", s):
-        a, b = s[: m.start()][-1:], s[m.end() : m.end() + 1]
-        if a and b and not a.isdigit() and not b.isdigit() and a not in ".," and THAI.match(b):
-            ends.append(m.start() - 1)
+def _thai_ends(s: str, starts: list[tuple[int, int]]) -> list[int]:
+    good, stack, unit, at = _matched(s), [], 0, 0
+    ends: list[int] = []
+    for m in THAI_EVENT.finditer(s):
+        i, ch = m.start(), m.group()
+        while at < len(starts) and starts[at][0] <= i:
+            unit = unit if stack else _break(s, unit, starts[at][0], ends)
+            at += 1
+        if i in good:
+            if ch in OPEN and not (ch == "“" and stack and stack[-1] == "„"):
+                stack.append(ch)
+            elif stack:
+                stack.pop()
+        elif ch.isspace() and not stack and not any(k <= i <= e for k, e in starts[max(0, at - 1) : at]):
+            a, b = s[i - 1 : i], s[m.end() : m.end() + 1]
+            if a and b and not a.isdigit() and not b.isdigit() and a not in ".," and THAI.match(b):
+                unit = _break(s, unit, i, ends)
+    for k, _ in starts[at:]:
+        unit = unit if stack else _break(s, unit, k, ends)
     return ends
 
 
@@ -240,16 +331,25 @@ def _stream_units(text: str, boxes, lang: str | None) -> Iterator[tuple[str, lis
         trie = TRIES["ru"] if cyrillic else TRIES["de"] if german else TRIES.get(lang if lang in ("en", "fr", "es") else "", LATIN)
     else:
         german, trie = False, {"arabic": TRIES["ar"], "hindi": TRIES["hi"]}.get(kind, ALL)
-    for st in streams(text, boxes):
-        s, places = join(text, st, spaced=kind not in ("han", "thai"))
+    read = [(st.kind, *join(text, st, spaced=kind not in ("han", "thai"))) for st in streams(text, boxes)]
+    marks, items = _item_marks(text), set()
+    if len(marks) > 1:
+        # a list goes on over streams, in reading order
+        order = {p: k for k, p in enumerate(p for _, _, places in read for p in places)}
+        items = {m[:2] for m in _list_items(sorted((m for m in marks if m[0] in order), key=lambda m: order[m[0]]))}
+    for part, s, places in read:
         last = len(s.rstrip()) - 1
         if last < 0:
             continue
         ends: list[int] = []
-        if st.kind != "heading":
-            ends = _thai_ends(s) if kind == "thai" else _ends(s, kind, trie, german)
+        if part != "heading":
+            starts: list[tuple[int, int]] = []
+            if items:
+                here = {p: k for k, p in enumerate(places)}
+                starts = sorted((here[a], here[a] + b - a) for a, b in items if a in here)
             if kind == "cased":
-                ends += _lost_marks(s)
+                starts = sorted([*starts, *((e + 1, e + 1) for e in _lost_marks(s))])
+            ends = _thai_ends(s, starts) if kind == "thai" else _ends(s, kind, trie, german, starts)
         yield s, places, [*(e for e in ends if e < last), last]
 
 

@@ -172,3 +172,21 @@ def test_pieces_of_units_and_list_items():
     assert [u for _, u in got] == ["The ferry was sold to him.", "A house is big.", "It fell."]
     assert [[text[a : b + 1] for a, b in p] for p, _ in got][0] == ["The ferry was", "sold to him."]
     assert [u for _, u in sentences.unit_pieces("1. First item here.\n2. Second one.")] == ["1. First item here.", "2. Second one."]
+
+
+def test_list_levels():
+    from cloudloom.llm.sentences import unit_pieces
+
+    read = lambda text: [u for _, u in unit_pieces(text)]
+    page = "Bring these things:\n1. Bread and cheese\n(a) of the old kind\n(b) of the new kind\n2. Water from the well\n3. Shoes. They must be dry."
+    assert read(page) == ["Bring these things:", "1. Bread and cheese", "(a) of the old kind", "(b) of the new kind", "2. Water from the well", "3. Shoes.", "They must be dry."]
+    # a number without a next one, ordinals of days and initials open no item (lines that fill their column go on in the next one)
+    for lines in (
+        ["It was on the very same morning", "1. of the set that was sold here."],
+        ["Das Haus steht nun schon seit dem", "1. Mai und es bleibt noch bis zum", "2. Mai leer, wie die Leute sagen."],
+        ["The works of a certain old Mr", "A. Brown and those of one Mrs", "B. Green are lost for ever now."],
+        # a list inside a bracket ends nothing
+        ["He wrote (it was as follows here:", "1. one thing that he had to have,", "2. two things he wanted) and left."],
+    ):
+        assert read("\n".join(lines)) == [" ".join(lines)]
+    assert read("他说：\n一、买米\n二、买盐。") == ["他说：", "一、买米", "二、买盐。"]
