@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..util import cut, drop, salted_join
+from .points import ranks
 
 
 def box_join(points: DataFrame, boxes: DataFrame, by: list[str], side: float) -> DataFrame:
@@ -42,15 +43,16 @@ def lloyd(rows: DataFrame, centres: list[list[float]], cols: list[str], rounds:
     return centres
 
 
-def within(df: DataFrame, key: str, by: list[str], radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Pairs (a, b, dist), a < b, of points of a group within a radius: each point asks in its 3^d neighbouring cells."""
-    p = df.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("a"), *axes)
-    home = p.select("*", *[F.floor(F.col(x) / radius).alias(f"c{x}") for x in axes])
+def within(df: DataFrame, key: str, by: list[str], radius: float | str, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Pairs (a, b, dist), a < b, of points of a group within a radius: each point asks in its 3^d neighbouring cells. The radius is a
+    number or names a column with one positive number per group."""
+    p = df.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("a"), *axes, (F.col(radius) if isinstance(radius, str) else F.lit(float(radius))).alias("_r"))
+    home = p.select("*", *[F.floor(F.col(x) / F.col("_r")).alias(f"c{x}") for x in axes])
     ask = home.select(*by, F.col("a").alias("b"), *[F.col(x).alias(f"q{x}") for x in axes], *[F.col(f"c{x}").alias(f"d{x}") for x in axes])
     for x in axes:
         ask = ask.withColumn(f"c{x}", F.explode(F.array(*[F.col(f"d{x}") + k for k in (-1, 0, 1)]))).drop(f"d{x}")
     d = F.sqrt(sum((F.col(x).cast("double") - F.col(f"q{x}").cast("double")) ** 2 for x in axes))
-    return home.join(ask, [*by, *[f"c{x}" for x in axes]]).where("a < b").withColumn("dist", d).where(F.col("dist") <= radius).select(*by, "a", "b", "dist")
+    return home.join(ask, [*by, *[f"c{x}" for x in axes]]).where("a < b").withColumn("dist", d).where(F.col("dist") <= F.col("_r")).select(*by, "a", "b", "dist")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,9 +71,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label.select("node", "component")
 
 
-def dbscan(df: DataFrame, key: str, by: list[str], eps: float, min_samples: int) -> DataFrame:
+def dbscan(df: DataFrame, key: str, by: list[str], eps: float | str, min_samples: int) -> DataFrame:
     """key, component: DBSCAN. A core point has ``min_samples`` points within eps, itself included; a border point joins the component
-    with the lowest number among its core neighbours; noise has component null."""
+    with the lowest number among its core neighbours; noise has component null. ``eps`` may name a column (see ``neighbour_eps``)."""
     pairs = cut(within(df, key, by, eps).select("a", "b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     core = cut(both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("node")))
@@ -140,6 +142,21 @@ def nearest_k(df: DataFrame, key: str, by: list[str], radius: float, k: int | Ca
     return out if out is not None else left.select("a", F.col("a").alias("b"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
 
 
+def neighbour_eps(df: DataFrame, key: str, by: list[str], k: int, quantile: float, start: float, least: float = 1e-4) -> DataFrame:
+    """One eps per group: the quantile, interpolated, of its points' distances to their k-th nearest other (the farthest in groups of k
+    or fewer); ``least`` where it is 0 or the group has one point. Two ranks of a group are picked, so no group stands in one task.
+    ``start`` is where the search for neighbours starts."""
+    near = nearest_k(df, key, by, start, k)
+    groups = df.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("a"))
+    last = cut(near.groupBy("a").agg(F.max("dist").alias("dist")).join(groups, "a").select(*by, "a", "dist"))
+    place = last.groupBy(*by).agg(((F.count("*") - 1) * quantile).alias("_place"))
+    at = ranks(last, by, [F.col("dist").asc(), F.col("a").asc()]).join(place, by).withColumn("_i", F.col("_rn") - 1)
+    low, high = F.floor("_place"), F.ceil("_place")
+    two = at.where((F.col("_i") == low) | (F.col("_i") == high)).groupBy(*by).agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.first(F.col("_place") - low).alias("part"))
+    eps = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
+    return groups.select(*by).distinct().join(two, by, "left").select(*by, F.when(eps > 0, eps).otherwise(least).alias("eps"))
+
+
 def sparse_outliers(neighbours: DataFrame, times: float = 1.0) -> DataFrame:
     """Points whose mean squared neighbour distance reaches mean + times * deviation over all neighbours: a, mean_d2."""
     d2 = neighbours.withColumn("d2", F.col("dist") * F.col("dist"))

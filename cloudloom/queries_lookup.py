@@ -344,3 +344,14 @@ def _codebook_sql(rounds: int = 5) -> str:
 
 
 ORACLES["g_codebook"] = " ".join(_codebook_sql().split())
+
+
+@query(CLOSE + """, dd AS (SELECT p.scene, p.id AS a, q.id AS b, sqrt((p.x-q.x)**2+(p.y-q.y)**2+(p.z-q.z)**2) AS dist FROM pt p JOIN pt q ON p.scene=q.scene AND p.id<>q.id), kd AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b)<=4),
+ la AS (SELECT scene, a, max(dist) AS dist FROM kd GROUP BY ALL), ep AS (SELECT scene, CASE WHEN quantile_cont(dist,0.4)>0 THEN quantile_cont(dist,0.4) ELSE 1e-4 END AS eps FROM la GROUP BY scene),
+ nb AS (SELECT a, b FROM dd JOIN ep USING (scene) WHERE dist<=eps), nd AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*)+1>=4), ed AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM nd) AND b IN (SELECT id FROM nd))""" + REACH + """
+ , bo AS (SELECT a AS node, min(component) AS near FROM nb JOIN co ON nb.b=co.node GROUP BY a) SELECT pt.id AS point3d_id, coalesce(component, near) AS component FROM pt LEFT JOIN co ON pt.id=co.node LEFT JOIN bo ON pt.id=bo.node""")
+def g_dbscan_by_quantile(spark, d):
+    """DBSCAN within each scene, with the scene's own eps: the 0.4 quantile of the distances to the fourth nearest other."""
+    s = _sparse(spark, d).where("x is not null and y is not null and z is not null").select("scene", "point3d_id", "x", "y", "z")
+    eps = S.neighbour_eps(s, "point3d_id", ["scene"], 4, 0.4, 2.0)
+    return S.dbscan(s.join(eps, "scene"), "point3d_id", ["scene"], "eps", 4)

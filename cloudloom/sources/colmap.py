@@ -6,7 +6,7 @@ Binary files with an unknown camera model raise, as does a text camera that isn'
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +48,7 @@ def read_cameras(spark: SparkSession, path: str) -> DataFrame:
     return _scan(spark, path, _cameras, "camera_id int, model string, width bigint, height bigint, params array<double>")
 
 
-def _images(points: bool):
+def _images(points: bool, keep: Callable[[int, str], bool] | None):
     def parse(m):
         (n,), at = struct.unpack_from("<Q", m), 8
         for _ in range(n):
@@ -60,6 +60,9 @@ def _images(points: bool):
             name = bytes(m[at:end]).decode("utf-8", "replace")
             (k,) = struct.unpack_from("<Q", m, end + 1)
             at = end + 9
+            if keep is not None and not keep(v[0], name):
+                at += 24 * k
+                continue
             row = {"image_id": v[0], "qvec": list(v[1:5]), "tvec": list(v[5:8]), "camera_id": v[8], "name": name}
             if points:
                 row["points2d"] = [dict(zip(("x", "y", "point3d_id"), p)) for p in struct.iter_unpack("<ddq", m[at : at + 24 * k])]
@@ -69,25 +72,31 @@ def _images(points: bool):
     return parse
 
 
-def read_images(spark: SparkSession, path: str, points: bool = True) -> DataFrame:
-    """``points=False`` steps over the 2-D points, which are most of the file."""
+def read_images(spark: SparkSession, path: str, points: bool = True, keep: Callable[[int, str], bool] | None = None) -> DataFrame:
+    """``points=False`` steps over the 2-D points, which are most of the file; so does ``keep(image_id, name)`` for the records that it
+    turns down, which are no rows."""
     more = ", points2d array<struct<x:double,y:double,point3d_id:bigint>>" if points else ""
-    return _scan(spark, path, _images(points), "image_id int, qvec array<double>, tvec array<double>, camera_id int, name string" + more)
+    return _scan(spark, path, _images(points, keep), "image_id int, qvec array<double>, tvec array<double>, camera_id int, name string" + more)
 
 
-def _points3d(m):
-    (n,), at = struct.unpack_from("<Q", m), 8
-    for _ in range(n):
-        pid, x, y, z, r, g, b, error = struct.unpack_from("<QdddBBBd", m, at)
-        (k,) = struct.unpack_from("<Q", m, at + 43)
-        track = [dict(zip(("image_id", "point2d_idx"), p)) for p in struct.iter_unpack("<ii", m[at + 51 : at + 51 + 8 * k])]
-        at += 51 + 8 * k
-        yield {"point3d_id": pid, "x": x, "y": y, "z": z, "r": r, "g": g, "b": b, "error": error, "track": track}
+def _points3d(keep: Callable[[float, float, float], bool] | None):
+    def parse(m):
+        (n,), at = struct.unpack_from("<Q", m), 8
+        for _ in range(n):
+            pid, x, y, z, r, g, b, error = struct.unpack_from("<QdddBBBd", m, at)
+            (k,) = struct.unpack_from("<Q", m, at + 43)
+            start, at = at + 51, at + 51 + 8 * k
+            if keep is None or keep(x, y, z):
+                track = [dict(zip(("image_id", "point2d_idx"), p)) for p in struct.iter_unpack("<ii", m[start:at])]
+                yield {"point3d_id": pid, "x": x, "y": y, "z": z, "r": r, "g": g, "b": b, "error": error, "track": track}
+
+    return parse
 
 
-def read_points3d(spark: SparkSession, path: str) -> DataFrame:
+def read_points3d(spark: SparkSession, path: str, keep: Callable[[float, float, float], bool] | None = None) -> DataFrame:
+    """``keep(x, y, z)``, such as a test of tiles, steps over the tracks of the points that it turns down, which are no rows."""
     schema = "point3d_id bigint, x double, y double, z double, r smallint, g smallint, b smallint, error double, track array<struct<image_id:int,point2d_idx:int>>"
-    return _scan(spark, path, _points3d, schema)
+    return _scan(spark, path, _points3d(keep), schema)
 
 
 def read_cameras_text(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -171,6 +171,11 @@ def test_colmap_binary_and_text(spark, tmp_path):
     (tmp_path / "points3D.bin").write_bytes(struct.pack("<Q", 1) + struct.pack("<QdddBBBd", 3, 1, 2, 3, 4, 5, 255, 0.5) + struct.pack("<Q", 2) + struct.pack("<4i", 9, 0, 9, 1))
     p = colmap.read_points3d(spark, str(tmp_path / "points3D.bin")).first()
     assert (p.point3d_id, p.b, len(p.track)) == (3, 255, 2)
+    two = img[8:] + img[8:].replace(b"a.jpg", b"b.jpg")
+    (tmp_path / "images.bin").write_bytes(struct.pack("<Q", 2) + two)
+    kept = colmap.read_images(spark, str(tmp_path / "images.bin"), keep=lambda image_id, name: name == "b.jpg").collect()
+    assert [(r.name, len(r.points2d)) for r in kept] == [("b.jpg", 1)]
+    assert colmap.read_points3d(spark, str(tmp_path / "points3D.bin"), keep=lambda x, y, z: x > 1).count() == 0
     (tmp_path / "cameras.txt").write_text("# c\n1 PINHOLE 640 480 1 2 3 4\nshort 1\n")
     assert rows(colmap.read_cameras_text(spark, str(tmp_path / "cameras.txt")).select("camera_id", "width")) == [(1, 640)]
 
@@ -266,3 +271,34 @@ def test_text_images_and_transforms(spark, tmp_path):
     flip = np.array(c2w, float) @ np.diag([1, -1, -1, 1])
     assert np.allclose(np.array(v["a"].w2c).reshape(4, 4), np.linalg.inv(flip)) and set(v) == {"a", "b"}
     assert v["a"].fx == 9 and v["b"].fx == pytest.approx(50 / np.tan(0.5)) and v["b"].cx == 50
+
+
+def test_training_transforms(spark, tmp_path):
+    import json
+
+    from cloudloom.sources.transforms import read_training_transforms
+
+    c2w = [[0, -1, 0, 1], [1, 0, 0, 2], [0, 0, 2, 3], [0, 0, 0, 1]]
+    k = [[30, 0, 11], [0, 30, 12], [0, 0, 1]]
+    frames = [{"file_path": n, "transform_matrix": c2w} for n in ("d/a", "d/gone", "d/b", "c")]
+    frames[2] |= {"K": k, "fl_x": 40}
+    (tmp_path / "t.json").write_text(json.dumps({"fl_x": 20, "frames": frames}))
+    sizes = spark.createDataFrame([("d/a.png", 100, 50), ("d/b.jpg", 60, 40), ("c.png", 10, 10)], "image string, width int, height int")
+    got = {r.name: r for r in read_training_transforms(spark, str(tmp_path / "t.json"), sizes).collect()}
+    assert {n: (r.view_idx, r.image, r.cx, r.cy) for n, r in got.items()} == {"a": (0, "d/a.png", 50, 25), "b": (2, "d/b.jpg", 11, 12), "c": (3, "c.png", 11, 12)}
+    assert got["a"].fov_x == pytest.approx(2 * np.arctan(100 / 40)) and got["b"].fov_y == pytest.approx(2 * np.arctan(40 / 80))
+    w2c = np.linalg.inv(np.array(c2w, float) @ np.diag([1, -1, -1, 1]))
+    assert np.allclose(np.array(got["c"].R).reshape(3, 3), w2c[:3, :3].T) and np.allclose(got["c"].T, w2c[:3, 3])
+    (tmp_path / "t.json").write_text(json.dumps({"camera_angle_x": 1.0, "w": 8, "h": 6, "frames": frames[:1]}))
+    one = read_training_transforms(spark, str(tmp_path / "t.json"), sizes).first()
+    assert (one.fov_y, one.cx, one.cy) == (1.0, 4, 3) and one.fov_x == pytest.approx(2 * np.arctan(50 * np.tan(0.5) / 100))
+
+
+def test_eps_by_quantile(spark):
+    far = [("s", i, float(i * i), 0.0, 0.0) for i in range(9)]
+    df = spark.createDataFrame([*far, ("one", 100, 0.0, 0.0, 0.0), *[("same", 200 + i, 1.0, 1.0, 1.0) for i in range(3)]], "scene string, id bigint, x double, y double, z double")
+    got = dict((r.scene, r.eps) for r in spatial.neighbour_eps(df, "id", ["scene"], 2, 0.3, 0.5).collect())
+    x = [i * i for i in range(9)]
+    want = np.quantile([sorted(abs(a - b) for b in x if a != b)[1] for a in x], 0.3)
+    assert got == {"s": pytest.approx(want), "one": 1e-4, "same": 1e-4}
+    assert spatial.neighbour_eps(df.limit(0), "id", ["scene"], 2, 0.3, 0.5).count() == 0
