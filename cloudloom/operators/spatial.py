@@ -5,12 +5,14 @@ Defined results: rows with null coordinates take no part; distances include thei
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import cut, drop, salted_join
+from ..util import cut, drop, hot_keys, salted_join
 from .points import ranks
 
 
@@ -55,20 +57,81 @@ def within(df: DataFrame, key: str, by: list[str], radius: float | str, axes: tu
     return home.join(ask, [*by, *[f"c{x}" for x in axes]]).where("a < b").withColumn("dist", d).where(F.col("dist") <= F.col("_r")).select(*by, "a", "b", "dist")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component (its lowest node) by smallest labels with pointer jumping; ends when no label moves."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(nodes.select(F.col("node"), F.col("node").alias("component"), F.lit(True).alias("moved")).distinct())
+#: Links of a task that are folded at a time, and nodes that a task holds before it passes them on.
+FOLD, HELD = 1 << 18, 1 << 22
+#: Graphs of at most so many folded links are finished in one task; the components do not depend on it.
+LOCAL_LINKS = 2_000_000
+
+
+def _lowest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b) and the lowest node that each is connected to."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    p = np.arange(len(ids))
+    while len(a):
+        low = np.minimum(a, b)
+        np.minimum.at(p, np.maximum(a, b), low)
+        while True:
+            q = p[p]
+            if np.array_equal(p, q):
+                break
+            p = q
+        a, b = p[a], p[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return ids, ids[p]
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) as fewer with the same components: each node that isn't the lowest of its links' component, with the lowest."""
+    a = b = np.zeros(0, dtype=np.int64)
+    more, n = [], 0
+    for batch in batches:
+        more.append([batch.column(k).to_numpy().astype(np.int64) for k in (0, 1)])
+        n += batch.num_rows
+        if n >= max(FOLD, len(a)):
+            a, b = _lowest(*[np.concatenate([x, *[m[k] for m in more]]) for k, x in enumerate((a, b))])
+            a, b, more, n = a[a != b], b[a != b], [], 0
+            if len(a) > HELD:
+                yield pa.record_batch({"a": a, "b": b})
+                a = b = np.zeros(0, dtype=np.int64)
+    if n:
+        a, b = _lowest(*[np.concatenate([x, *[m[k] for m in more]]) for k, x in enumerate((a, b))])
+        a, b = a[a != b], b[a != b]
+    if len(a):
+        yield pa.record_batch({"a": a, "b": b})
+
+
+def components(nodes: DataFrame, edges: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """node, component (its lowest node), nodes and edges by whole numbers.
+
+    Every task first folds its links to at most one a node. If at most ``local_links`` are left, one task folds these to the
+    components; otherwise smallest labels with pointer jumping run over them until no label moves. Nodes with a hundredth of the rows
+    or more are spread over tasks.
+    """
+    kind = dict(nodes.dtypes)["node"]
+    links = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a is not null and b is not null")
+    links = cut(links.mapInArrow(_fold, "a bigint, b bigint"))
+    if links.count() <= local_links:
+        low = cut(links.coalesce(1).mapInArrow(_fold, "a bigint, b bigint"))
+        drop(links)
+        named = nodes.select(F.col("node").cast("bigint").alias("node")).distinct().join(low.withColumnRenamed("a", "node"), "node", "left")
+        return named.select(F.col("node").cast(kind).alias("node"), F.coalesce("b", "node").cast(kind).alias("component"))
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    drop(links)
+    busy = hot_keys(both, "b")
+    label = cut(nodes.select(F.col("node").cast("bigint").alias("node")).distinct().select("node", F.col("node").alias("component"), F.lit(True).alias("moved")))
     while True:
-        near = salted_join(both, label.select(F.col("node").alias("b"), "component"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        step = label.join(near, "node", "left").select("node", "component", F.least("component", "low").alias("to"))
+        near = salted_join(both, label.select(F.col("node").alias("b"), "component"), ["b"], hot=busy).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
+        step = cut(label.join(near, "node", "left").select("node", "component", F.least("component", "low").alias("to")))
         hop = label.select(F.col("node").alias("to"), F.col("component").alias("root"))
-        new = salted_join(step, hop, ["to"], "left").select("node", F.least("to", "root").alias("component"), (F.least("to", "root") < F.col("component")).alias("moved"))
+        new = salted_join(step, hop, ["to"], "left", hot=hot_keys(step, "to")).select("node", F.least("to", "root").alias("component"), (F.least("to", "root") < F.col("component")).alias("moved"))
         new = cut(new)
-        drop(label)
+        drop(label, step)
         label = new
         if label.where("moved").isEmpty():
-            return label.select("node", "component")
+            drop(both)
+            return label.select(F.col("node").cast(kind).alias("node"), F.col("component").cast(kind).alias("component"))
 
 
 def dbscan(df: DataFrame, key: str, by: list[str], eps: float | str, min_samples: int) -> DataFrame:
