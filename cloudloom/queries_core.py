@@ -148,8 +148,9 @@ SEEN = PTS + """, vw AS (SELECT *, coalesce(fx,width) AS gx, coalesce(fy,width)
  seen AS (SELECT view_idx, point_id, u::INT AS u, v::INT AS v, pz FROM uv WHERE u>=0 AND u<width AND v>=0 AND v<height QUALIFY ortho OR row_number() OVER (PARTITION BY view_idx, u, v, ortho ORDER BY pz, point_id)=1)"""
 
 
-def _seen(spark, d):
-    return V.nearest_per_pixel(V.project(_points(spark, d, "scene", "x", "y", "z").select("point_id", "scene", "x", "y", "z"), _views(spark, d)))
+def _seen(spark, d, *cols, each=None):
+    """Visible points of each view, with their columns ``cols``, or what ``each`` makes of a view."""
+    return V.visible(_points(spark, d, "scene", "x", "y", "z", *cols), _views(spark, d), cols, each=each)
 
 
 @query(SEEN + " SELECT view_idx, count(*)::BIGINT AS n, sum(point_id)::BIGINT AS ids, sum(u)::BIGINT AS us, sum(v)::BIGINT AS vs FROM seen GROUP BY view_idx")
