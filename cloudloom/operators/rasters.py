@@ -5,7 +5,7 @@ Defined results: pixels without a row are unlabelled (0 unless said otherwise);
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,13 +75,23 @@ def paint_free(masks: DataFrame, min_area: int = 1) -> DataFrame:
     fewer than ``min_area`` free pixels is passed over whole. Each choice depends on those before it, so a view, which is one image, is
     one group. Gives view_idx, v, u, mask_id."""
 
+    paint = painter(min_area)
+    kinds = dict(masks.dtypes)
+    ok = masks.where(F.col("mask_id").isNotNull() & F.col("score").isNotNull()).select("view_idx", "mask_id", "score", "v", "u")
+    return ok.groupBy("view_idx").applyInPandas(paint, f"view_idx {kinds['view_idx']}, v {kinds['v']}, u {kinds['u']}, mask_id {kinds['mask_id']}")
+
+
+def painter(min_area: int = 1) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``paint_free`` of one view's rows."""
+
     def paint(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a mask's greatest score, whichever of its repeated pixels stays
+        order = pdf.groupby("mask_id")["score"].max().reset_index().sort_values(["score", "mask_id"], ascending=[False, True])["mask_id"]
         pdf = pdf.drop_duplicates(["mask_id", "v", "u"])
         place = pdf["v"].to_numpy(dtype=np.int64) * (1 << 32) + pdf["u"].to_numpy(dtype=np.int64)
         _, pixel = np.unique(place, return_inverse=True)
         taken = np.zeros(len(place), dtype=bool)
         keep = np.zeros(len(pdf), dtype=bool)
-        order = pdf.groupby("mask_id")["score"].max().reset_index().sort_values(["score", "mask_id"], ascending=[False, True])["mask_id"]
         where = pdf.groupby("mask_id").indices
         for m in order:
             rows = where[m]
@@ -91,9 +101,7 @@ def paint_free(masks: DataFrame, min_area: int = 1) -> DataFrame:
                 taken[pixel[free]] = True
         return pdf.loc[keep, ["view_idx", "v", "u", "mask_id"]]
 
-    kinds = dict(masks.dtypes)
-    ok = masks.where(F.col("mask_id").isNotNull() & F.col("score").isNotNull()).select("view_idx", "mask_id", "score", "v", "u")
-    return ok.groupBy("view_idx").applyInPandas(paint, f"view_idx {kinds['view_idx']}, v {kinds['v']}, u {kinds['u']}, mask_id {kinds['mask_id']}")
+    return paint
 
 
 def suppress(boxes: DataFrame, by: list[str], max_iou: float = 0.5, min_area: float = 0.0, max_boxes: int | None = None) -> DataFrame:
@@ -101,9 +109,7 @@ def suppress(boxes: DataFrame, by: list[str], max_iou: float = 0.5, min_area: fl
     higher score (ties: lower id) and overlaps it by more than ``max_iou``. Boxes under ``min_area`` drop first; ``max_boxes`` limits
     the report per group. The choice is sequential, so a group, the boxes of one class in one image, is one task's array."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True], ignore_index=True)
-        b = pdf[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
+    def kept(b: np.ndarray) -> list[int]:
         area = (b[:, 2] - b[:, 0]).clip(0) * (b[:, 3] - b[:, 1]).clip(0)
         alive, keep = area >= min_area, []
         for i in range(len(b)):
@@ -114,12 +120,20 @@ def suppress(boxes: DataFrame, by: list[str], max_iou: float = 0.5, min_area: fl
             h = (np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1])).clip(0)
             union = area[i] + area - w * h
             alive &= ~(np.divide(w * h, union, out=np.zeros(len(b)), where=union > 0) > max_iou)
-        return pdf.iloc[keep]
+        return keep
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True], ignore_index=True)
+        b = pdf[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
+        rows = [place[kept(b[place])] for place in pdf.groupby(by, dropna=False, sort=False).indices.values()]
+        return pdf.iloc[np.concatenate(rows)][cols]
 
     cols = [*by, "box_id", "x0", "y0", "x1", "y1", "score"]
     kinds = dict(boxes.dtypes)
     ok = boxes.where(F.col("score").isNotNull()).select(*cols).distinct()
-    return ok.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols))
+    # many small groups to a call; a group is whole in one
+    some = ok.withColumn("_some", F.pmod(F.xxhash64(*by), F.lit(4096)))
+    return some.groupBy("_some").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols))
 
 
 def cohesion(pixels: DataFrame, by: list[str], mask: str, feature: list[str]) -> DataFrame:
