@@ -89,8 +89,7 @@ def a_image_iou(spark, d):
  SELECT view_idx, mask_id::INT AS mask_id, n::BIGINT AS n FROM x WHERE va <= 0.006 OR n > 0.8*most""")
 def p_steady_masks(spark, d):
     mask = F.pmod(F.floor(C("u") / 64) + 2 * F.floor(C("v") / 64), F.lit(32)).cast("int").alias("mask_id")
-    v = _points(spark, d, "f_dc_0").select("point_id", C("f_dc_0").cast("double").alias("c"))
-    s = _seen(spark, d).select("view_idx", mask, "point_id").join(v, "point_id").groupBy("view_idx", "mask_id").agg(F.count("*").alias("n"), F.var_pop("c").alias("var"))
+    s = _seen(spark, d, "f_dc_0").select("view_idx", mask, C("f_dc_0").cast("double").alias("c")).groupBy("view_idx", "mask_id").agg(F.count("*").alias("n"), F.var_pop("c").alias("var"))
     return Z.steady_masks(s, ["view_idx"]).drop("var")
 
 
