@@ -11,7 +11,7 @@ from .operators import tracks as T
 from .operators import vectors as W
 from .operators import views as V
 from .queries_core import CENTRES, PTS, SEEN, SP, _points, _seen, _sparse, _views
-from .util import table
+from .util import cut, table
 
 C = F.col
 QUERIES, ORACLES = {}, {}
@@ -101,9 +101,11 @@ def p_seed_similar(spark, d):
  SELECT view_idx::BIGINT AS click, k::BIGINT AS root, (k*3+j)::BIGINT AS leaf FROM b, range(3) t(j) QUALIFY row_number() OVER (PARTITION BY view_idx ORDER BY (a-ra*(0.6+0.4*j))**2+(b-rb*(0.6+0.4*j))**2+(e-re*(0.6+0.4*j))**2, j)=1""")
 def q_clicked_leaf(spark, d):
     dc = ["f_dc_0", "f_dc_1", "f_dc_2"]
-    seen = _seen(spark, d)
-    pixels = seen.join(_points(spark, d, *dc), "point_id").select("view_idx", "u", "v", F.array(*[C(c).cast("double") for c in dc]).alias("feat"))
-    clicks = seen.groupBy("view_idx").agg(F.min(F.struct("point_id", "u", "v")).alias("m")).select(C("view_idx").cast("bigint").alias("click"), "view_idx", "m.u", "m.v")
+    pixels = _seen(spark, d, *dc).select("view_idx", "u", "v", F.array(*[C(c).cast("double") for c in dc]).alias("feat"))
+    place = F.min_by(C("u").cast("bigint") * (1 << 31) + C("v"), "point_id").alias("m")
+    clicks = _seen(spark, d).groupBy("view_idx").agg(place).select(C("view_idx").cast("bigint").alias("click"), "view_idx", F.floor(C("m") / (1 << 31)).cast("int").alias("u"), F.pmod("m", F.lit(1 << 31)).cast("int").alias("v"))
+    # one click a view, so that no pixel is shuffled to it
+    clicks = F.broadcast(cut(clicks))
     roots = spark.createDataFrame(list(enumerate(CENTRES)), "root bigint, centre array<double>")
     leaves = roots.select("root", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"), "centre").select("root", (C("root") * 3 + C("j")).alias("leaf"), F.transform("centre", lambda x: x * (0.6 + 0.4 * C("j"))).alias("centre"))
     return W.clicked_leaf(pixels, clicks, 20, roots, leaves).select("click", "root", "leaf")
@@ -182,9 +184,11 @@ def _raster(spark, d, seen):
 
 @query(RASTER + " SELECT s.view_idx, coalesce(ra.mask_id,0)::INT AS mask_id, count(*)::BIGINT AS n, sum(point_id)::BIGINT AS ids FROM seen s LEFT JOIN ra ON s.view_idx=ra.view_idx AND s.v//8=ra.v AND s.u//8=ra.u GROUP BY ALL")
 def j_raster_lookup(spark, d):
-    seen = _seen(spark, d)
-    px = seen.select("view_idx", "point_id", F.floor(C("v") / 8).cast("int").alias("v"), F.floor(C("u") / 8).cast("int").alias("u"))
-    return R.look_up(px, _raster(spark, d, seen), 0).groupBy("view_idx", "mask_id").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"))
+    px = _seen(spark, d).select("view_idx", "point_id", F.floor(C("v") / 8).cast("int").alias("v"), F.floor(C("u") / 8).cast("int").alias("u"))
+    # points of a block look the same pixel up; the raster is made of these blocks too
+    blocks = cut(px.groupBy("view_idx", "v", "u").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"), F.min("point_id").alias("point_id")))
+    raster = blocks.where((C("u") + C("v")) % 3 != 0).select("view_idx", "v", "u", (1 + C("point_id") % 7).cast("int").alias("mask_id"))
+    return R.look_up(blocks, raster, 0).groupBy("view_idx", "mask_id").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
 
 
 @query("""WITH m AS (SELECT DISTINCT image_id AS view_idx, o.point3d_id AS p, floor(o.y)::INT AS v, floor(o.x)::INT AS u FROM (SELECT image_id, unnest(points2d) AS o FROM images) WHERE o.point3d_id >= 0 AND o.x IS NOT NULL AND o.y IS NOT NULL), g AS (SELECT view_idx, v, u, min(p) AS p FROM m GROUP BY ALL), l AS (SELECT view_idx, lev, v, u, CASE WHEN lev=0 THEN p%5 ELSE p%9-1 END AS id FROM g, range(2) t(lev)),
@@ -216,8 +220,13 @@ def w_splats(spark, d):
 @query()
 def w_free_paint(spark, d):
     """Masks of each view by falling score on free blocks: blocks of each mask that was painted."""
-    s = _seen(spark, d).select("view_idx", (C("point_id") % 40).alias("mask_id"), F.floor(C("v") / 16).cast("int").alias("v"), F.floor(C("u") / 16).cast("int").alias("u"), F.round("depth", 6).alias("score"))
-    return R.paint_free(s, 3).groupBy("view_idx", "mask_id").agg(F.count("*").alias("n"))
+    paint = R.painter(3)
+
+    def run(pdf):
+        pdf = pdf.assign(mask_id=pdf["point_id"] % 40, v=pdf["v"] // 16, u=pdf["u"] // 16, score=pdf["depth"].round(6))
+        return paint(pdf)[["view_idx", "mask_id"]]
+
+    return _seen(spark, d, each=(run, "view_idx int, mask_id bigint")).groupBy("view_idx", "mask_id").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -232,8 +241,7 @@ MASKF = SEEN + """, px AS (SELECT view_idx, ((u//64)+2*(v//64))%32 AS m, f_dc_0:
 
 def _mask_pixels(spark, d):
     mask = F.pmod(F.floor(C("u") / 64) + 2 * F.floor(C("v") / 64), F.lit(32)).cast("int").alias("m")
-    f = _points(spark, d, "f_dc_0", "f_dc_1").select("point_id", C("f_dc_0").cast("double").alias("a"), C("f_dc_1").cast("double").alias("b"))
-    return _seen(spark, d).select("view_idx", mask, "point_id").join(f, "point_id")
+    return _seen(spark, d, "f_dc_0", "f_dc_1").select("view_idx", mask, "point_id", C("f_dc_0").cast("double").alias("a"), C("f_dc_1").cast("double").alias("b"))
 
 
 @query(MASKF + ", c AS (SELECT view_idx, m, avg(sqrt((a-ma)**2+(b-mb)**2)) AS d FROM px JOIN mm USING (view_idx, m) GROUP BY ALL) SELECT view_idx, round(avg(d),4) AS cohesion, count(*)::BIGINT AS n_masks FROM c GROUP BY view_idx")
@@ -250,8 +258,8 @@ def a_mask_separation(spark, d):
 @query()
 def a_view_ssim(spark, d):
     """Structural similarity of stored and computed red of each view's visible points on blocks of 16 pixels."""
-    p = _points(spark, d, "red", "f_dc_0").select("point_id", (C("red").cast("double") / 255.0).alias("a"), X.sh_colour(C("f_dc_0").cast("double")).alias("b"))
-    px = _seen(spark, d).join(p, "point_id").groupBy("view_idx", F.floor(C("v") / 16).alias("v"), F.floor(C("u") / 16).alias("u")).agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+    p = _seen(spark, d, "red", "f_dc_0").select("view_idx", "u", "v", (C("red").cast("double") / 255.0).alias("a"), X.sh_colour(C("f_dc_0").cast("double")).alias("b"))
+    px = p.groupBy("view_idx", F.floor(C("v") / 16).alias("v"), F.floor(C("u") / 16).alias("u")).agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
     return R.ssim(px, ["view_idx"], "a", "b")
 
 
