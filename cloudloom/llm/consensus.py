@@ -119,9 +119,10 @@ def _probabilities(votes: DataFrame, model: Model, table: DataFrame) -> DataFram
     table = table.select("annotator_id", "j", "l")
     prior = _digamma(model.share) - _digamma(model.share.sum())
     # an item's labels are at most one of each annotator
-    summed = votes.join(table, ["annotator_id", "j"]).selectExpr(
-        "view_idx", "annotator_id", "j", "m", *[f"sum(l[{c}]) over (partition by view_idx) + {float(x)!r}d as s{c}" for c, x in enumerate(prior)]
-    )
+    summed = votes.join(table, ["annotator_id", "j"]).selectExpr("view_idx", "annotator_id", "j", "m", *[f"sum(l[{c}]) over (partition by view_idx) as s{c}" for c in n])
+    # the prior as an array, which generated code refers to: as numbers in its text they would have each round compiled anew
+    added = f"zip_with(array({','.join(f's{c}' for c in n)}), array({','.join(f'{float(x)!r}d' for x in prior)}), (x, y) -> x + y)"
+    summed = summed.selectExpr("view_idx", "annotator_id", "j", "m", f"{added} as s").selectExpr("view_idx", "annotator_id", "j", "m", *[f"s[{c}] as s{c}" for c in n])
     top = "greatest(" + ",".join(f"s{c}" for c in n) + ")" if len(n) > 1 else "s0"
     e = summed.selectExpr("*", f"{top} as top").selectExpr("view_idx", "annotator_id", "j", "m", *[f"exp(s{c}-top) as e{c}" for c in n])
     e = e.selectExpr("*", "+".join(f"e{c}" for c in n) + " as norm")
