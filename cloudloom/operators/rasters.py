@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..util import cut
 from .spatial import components
 
 
@@ -50,6 +51,7 @@ def mask_components(raster: DataFrame, min_area: int = 1, eight: bool = False) -
     """
     px = raster.where("mask_id > 0").select("view_idx", F.col("v").cast("bigint").alias("v"), F.col("u").cast("bigint").alias("u"), "mask_id").distinct()
     px = px.withColumn("node", F.shiftleft(F.col("view_idx").cast("bigint"), 40) + F.shiftleft("v", 20) + F.col("u"))
+    px = cut(px)  # read four times
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
     ask = px.select("view_idx", "mask_id", F.col("node").alias("a"), "v", "u", F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in steps])).alias("d"))
     ask = ask.select("view_idx", "mask_id", "a", (F.col("v") + F.col("d.y")).alias("v"), (F.col("u") + F.col("d.x")).alias("u"))
