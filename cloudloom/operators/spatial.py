@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..util import cut, drop, hot_keys, salted_join
 from .points import ranks
@@ -164,14 +166,157 @@ def column_owner(df: DataFrame, by: list[str], label: str, side: float) -> DataF
     return cells.join(size, [*by, label]).groupBy(*by, "cx", "cy").agg(F.min(F.struct((-F.col("size")).alias("s"), F.col(label).alias("owner")))["owner"].alias("owner"))
 
 
-def nearest_k(df: DataFrame, key: str, by: list[str], radius: float, k: int | Callable[[Column], Column], others: DataFrame | None = None) -> DataFrame:
+#: Points of a group to choose from that a task holds at a time, and points of a leaf.
+SLAB, LEAF = 1 << 18, 48
+
+
+def _kd(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the points x (n, 3) in which neighbours stand together, and the starts of its leaves: halves of the widest axis."""
+    order, starts = np.arange(len(x)), np.zeros(1, dtype=np.int64)
+    while (size := np.diff(np.r_[starts, len(x)])).max() > LEAF:
+        p = x[order]
+        axis = (np.maximum.reduceat(p, starts, axis=0) - np.minimum.reduceat(p, starts, axis=0)).argmax(axis=1)
+        leaf = np.repeat(np.arange(len(starts)), size)
+        order = order[np.lexsort((p[np.arange(len(p)), axis[leaf]], leaf))]
+        starts = np.union1d(starts, (starts + size // 2)[size > LEAF])
+    return order, starts
+
+
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of the rows of q to those of x, summed over the axes in their order as SQL does."""
+    d = np.zeros((len(q), len(x)))
+    for j in range(3):
+        d += (q[:, j, None] - x[None, :, j]) ** 2
+    return np.sqrt(d, out=d)
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, number: np.ndarray, own: np.ndarray | None, k: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place in q, place in x, distance and rank of the up to k rows of x nearest to each row of q and no farther than ``most``; ties go to
+    the lower ``number`` of x. A row of x whose number is the query's ``own`` is left out.
+
+    A leaf of queries first meets the leaves nearest to it, which bounds how far its neighbours lie, then the leaves within that.
+    """
+    order, starts = _kd(x)
+    x, number, size = x[order], number[order], np.diff(np.r_[starts, len(x)])
+    low, high = np.minimum.reduceat(x, starts, axis=0).T, np.maximum.reduceat(x, starts, axis=0).T
+    q_order, q_starts = _kd(q)
+    few = min(len(starts), 4 + 2 * k // LEAF)
+    out = []
+    for s, e in zip(q_starts, np.r_[q_starts[1:], len(q)]):
+        mine = q_order[s:e]
+        p = q[mine]
+        far = most[mine].max()
+        if len(starts) > few:
+            a, b = p.min(axis=0), p.max(axis=0)
+            gap = np.sqrt(sum(np.maximum(np.maximum(low[j] - b[j], a[j] - high[j]), 0.0) ** 2 for j in range(3))) * (1 - 1e-9)
+            first = np.argpartition(gap, few - 1)[:few]
+            at = np.concatenate([np.arange(starts[i], starts[i] + size[i]) for i in first])
+            if len(at) > k:
+                # one more, as a point is not its own neighbour
+                d = np.partition(_distances(p, x[at]), k, axis=1)[:, k]
+                far = min(far, d.max())
+            near = np.flatnonzero(gap <= far)
+            if not len(near):
+                continue
+            at = np.repeat(starts[near] - np.r_[0, np.cumsum(size[near])[:-1]], size[near]) + np.arange(size[near].sum())
+        else:
+            at = np.arange(len(x))
+        d = _distances(p, x[at])
+        ok = d <= most[mine][:, None]
+        kth = k - 1
+        if own is not None:
+            ok &= number[at][None, :] != own[mine][:, None]
+            kth = k
+        if len(at) > kth:
+            ok &= d <= np.partition(d, kth, axis=1)[:, kth][:, None]
+        row, col = np.nonzero(ok)
+        sort = np.lexsort((number[at][col], d[row, col], row))
+        row, col = row[sort], col[sort]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k
+        row, col = row[keep], col[keep]
+        out.append((mine[row], order[at[col]], d[row, col], rank[keep] + 1))
+    if not out:
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, float, np.int64))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _neighbours_of(table: pa.Table, apart: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Neighbours of the queries of a slab (rows with ``want``) among its points (rows without), and each query whose neighbours may lie
+    in another slab once more without a neighbour, with its place and reach. ``apart``: queries are no points themselves."""
+    is_query = table.column("want").is_valid().to_numpy()
+    asks, points = table.filter(pa.array(is_query)), table.filter(pa.array(~is_query))
+    place = lambda t: np.column_stack([t.column(a).to_numpy() for a in "xyz"])
+    q, x = place(asks), place(points)
+    want, most = asks.column("want").to_numpy(), asks.column("reach").to_numpy()
+    left, right = asks.column("left").to_numpy(), asks.column("right").to_numpy()
+    ids, names = asks.column("a").combine_chunks(), points.column("a").combine_chunks()
+    _, number = np.unique(np.concatenate([names.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)]), return_inverse=True)
+    number, own = number[: len(names)], None if apart else number[len(names) :]
+    got = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))
+    most_wanted = int(want.max()) if len(want) else 0
+    # so many queries at a time that their neighbours fit
+    step = max(1, (1 << 21) // max(most_wanted, 1))
+    order = np.argsort(q[:, 0], kind="stable") if len(q) > step else np.arange(len(q))
+    for s in range(0, len(q), step):
+        mine = order[s : s + step]
+        if len(x):
+            i, j, d, rank = _nearest(q[mine], x, number, None if own is None else own[mine], most_wanted, most[mine])
+            i = mine[i]
+            keep = rank <= want[i]
+            got = tuple(c[keep] for c in (i, j, d, rank))
+        i, j, d, rank = got
+        reach = most.copy()
+        last = rank == want[i]
+        reach[i[last]] = d[last]
+        # slabs hold their left border
+        wide = reach * (1 + 1e-9)
+        with np.errstate(over="ignore"):
+            crosses = (q[:, 0] - wide < left) | (q[:, 0] + wide >= right)
+        again = mine[crosses[mine]]
+        n, m = len(i), len(again)
+        none = pa.nulls(m, names.type)
+        columns = [
+            pa.concat_arrays([ids.take(pa.array(i)), ids.take(pa.array(again))]), pa.concat_arrays([names.take(pa.array(j)), none]),
+            pa.array(np.r_[d, reach[again]]), pa.array(np.r_[rank, want[again]].astype(np.int32)), pa.array(np.r_[crosses[i], np.ones(m, dtype=bool)]),
+            *[pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(q[again, k])]) for k in range(3)],
+            *[pa.concat_arrays([pa.nulls(n, asks.schema.field(c).type), asks.column(c).combine_chunks().take(pa.array(again))]) for c in schema.names[8:]],
+        ]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _slabs(batches: Iterator[pa.RecordBatch], key: list[str], apart: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``_neighbours_of`` on each stretch of rows of equal ``key``."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = np.stack([batch.column(c).dictionary_encode().indices.to_numpy() for c in key])
+        starts = np.flatnonzero(np.r_[True, (code[:, 1:] != code[:, :-1]).any(axis=0)])
+        for at, size in zip(starts, np.diff(np.r_[starts, batch.num_rows])):
+            piece = batch.slice(int(at), int(size))
+            its = tuple(piece.column(c)[0].as_py() for c in key)
+            if its != name and held:
+                yield from _neighbours_of(pa.Table.from_batches(held), apart, schema)
+                held = []
+            name = its
+            held.append(piece)
+    if held:
+        yield from _neighbours_of(pa.Table.from_batches(held), apart, schema)
+
+
+def nearest_k(df: DataFrame, key: str, by: list[str], radius: float, k: int | Callable[[Column], Column], others: DataFrame | None = None, slab: int = SLAB) -> DataFrame:
     """The k nearest others of each point of its group: a, b, dist, rank; ties to the lower id. Fewer only where the group has fewer.
 
     With ``others`` (the same columns) the nearest are taken from these instead, equal ids included. ``k`` may be an expression of the
-    group's number of points to choose from, such as its root.
-    ``radius`` is where the search starts. Points with fewer than k others within it ask again with a doubled radius until none is
-    left; distances are finite, so it ends.
+    group's number of points to choose from, such as its root. ``radius`` is a guess of the distance; the result doesn't depend on it.
+
+    Groups of more than ``slab`` points to choose from are cut into slabs of about so many along x. Every point looks in its own slab
+    first; only those whose farthest neighbour lies beyond its borders, or that found too few, ask in the slabs that their reach touches.
+    No point is repeated, and nothing goes to the driver but counts.
     """
+    spark, apart = df.sparkSession, others is not None
 
     def placed(rows: DataFrame) -> DataFrame:
         rows = rows.where(F.col(key).isNotNull())
@@ -183,26 +328,52 @@ def nearest_k(df: DataFrame, key: str, by: list[str], radius: float, k: int | Ca
     pool = p if others is None else placed(others)
     # a point of a group of n points has n - 1 others, so it waits for no more
     n = F.count("*") - (1 if others is None else 0)
-    want = pool.groupBy(*by).agg(F.least(n, k(F.count("*")).cast("bigint") if callable(k) else F.lit(k)).alias("want"))
-    left = cut(p.join(want, by).where("want > 0"))
-    other = pool.select(*by, F.col("a").alias("b"), *[F.col(x).alias(f"o{x}") for x in "xyz"])
-    dist = F.sqrt(sum((F.col(x) - F.col(f"o{x}")) ** 2 for x in "xyz"))
-    out = None
-    while not left.isEmpty():
-        cells = other.select("*", *[F.floor(F.col(f"o{x}") / radius).alias(f"c{x}") for x in "xyz"])
-        ask = left
-        for x in "xyz":
-            ask = ask.withColumn(f"c{x}", F.explode(F.array(*[F.floor(F.col(x) / radius) + i for i in (-1, 0, 1)])))
-        near = ask.join(cells, [*by, *[f"c{x}" for x in "xyz"]]).where("a <> b" if others is None else "true").withColumn("dist", dist).where(F.col("dist") <= radius)
-        rank = F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))
-        found = near.select("a", "b", "dist", "want").withColumn("rank", rank).where(F.col("rank") <= F.col("want"))
-        full = F.count("*").over(Window.partitionBy("a")) >= F.col("want")
-        found = cut(found.withColumn("full", full).where("full").select("a", "b", "dist", "rank"))
-        out = found if out is None else out.unionByName(found)
-        last, left = left, cut(left.join(found.select("a").distinct(), "a", "left_anti"))
-        drop(last)
-        radius *= 2
-    return out if out is not None else left.select("a", F.col("a").alias("b"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
+    want = cut(pool.groupBy(*by).agg(F.least(n, k(F.count("*")).cast("bigint") if callable(k) else F.lit(k)).cast("int").alias("want"), F.count("*").alias("_n")))
+    most, groups = want.agg(F.max("_n"), F.sum(F.ceil(F.col("_n") / slab))).first()
+    parts = -(-(most or 1) // slab)
+    none = F.array().cast("array<double>")
+    if parts > 1:
+        # borders that part a group evenly into the slabs of the largest; smaller groups take every so many of them
+        own = F.ceil(F.col("_n") / slab)
+        edges = pool.groupBy(*by).agg(F.percentile_approx("x", [i / parts for i in range(1, parts)]).alias("_e"), F.count("*").alias("_n"))
+        pick = F.transform(F.sequence(F.lit(1), F.greatest(own - 1, F.lit(1)).cast("int")), lambda i: F.element_at("_e", F.greatest(F.lit(1), F.least(F.lit(parts - 1), F.round(i * parts / own).cast("int")))))
+        want = want.drop("_n").join(cut(edges.select(*by, F.when(own > 1, F.array_distinct(pick)).otherwise(none).alias("_e"))), by)
+    else:
+        want = want.drop("_n").withColumn("_e", none)
+    which = lambda x: F.size(F.filter("_e", lambda e: e <= x))
+    border = lambda i, end: F.coalesce(F.get("_e", i), F.lit(end))
+    inf = float("inf")
+    cols = [*by, "_s", "a", "x", "y", "z", "want", "reach", "left", "right"]
+    void = [F.lit(None).cast("int").alias("want"), *[F.lit(None).cast("double").alias(c) for c in ("reach", "left", "right")]]
+    mine = pool.join(want.select(*by, "_e"), by).withColumn("_s", which(F.col("x"))).select(*by, "_s", "a", "x", "y", "z", *void)
+    ask = p.join(want.where("want > 0"), by).withColumn("_s", which(F.col("x")))
+    ask = ask.withColumns({"reach": F.lit(inf), "left": border(F.col("_s") - 1, -inf), "right": border(F.col("_s"), inf)}).select(*cols)
+    on = [*by, "_s"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(groups or 1), 8 * spark.sparkContext.defaultParallelism))
+    schema = StructType([StructField("a", p.schema["a"].dataType), StructField("b", p.schema["a"].dataType), *StructType.fromDDL("dist double, rank int, open boolean, x double, y double, z double").fields, *[p.schema[c] for c in by]])
+    arrow = to_arrow_schema(schema)
+
+    def look(points: DataFrame, queries: DataFrame) -> DataFrame:
+        rows = points.unionByName(queries).repartition(tasks, *on).sortWithinPartitions(*on)
+        return rows.mapInArrow(lambda batches: _slabs(batches, on, apart, arrow), schema)
+
+    found = look(mine, ask)
+    if parts == 1:
+        out = cut(found.where("b is not null").select("a", "b", "dist", "rank"))
+    else:
+        found = cut(found)
+        # without a neighbour: the queries that go on, dist being their reach and rank what they want
+        more = found.where("b is null").join(want.drop("want"), by).withColumn("_own", which(F.col("x")))
+        wide = F.col("dist") * (1 + 1e-9)
+        more = more.withColumn("_s", F.explode(F.sequence(which(F.col("x") - wide), which(F.col("x") + wide)))).where("_s <> _own")
+        more = more.select(*by, "_s", "a", "x", "y", "z", F.col("rank").alias("want"), F.col("dist").alias("reach"), F.lit(-inf).alias("left"), F.lit(inf).alias("right"))
+        both = found.where("open and b is not null").select("a", "b", "dist").unionByName(look(mine, more).where("b is not null").select("a", "b", "dist"))
+        wanted = found.where("b is null").select("a", F.col("rank").alias("want"))
+        ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).join(wanted, "a").where("rank <= want").drop("want")
+        out = cut(found.where("not open").select("a", "b", "dist", "rank").unionByName(ranked))
+        drop(found)
+    drop(p, pool)
+    return out
 
 
 def neighbour_eps(df: DataFrame, key: str, by: list[str], k: int, quantile: float, start: float, least: float = 1e-4) -> DataFrame:
