@@ -173,14 +173,14 @@ def align(source: DataFrame, target: DataFrame, key: str, radius: float, rounds:
     share ``trim`` of nearest pairs and fits. Gives scale, rotation and shift of ``source``."""
     scale, rot, shift = 1.0, np.eye(3), np.zeros(3)
     one = F.lit(0).alias("_g")
-    goal = cut(target.select(one, key, "x", "y", "z"))
+    # written once: every round reads them again
+    start, goal = cut(source.select(key, "x", "y", "z")), cut(target.select(one, key, "x", "y", "z"))
     for _ in range(rounds):
-        now = cut(moved(source.select(one, key, "x", "y", "z"), scale, rot, shift))
-        near = cut(nearest_k(now, key, ["_g"], radius, 1, others=goal))
+        near = nearest_k(moved(start.select(one, key, "x", "y", "z"), scale, rot, shift), key, ["_g"], radius, 1, others=goal)
         limit = near.agg(F.percentile("dist", F.lit(trim))).first()[0]
         pairs = near.where(F.col("dist") <= limit).select(F.col("a").alias(key), F.col("b").alias("_b"))
-        pairs = pairs.join(source.select(key, "x", "y", "z"), key).join(goal.select(F.col(key).alias("_b"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz")), "_b")
+        pairs = pairs.join(start, key).join(goal.select(F.col(key).alias("_b"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz")), "_b")
         scale, rot, shift = similarity_fit(pairs)
-        drop(now, near)
+        drop(near)
+    drop(start, goal)
     return scale, rot, shift
-

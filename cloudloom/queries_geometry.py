@@ -14,7 +14,7 @@ from .operators import scene as Z
 from .operators import voxels as B
 from .queries_core import PTS, VOX, _points, _sparse, _voxels
 from .sources import scenes
-from .util import shared_folder, table
+from .util import cut, shared_folder, table
 
 C = F.col
 QUERIES, ORACLES = {}, {}
@@ -248,7 +248,7 @@ def g_mesh(spark, d):
 @query()
 def g_align(spark, d):
     """Trimmed fit of the sparse points to a moved copy of themselves: mean distance left, per scene."""
-    s = _sparse(spark, d).where("x is not null and y is not null and z is not null").select("point3d_id", "scene", "x", "y", "z")
+    s = cut(_sparse(spark, d).where("x is not null and y is not null and z is not null").select("point3d_id", "scene", "x", "y", "z"))
     goal = s.withColumns({"x": C("x") * 1.02 + 0.1, "y": C("y") * 1.02 - 0.1, "z": C("z") * 1.02})
     fit = G.align(s, goal, "point3d_id", 4.0, 3)
     m = G.moved(s, *fit).join(goal.select("point3d_id", *[C(a).alias(f"t{a}") for a in "xyz"]), "point3d_id")
