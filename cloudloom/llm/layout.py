@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from statistics import median
 
 GAP = re.compile(r"(?<=\S) {3,}(?=\S)")
+BEHIND_MARK = re.compile(r"(?:[.!?…]|[.!?][”“»]) +(\w+)")
 #: Pixels of a character, least distance of columns, and the range of an advert's indent.
 CHAR, COLUMN, INDENT = 9, 60, (20, 50)
 #: A step down of more than this many usual steps ends a block.
@@ -45,7 +46,7 @@ def _pieces(text: str, boxes) -> list[Piece]:
         x0 = box["x0"] if box is not None else None
         x1, y0 = (box["x1"], box["y0"]) if box is not None else (None, None)
         if line.strip():
-            gap = GAP.search(line)
+            gap = GAP.search(line) if "   " in line else None
             if gap:
                 merged = True
                 right = line[gap.end() :].rstrip()
@@ -90,7 +91,7 @@ def _openers(text: str, pieces: list[Piece]) -> set[str]:
     """Words that stand behind an end mark somewhere on the page."""
     found: set[str] = set()
     for p in pieces:
-        found.update(re.findall(r"(?:[.!?…]|[.!?][”“»]) +(\w+)", text[p.start : p.end]))
+        found.update(BEHIND_MARK.findall(text, p.start, p.end))
     return found
 
 

@@ -38,12 +38,16 @@ OPEN = {"“": "”", "„": "“", "«": "»", "(": ")", "[": "]", "「": "」"
 CLOSERS = "”»)]」』）》"
 END_MARKS = ".!?…。！？।؟॥．·"
 EVENT = re.compile(r"[.!?…。！？।؟॥．·“”„«»()\[\]「」『』（）《》]")
-WORD_BACK = re.compile(r"[^\s“”„«»()\[\]¡¿—]*$")
+#: The quotation marks and brackets among the events.
+PAIRED = re.compile(r"[“”„«»()\[\]「」『』（）《》]")
+WORD = re.compile(r"\w+")
+NO_WORD = frozenset("“”„«»()[]¡¿—")
 CYRILLIC = re.compile(r"[а-яё]")
 # Words that tell German from the other Latin languages.
-GERMAN = re.compile(r"\b(?:[Dd]er|[Dd]ie|und|von|[Dd]as|am|zum)\b")
-OTHER = re.compile(r"\b(?:[Tt]he|of|[Ll]a|[Ee]l|de|[Aa]t|was)\b")
-OPENER = re.compile(r"(?<=[a-zà-ÿа-я][.!?] )([A-ZÀ-ßА-Я]\w*)")
+GERMAN = frozenset("der Der die Die und von das Das am zum".split())
+OTHER = frozenset("the The of la La el El de at At was".split())
+# the mark stands first, so that the search steps from mark to mark
+OPENER = re.compile(r"[.!?](?<=[a-zà-ÿа-я].) (?=([A-ZÀ-ßА-Я]\w*))")
 THAI_EVENT = re.compile(r"\s+|[“”„«»()\[\]「」『』（）《》]")
 # Numbers of list items in Han characters, from one to ten.
 HAN_NUMBERS = "一二三四五六七八九十"
@@ -80,20 +84,34 @@ def _is_abbreviation(word: str, trie: dict) -> bool:
     return "" in node
 
 
-#: Abbreviations long enough to be known with one letter misread.
-LONG = [w for words in ABBREVIATIONS.values() for w in words.split() if len(w) > 3 and w.isalpha()]
+#: Abbreviations long enough to be known with one letter misread, by their length.
+LONG: dict[int, list[str]] = {}
+for _w in (w for words in ABBREVIATIONS.values() for w in words.split() if len(w) > 3 and w.isalpha()):
+    LONG.setdefault(len(_w), []).append(_w)
 
 
 def _misread(word: str) -> bool:
-    return any(len(w) == len(word) and sum(a != b for a, b in zip(w, word)) == 1 for w in LONG)
+    return any(sum(a != b for a, b in zip(w, word)) == 1 for w in LONG.get(len(word), ()))
+
+
+def _word_before(s: str, i: int) -> str:
+    """The word that ends at place i, of 24 letters at most."""
+    k, low = i, max(0, i - 24)
+    while k > low and s[k - 1] not in NO_WORD and not s[k - 1].isspace():
+        k -= 1
+    return s[k:i]
 
 
 def script(text: str) -> str:
     """han, thai, hindi, arabic or cased, by the most frequent letters."""
-    n = max(1, len(text) - len(SPACING.findall(text)))
+    if text.isascii():
+        return "cased"
+    n = 0
     for name, kind in (("han", HAN), ("thai", THAI), ("hindi", DEVANAGARI), ("arabic", ARABIC)):
-        if kind.search(text) and len(kind.findall(text)) > 0.4 * n:
-            return name
+        if kind.search(text):
+            n = n or max(1, len(text) - len(SPACING.findall(text)))
+            if len(kind.findall(text)) > 0.4 * n:
+                return name
     return "cased"
 
 
@@ -101,7 +119,7 @@ def _matched(s: str) -> set[int]:
     """Places of quotation marks and brackets that have their partner; others are taken as noise."""
     stack: list[tuple[str, int]] = []
     good: set[int] = set()
-    for m in EVENT.finditer(s):
+    for m in PAIRED.finditer(s):
         ch, i = m.group(), m.start()
         if ch == "“" and stack and stack[-1][0] == "„":
             good.update((stack.pop()[1], i))
@@ -253,7 +271,7 @@ def _ends(s: str, kind: str, trie: dict, german: bool, starts: list[tuple[int, i
             if kind in ("hindi", "arabic") and closed and s[unit:opened_at].strip() == "":
                 continue
             if dots in (".", "·") and not closed:
-                word = WORD_BACK.search(s, max(0, i - 24), i).group().strip(",;:'·")
+                word = _word_before(s, i).strip(",;:'·")
                 core = word.replace("·", "").replace("'", "")
                 if len(core) <= 3 and s[unit:i].strip() == core and (core.isdigit() or (len(core) == 1 and core.isalpha())):
                     continue  # the number of a list item opens the unit, at any level
@@ -327,7 +345,8 @@ def _stream_units(text: str, boxes, lang: str | None) -> Iterator[tuple[str, lis
     lang = (lang or "").lower()
     if kind == "cased":
         cyrillic = bool(CYRILLIC.search(text)) and len(CYRILLIC.findall(text)) > 0.3 * len(text)
-        german = not cyrillic and len(GERMAN.findall(text)) > len(OTHER.findall(text))
+        words = [] if cyrillic else WORD.findall(text)
+        german = sum(map(GERMAN.__contains__, words)) > sum(map(OTHER.__contains__, words))
         trie = TRIES["ru"] if cyrillic else TRIES["de"] if german else TRIES.get(lang if lang in ("en", "fr", "es") else "", LATIN)
     else:
         german, trie = False, {"arabic": TRIES["ar"], "hindi": TRIES["hi"]}.get(kind, ALL)
