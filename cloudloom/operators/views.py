@@ -69,7 +69,7 @@ def _placed(points: DataFrame) -> DataFrame:
 _P = [*[f"m{i}" for i in range(12)], "fx", "fy", "cx", "cy", "width", "height", "ortho", "ortho_x_min", "ortho_x_max", "ortho_y_min", "ortho_y_max", "up"]
 
 
-def visible(points: DataFrame, views: DataFrame, keep: tuple[str, ...] = (), block: int = BLOCK, pairs: int = PAIRS, each: tuple[Callable[[pd.DataFrame], pd.DataFrame], str] | None = None) -> DataFrame:
+def visible(points: DataFrame, views: DataFrame, keep: tuple[str, ...] = (), block: int = BLOCK, pairs: int = PAIRS, each: tuple[Callable[[pd.DataFrame], pd.DataFrame], str] | None = None, pick: Callable[[pd.DataFrame], np.ndarray] | None = None) -> DataFrame:
     """view_idx, point_id, u, v, depth and the columns ``keep`` of the points that are nearest in their pixel: the rows of
     ``nearest_per_pixel(project(points, views))``, for views with one row per view_idx.
 
@@ -77,7 +77,8 @@ def visible(points: DataFrame, views: DataFrame, keep: tuple[str, ...] = (), blo
     one after the other, so no pixel is shuffled. Scenes of more than ``block`` points come in several blocks of cubes; only then are
     the nearest of each block compared in an aggregate.
 
-    With ``each``, a function of one view's rows and the DDL of what it gives, its results come out instead.
+    With ``each``, a function of one view's rows and the DDL of what it gives, its results come out instead. With ``pick`` hidden points
+    count too: ``each`` then gets all points in the frame, or, of scenes of several blocks, those of each block that ``pick`` names.
     """
     spark = points.sparkSession
     p = _placed(points).where(F.col("scene").isNotNull()).select("scene", "point_id", *[F.col(a).cast("double").alias(a) for a in "xyz"], *keep)
@@ -108,8 +109,10 @@ def visible(points: DataFrame, views: DataFrame, keep: tuple[str, ...] = (), blo
     arrow = to_arrow_schema(schema)
     if each and (most or 0) <= 1:
         result = to_arrow_schema(StructType.fromDDL(each[1]))
-        return rows.mapInArrow(lambda batches: _apply(_look(batches, list(keep), arrow, whole=True), each[0], result), each[1])
-    out = rows.mapInArrow(lambda batches: _look(batches, list(keep), arrow), schema)
+        return rows.mapInArrow(lambda batches: _apply(_look(batches, list(keep), arrow, whole=True, hidden=pick is not None), each[0], result), each[1])
+    out = rows.mapInArrow(lambda batches: _look(batches, list(keep), arrow, hidden=pick is not None, pick=pick), schema)
+    if pick:
+        return out.drop("ortho").groupBy("view_idx").applyInPandas(each[0], each[1])
     if (most or 0) <= 1:
         return out.drop("ortho")
     front = out.where(~F.col("ortho")).groupBy("view_idx", "u", "v").agg(F.min(F.struct("depth", "point_id", *keep)).alias("f"))
@@ -160,8 +163,8 @@ class _Scene:
             out |= w[:3] @ self.ball + (w[3] + offset) + self.reach * np.sqrt((w[:3] ** 2).sum()) < -1e-6
         return np.flatnonzero(np.repeat(~out, self.counts))
 
-    def seen(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places, u, v and depth of the points that a view shows."""
+    def seen(self, p: np.ndarray, hidden: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places, u, v and depth of the points that a view shows, or with ``hidden`` of all in its frame."""
         at = self.near(p)
         x, y, z = self.x[:, at]
         fx, fy, cx, cy, width, height, ortho, x0, x1, y0, y1, up = p[12:]
@@ -175,7 +178,7 @@ class _Scene:
         ok = np.flatnonzero(~(depth <= 1e-6) & (u >= 0) & (u < width) & (v >= 0) & (v < height))
         u, v, depth = u[ok].astype(np.int64), v[ok].astype(np.int64), depth[ok]
         at = ok if isinstance(at, slice) else at[ok]
-        if not ortho and len(at):
+        if not ortho and not hidden and len(at):
             pixel = v * int(width) + u
             if width * height <= 1 << 24:
                 shared = np.bincount(pixel, minlength=1)[pixel] > 1
@@ -204,7 +207,7 @@ def _apply(batches: Iterator[pa.RecordBatch], f: Callable[[pd.DataFrame], pd.Dat
         yield pa.RecordBatch.from_pandas(pd.concat(held), schema=schema, preserve_index=False)
 
 
-def _look(batches: Iterator[pa.RecordBatch], keep: list[str], schema: pa.Schema, whole: bool = False) -> Iterator[pa.RecordBatch]:
+def _look(batches: Iterator[pa.RecordBatch], keep: list[str], schema: pa.Schema, whole: bool = False, hidden: bool = False, pick: Callable[[pd.DataFrame], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
     """Nearest points of each view of a task's rows, in which the points of a block of a scene stand before its views; several views a
     batch, or with ``whole`` one."""
     key, parts, scene = None, [], None
@@ -226,18 +229,22 @@ def _look(batches: Iterator[pa.RecordBatch], keep: list[str], schema: pa.Schema,
             # stretches of equal key and kind
             code = np.stack([batch.column("scene").dictionary_encode().indices.to_numpy(), batch.column("_b").to_numpy(), batch.column("_c").to_numpy(), is_view])
             starts = np.flatnonzero(np.r_[True, (code[:, 1:] != code[:, :-1]).any(axis=0)]) if batch.num_rows else []
-            for at, size in zip(starts, np.diff(np.r_[starts, batch.num_rows])):
-                piece = batch.slice(int(at), int(size))
+            for start, size in zip(starts, np.diff(np.r_[starts, batch.num_rows])):
+                piece = batch.slice(int(start), int(size))
                 name = tuple(piece.column(k)[0].as_py() for k in ("scene", "_b", "_c"))
                 if name != key:
                     key, parts, scene = name, [], None
-                if not is_view[at]:
+                if not is_view[start]:
                     parts.append(piece.select(["point_id", "x", "y", "z", *keep]))
                 elif parts:
                     scene = scene or _Scene(parts)
                     for view, p in zip(piece.column("view_idx").to_pylist(), piece.column("_p").to_pylist()):
                         p = np.array(p, dtype=float)
-                        got, u, v, depth = scene.seen(p)
+                        got, u, v, depth = scene.seen(p, hidden)
+                        if pick and len(got):
+                            rows = scene.table.select(["point_id", *keep]).take(pa.array(got)).to_pandas().assign(u=u, v=v, depth=depth)
+                            at = pick(rows)
+                            got, u, v, depth = got[at], u[at], v[at], depth[at]
                         if len(got):
                             held.append((np.full(len(got), view), u, v, depth, np.full(len(got), bool(p[18])), scene.table.select(["point_id", *keep]).take(pa.array(got))))
                             n += len(got)

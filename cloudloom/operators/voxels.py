@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,5 +63,50 @@ def composite(alpha: Column, colour: Column, order: Column) -> Column:
     return F.aggregate(rows, start, step)
 
 
+def blender(side: int, key: str, alpha: str, colour: str) -> tuple[Callable[[pd.DataFrame], pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]:
+    """``composite`` of the rows of one view (view_idx, u, v, depth, key, alpha, colour) on pixel blocks of ``side``: a function to view_idx,
+    bu, bv, red, light, and one to the places of the rows that count, whatever else stands between them: a block's light is not less
+    without other rows, so what is behind its stop there is behind it here. All blocks of a view go on together, splat by splat."""
+
+    def fold(rows: pd.DataFrame):
+        u, v = rows["u"].to_numpy(np.int64) // side, rows["v"].to_numpy(np.int64) // side
+        a = np.fmin(rows[alpha].to_numpy(float), 0.99)
+        block = v * (int(u.max()) + 1) + u
+        order = np.lexsort((rows[key].to_numpy(), rows["depth"].to_numpy(), block))
+        block = block[order]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        lead = order[first]
+        # what is too faint is skipped, and a block of nothing else keeps its light
+        which = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+        seen = a[order] >= 1 / 255
+        order, which = order[seen], which[seen]
+        a, c = a[order], rows[colour].to_numpy(float)[order]
+        at = np.searchsorted(which, np.arange(len(first)))
+        n = np.searchsorted(which, np.arange(len(first)), side="right") - at
+        left, total, used = np.ones(len(first)), np.zeros(len(first)), np.zeros(len(first), dtype=np.int64)
+        go, r = np.flatnonzero(n > 0), 0
+        while len(go):
+            i = at[go] + r
+            used[go] = r + 1
+            rest = left[go] * (1 - a[i])
+            ok = ~(rest < 1e-4)
+            go, i = go[ok], i[ok]
+            total[go] += left[go] * a[i] * c[i]
+            left[go] = rest[ok]
+            r += 1
+            go = go[n[go] > r]
+        return u[lead], v[lead], lead, total, left, order, np.arange(len(order)) - at[which] < used[which]
+
+    def blend(rows: pd.DataFrame) -> pd.DataFrame:
+        bu, bv, _, total, left, _, _ = fold(rows)
+        return pd.DataFrame({"view_idx": rows["view_idx"].to_numpy()[: len(bu)], "bu": bu, "bv": bv, "red": total, "light": left})
+
+    def pick(rows: pd.DataFrame) -> np.ndarray:
+        _, _, lead, _, _, order, count = fold(rows)
+        return np.union1d(lead, order[count])
+
+    return blend, pick
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

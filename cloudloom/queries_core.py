@@ -302,10 +302,11 @@ def g_components(spark, d):
 @query()
 def r_composite(spark, d):
     """Splat centres of each pixel block of a view, blended front to back."""
-    o = _points(spark, d, "opacity", "f_dc_0").select("point_id", X.sigmoid(F.coalesce("opacity", F.lit(0)).cast("double")).alias("alpha"), X.sh_colour(C("f_dc_0").cast("double")).alias("red"))
-    pix = V.project(_points(spark, d, "scene", "x", "y", "z").select("point_id", "scene", "x", "y", "z"), _views(spark, d)).join(o, "point_id")
-    g = pix.groupBy("view_idx", F.floor(C("u") / 16).alias("bu"), F.floor(C("v") / 16).alias("bv"))
-    return g.agg(B.composite(C("alpha"), C("red"), F.struct("depth", "point_id")).alias("s")).select("view_idx", "bu", "bv", C("s.colour").alias("red"), C("s.left").alias("light"))
+    p = _points(spark, d, "scene", "x", "y", "z", "opacity", "f_dc_0")
+    p = p.withColumns({"alpha": X.sigmoid(F.coalesce("opacity", F.lit(0)).cast("double")), "red": X.sh_colour(C("f_dc_0").cast("double"))})
+    views = _views(spark, d)
+    blend, pick = B.blender(16, "point_id", "alpha", "red")
+    return V.visible(p, views, ("alpha", "red"), each=(blend, f"view_idx {dict(views.dtypes)['view_idx']}, bu bigint, bv bigint, red double, light double"), pick=pick)
 
 
 @query("""WITH l AS (SELECT DISTINCT annotation_id, trim(lower(label)) AS w FROM mask_labels) SELECT coalesce(c.id, 255)::INT AS id, count(*)::BIGINT AS n FROM l LEFT JOIN (SELECT id, lower(label) AS w FROM id2label) c USING (w) GROUP BY 1""")
