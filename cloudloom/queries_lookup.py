@@ -360,6 +360,7 @@ ORACLES["g_codebook"] = " ".join(_codebook_sql().split())
  , bo AS (SELECT a AS node, min(component) AS near FROM nb JOIN co ON nb.b=co.node GROUP BY a) SELECT pt.id AS point3d_id, coalesce(component, near) AS component FROM pt LEFT JOIN co ON pt.id=co.node LEFT JOIN bo ON pt.id=bo.node""")
 def g_dbscan_by_quantile(spark, d):
     """DBSCAN within each scene, with the scene's own eps: the 0.4 quantile of the distances to the fourth nearest other."""
-    s = _sparse(spark, d).where("x is not null and y is not null and z is not null").select("scene", "point3d_id", "x", "y", "z")
+    s = cut(_sparse(spark, d).where("x is not null and y is not null and z is not null").select("scene", "point3d_id", "x", "y", "z"))
     eps = S.neighbour_eps(s, "point3d_id", ["scene"], 4, 0.4, 2.0)
-    return S.dbscan(s.join(eps, "scene"), "point3d_id", ["scene"], "eps", 4)
+    # such an eps holds few points, so cells may be wide
+    return S.dbscan(s.join(eps, "scene"), "point3d_id", ["scene"], "eps", 4, side=3.0)
